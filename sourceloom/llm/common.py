@@ -61,25 +61,25 @@ def blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, in
 def map_texts(
     df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], fields: str
 ) -> DataFrame:
-    """Run make()(texts) over blocks of (doc_id, text) rows in the tasks; doc_id is passed through.
+    """Run make()(texts) over blocks of rows in the tasks; all columns but text are passed through.
 
-    fields is DDL of the columns that the function returns, in addition to doc_id.
+    fields is DDL of the columns that the function returns in addition.
     """
-    schema = f"doc_id long, {fields}"
-    names = [part.split()[0] for part in fields.split(",")]
+    kept = [field for field in df.schema if field.name != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), fields])
+    names = [part.split()[0] for part in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            others = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             sizes = np.diff(np.asarray(_offsets(column)))
             for a, b in _byte_blocks(sizes):
                 texts = column.slice(a, b - a).to_pylist()
                 out = work(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), *(_array(out[n]) for n in names)], names=["doc_id", *names]
-                )
+                columns = [*(c.slice(a, b - a) for c in others), *(_array(out[n]) for n in names)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), *names])
 
     return df.mapInArrow(run, schema)
 
