@@ -21,6 +21,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, toxicity_scores
+
+    documents = _documents(spark, sf_dir)
+    model = fit_toxicity(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity_scores(documents, model)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_sequences
 
@@ -36,6 +44,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
+    "op5_toxicity": op5_toxicity,
     "op7_packing": op7_packing,
     "op10_byte_bpe": op10_byte_bpe,
 }
