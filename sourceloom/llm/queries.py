@@ -43,6 +43,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(_documents(spark, sf_dir), with_ids=False)
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_digests, shuffle_into_shards
+
+    return shard_digests(shuffle_into_shards(_documents(spark, sf_dir)))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_digests, store_texts
+
+    return media_digests(store_texts(_documents(spark, sf_dir)))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import bpe_digests
 
@@ -55,6 +67,8 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
+    "op8_sharding": op8_sharding,
+    "op9_media": op9_media,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
