@@ -4,9 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from sourceloom.llm.packing import pack_sequences
+from sourceloom.llm.quality_rules import drop_low_quality
+from sourceloom.llm.simhash import drop_near_duplicates
+from sourceloom.llm.toxicity import drop_toxic, fit_toxicity
 
-#: Toxicity is learned from labels and near-duplicates are transitive, which SQL cannot express here.
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules; null and empty texts fail them. Columns stay as they are."""
+    return drop_low_quality(docs)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5 by a lexicon learned from the labelled ones among them."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return drop_toxic(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens, without their ids."""
+    return pack_sequences(docs, with_ids=False)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("packing", packing),
+]
+
+#: Toxicity is learned and near-duplicates are transitive, which SQL cannot express here.
 ORACLE_SQL = None
 
 

@@ -23,6 +23,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_documents(spark, sf_dir))
 
 
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ordinal_quality import fit_ordinal, grade_scores, grades_of
+
+    documents = _documents(spark, sf_dir)
+    model = fit_ordinal(documents, grades_of(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return grade_scores(documents, model)
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, toxicity_scores
 
@@ -64,6 +78,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
+    "op3_ordinal_quality": op3_ordinal_quality,
+    "op4_html_text": op4_html_text,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
