@@ -13,6 +13,7 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -171,7 +172,7 @@ def bpe_encode(
         def work(texts):
             ids = codec.encode(texts, table)
             return {
-                "ids": [np.frombuffer(x, "<u4").tolist() for x in ids],
+                "ids": pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())),
                 "n_tokens": [len(x) // 4 for x in ids],
                 "decoded": [codec.decode(x) for x in ids],
             }

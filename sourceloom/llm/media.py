@@ -69,10 +69,12 @@ def _gif(data: bytes, at: int) -> int | None:
 def _jpeg(data: bytes, at: int) -> int | None:
     """Segments up to the start of a scan, then up to the end marker."""
     place = at + 2
-    while place + 4 <= len(data) and data[place] == 0xFF:
+    while place + 2 <= len(data) and data[place] == 0xFF:
         mark = data[place + 1]
         if mark == 0xD9:
             return place + 2 - at
+        if place + 4 > len(data):
+            return None
         if mark == 0xFF:
             place += 1
             continue

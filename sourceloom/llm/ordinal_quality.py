@@ -67,7 +67,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit_ordinal(
     docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_features: int = 1 << 14,
-    most_rows: int = 6_000, rounds: int = 150, ridge: float = 1e-3,
+    most_rows: int = 6_000, rounds: int = 150, ridge: float = 4e-4,
 ) -> OrdinalModel:
     """Fits weights and thresholds to graded rows (doc_id, grade), none of them held out.
 
