@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import queries_code, queries_text
+
+QUERIES: dict = {**queries_text.QUERIES, **queries_code.QUERIES}
+ORACLES: dict[str, str] = {**queries_text.ORACLES, **queries_code.ORACLES}
