@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_code, queries_text
+from . import queries_code, queries_more, queries_text
 
-QUERIES: dict = {**queries_text.QUERIES, **queries_code.QUERIES}
-ORACLES: dict[str, str] = {**queries_text.ORACLES, **queries_code.ORACLES}
+QUERIES: dict = {**queries_text.QUERIES, **queries_code.QUERIES, **queries_more.QUERIES}
+ORACLES: dict[str, str] = {**queries_text.ORACLES, **queries_code.ORACLES, **queries_more.ORACLES}
