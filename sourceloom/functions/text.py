@@ -195,5 +195,10 @@ def may_recurse(code: Column, short_name: Column) -> Column:
     return (F.length(short_name) > 0) & (found >= 2)
 
 
+def chunk_name(raw: Column) -> Column:
+    """A qualified name without its first scope: A::f gives f, a::b::f gives b::f."""
+    return F.regexp_replace(raw, r"^[^:]*::", "")
+
+
 def short_name(name: Column) -> Column:
     return F.element_at(F.split(name, "::", -1), -1)

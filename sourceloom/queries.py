@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_code, queries_more, queries_text
+from . import queries_code, queries_more, queries_sources, queries_text
 
-QUERIES: dict = {**queries_text.QUERIES, **queries_code.QUERIES, **queries_more.QUERIES}
-ORACLES: dict[str, str] = {**queries_text.ORACLES, **queries_code.ORACLES, **queries_more.ORACLES}
+_PARTS = (queries_text, queries_code, queries_more, queries_sources)
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

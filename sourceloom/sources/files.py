@@ -13,9 +13,9 @@ def language_of(path: Column) -> Column:
     return F.when(F.endswith(path, F.lit(".py")), "Python").otherwise("C++")
 
 
-def discover_files(spark: SparkSession, root: str) -> DataFrame:
+def discover_files(spark: SparkSession, root: str, endings: tuple[str, ...] = ENDINGS) -> DataFrame:
     """path, length and raw content of every source file below root."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(ENDINGS) + "}").load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(endings) + "}").load(root)
     return found.select("path", "length", F.col("content").alias("raw"))
 
 
