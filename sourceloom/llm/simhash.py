@@ -241,12 +241,12 @@ def component_table(prints: DataFrame, names: list[str], n_segments: int, radius
 
 def drop_near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, n_bits: int = 128,
-    n_segments: int = 8, radius: int = 20,
+    n_segments: int = 8, radius: int = 22,
 ) -> DataFrame:
     """df without near-duplicates: of each component the row with the smallest id stays, nulls last.
 
     Shingles of five words that agree to a Jaccard similarity of 0.8 make an angle whose fingerprints
-    differ in 0.151 of 128 bits, 19.3 on average. All columns of df are kept as they are, whatever their
+    differ in 0.151 of 128 bits, 19.3 on average (standard deviation 4.1); links reach a little further. All columns of df are kept as they are, whatever their
     names. Of rows that are equal in id and text one stays. Null and empty texts are one group.
     """
     names = [f"f{k}" for k in range(n_bits // 64)]

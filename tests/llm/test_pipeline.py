@@ -22,7 +22,7 @@ def test_stages_take_effect(spark, sf_dir, tmp_path):
             assert {r.doc_id for r in after} == good
         elif name == "near_duplicates":
             prints = [brute_prints(r.text, 5, (42, 43)) for r in before]
-            assert sorted(r.doc_id for r in after) == sorted(set(brute_components(before, prints, 20)))
+            assert sorted(r.doc_id for r in after) == sorted(set(brute_components(before, prints, 22)))
         elif name == "packing":
             assert {r.doc_id for r in after} == {r.doc_id for r in before}
     assert seen == ["quality_rules", "toxicity", "near_duplicates", "packing"]
