@@ -25,6 +25,11 @@ _CHECK = r"\b(?:if|while|assert|JSON_ASSERT|raise|throw)\b"
 def context_lines(code_lines: Column, source_lines: Column, start: Column, first: Column, last: Column, flagged: Column, language: Column, most: int = rules.CONTEXT_LINES) -> Column:
     """Lines of a chunk outside a window that use a name of its flagged lines and give it a value, check it or belong
     to the signature: the closest ones (ties: the upper one), in line order, as structs of line and text."""
+    beside = lambda code, source: _beside(code, source, start, first, last, flagged, language, most)
+    return T.let(code_lines, lambda code: T.let(source_lines, lambda source: beside(code, source)))
+
+
+def _beside(code_lines: Column, source_lines: Column, start: Column, first: Column, last: Column, flagged: Column, language: Column, most: int) -> Column:
     opens = lambda x: F.when(language == "Python", F.endswith(F.rtrim(x), F.lit(":"))).otherwise(F.contains(x, F.lit("{")))
     body_at = F.array_position(F.transform(code_lines, opens), True).cast("int")
     body = F.when(body_at > 0, body_at - 1).otherwise(F.size(code_lines))
@@ -32,6 +37,9 @@ def context_lines(code_lines: Column, source_lines: Column, start: Column, first
     names = F.array_except(used, F.array(*map(F.lit, IGNORED_NAMES)))
 
     def found(names: Column) -> Column:
+        return T.let(body, lambda b: near_lines(names, b))
+
+    def near_lines(names: Column, body: Column) -> Column:
         assigned = F.concat(F.lit(r"\b(?:"), F.array_join(names, "|"), F.lit(")"), F.lit(_ASSIGNED))
 
         def wanted(k: Column) -> Column:
