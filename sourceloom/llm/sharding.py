@@ -15,6 +15,8 @@ from .common import cut_lineage
 
 #: Buckets whose row counts are summed together before the sums are summed.
 GROUP = 1024
+#: Tasks of the second pass at most; with more buckets a task shuffles several, one after the other.
+MOST_TASKS = 100_000
 
 
 def shuffle_into_shards(
@@ -59,7 +61,9 @@ def shuffle_into_shards(
 
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     order = F.struct(F.xxhash64(F.lit(seed + 1), doc, text).alias("h"), row.alias("row"))
-    filled = df.select(bucket, order.alias("item")).groupBy("bucket").agg(F.collect_list("item").alias("items"))
+    # a task per bucket or few, however large the table is
+    scattered = df.select(bucket, order.alias("item")).repartition(min(n_buckets, MOST_TASKS), "bucket")
+    filled = scattered.groupBy("bucket").agg(F.collect_list("item").alias("items"))
     filled = filled.join(first, "bucket").sortWithinPartitions("bucket")
     items = F.array_sort("items", lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0))
     shuffled = filled.select("first", F.shuffle(items, seed).alias("items"))
