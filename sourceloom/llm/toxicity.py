@@ -172,7 +172,8 @@ def fit_toxicity(
     stand in least_share of the toxic texts and in five, copies counted once (texts whose smallest hashed 3-word shingle
     is the same), and be at least ten times as frequent among toxic texts as among others. Given exceptions
     are phrases; others are learned: phrases of two words around a match that only clean texts have.
-    Without toxic or without clean rows the lexicon is empty and all scores are near 0.
+    Without toxic or clean rows, or without such patterns, the lexicon is empty and all
+    scores are near 0; a text without matches always scores under 0.5.
     """
     rows = training_rows(docs, labels, id_col, text_col, most_toxic, most_clean)
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -219,6 +220,8 @@ def fit_toxicity(
             weights[pattern] = weight
 
     model = ToxicityModel(weights, given)
+    if not weights:  # nothing tells toxic texts: none is called toxic
+        return model
     model.exceptions = (*given, *_learn_exceptions(rows, model))
     model.bias, model.slope = _fit_curve(_sums(rows, model).select("toxic", "total", "n_words").collect())
     return model
@@ -277,7 +280,7 @@ def _fit_curve(rows: list, ridge: float = 0.02, rounds: int = 50) -> tuple[float
         beta -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(max(beta[1], 0.0))
+    return float(min(beta[0], -0.5)), float(max(beta[1], 0.0))  # a text without matches is never called toxic
 
 
 def toxicity_scores(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

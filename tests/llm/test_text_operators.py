@@ -96,6 +96,12 @@ def test_toxicity_learns_planted_words(spark, edge_docs, empty_docs):
     assert nothing.weights == {} and toxicity.drop_toxic(docs, nothing).count() == 400
 
 
+def test_labels_without_a_pattern_drop_nothing(spark):
+    docs = spark.createDataFrame([(k, f"only{k} words{k} here{k}") for k in range(60)], "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int"))
+    assert model.weights == {} and toxicity.drop_toxic(docs, model).count() == 60
+
+
 def test_toxicity_of_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
