@@ -106,11 +106,13 @@ def _fit(table, n_features: int, n_grades: int, rounds: int, ridge: float) -> Or
     """Full-batch Adam on the negative log-likelihood; later thresholds are sums of positive steps."""
     y = table["grade"].to_numpy(np.int64)
     sizes = table["places"].map(len).to_numpy()
-    places = np.concatenate(table["places"].to_list()).astype(np.int64)
-    values = np.concatenate(table["values"].to_list()).astype(np.float64)
-    row = np.repeat(np.arange(len(y)), sizes)
-    scale = 1 / np.sqrt(np.bincount(places, values**2, n_features) / len(y) + 1e-3)
-    values = values * scale[places]
+    ends = np.cumsum(sizes)
+    places, values = np.concatenate(table["places"].to_list()), np.concatenate(table["values"].to_list())
+    # rows in parts, so that what a step holds beside the data stays small
+    parts = [(k, min(k + 500, len(y))) for k in range(0, len(y), 500)]
+    spans = [slice(int(ends[a] - sizes[a]), int(ends[b - 1])) for a, b in parts]
+    squares = sum(np.bincount(places[s], values[s].astype(float) ** 2, n_features) for s in spans)
+    scale = 1 / np.sqrt(squares / len(y) + 1e-3)
     share = np.bincount(y, minlength=n_grades) / len(y)
     below = np.clip(np.cumsum(share)[:-1], 1e-3, 1 - 1e-3)
     start = np.log(below / (1 - below))
@@ -121,14 +123,16 @@ def _fit(table, n_features: int, n_grades: int, rounds: int, ridge: float) -> Or
     for t in range(1, rounds + 1):
         w, cut, log_step = parameters[:n_features], parameters[n_features], parameters[n_features + 1 :]
         thresholds = np.concatenate([[-np.inf, cut], cut + np.cumsum(np.exp(log_step)), [np.inf]])
-        score = np.bincount(row, values * w[places], len(y))
+        scaled = scale * w
+        score = np.concatenate([np.add.reduceat(values[s] * scaled[places[s]], ends[a:b] - sizes[a:b] - s.start) for (a, b), s in zip(parts, spans)])
         upper, lower = thresholds[y + 1] - score, thresholds[y] - score
         high, low = sigmoid(upper), sigmoid(lower)
         high, low = np.where(np.isposinf(upper), 1.0, high), np.where(np.isneginf(lower), 0.0, low)
         p = np.maximum(high - low, 1e-9)
         d_high, d_low = -high * (1 - high) / p / len(y), low * (1 - low) / p / len(y)
         gradient = np.empty_like(parameters)
-        gradient[:n_features] = np.bincount(places, values * (-(d_high + d_low))[row], n_features) + ridge * w
+        pull = -(d_high + d_low)
+        gradient[:n_features] = scale * sum(np.bincount(places[s], values[s] * np.repeat(pull[a:b], sizes[a:b]), n_features) for (a, b), s in zip(parts, spans)) + ridge * w
         by_cut = np.array([d_high[y == k].sum() + d_low[y == k + 1].sum() for k in range(n_grades - 1)])
         gradient[n_features] = by_cut.sum()
         gradient[n_features + 1 :] = np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(log_step)
