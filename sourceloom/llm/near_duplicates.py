@@ -1,13 +1,19 @@
-"""Near-duplicates by the exact Jaccard similarity of shingle sets.
-
-Texts of one shingle set are one node. MinHash bands only propose pairs; every link is verified on the
-whole sets before components are taken. Pairs at a similarity of 0.8 meet in some of the 24 bands of 5
-hashes in all but 0.007 % of cases, more similar ones in nearly all.
-
-Links are sought in rounds: first each node of a band key against the key's smallest node, then, as long as
-many pairs are left, against a random node of the key's largest component, and at last every pair that
-shares a key and whose nodes are not yet in one component. So large groups of copies do not give all their
-pairs, but no proposed pair between two components is left out.
+"""SimHash near-duplicates whose links are verified on the whole shingle sets.
+
+Texts of one shingle set are one node with a fingerprint of 512 bits and, for each of its 22 segments of 23 bits,
+the 4 least certain bits: those whose counts are nearest to half of the shingles. Candidates come from a table of
+segments: each node enters under the segment as it is and under the ball around it that flips one of those bits, so
+two nodes meet under a key if they differ there in up to two such bits. Complete distances, then the exact Jaccard
+similarity of the shingle sets, decide.
+
+At a similarity of 0.8 a bit differs with probability 0.151, and differing bits are nearly always uncertain ones: of
+random sets of 45 to 400 shingles 0.989 to 0.995 meet in some segment, of 9 shingles 0.965, of 4 and 5 shingles 0.81;
+more similar ones nearly always. Whole balls of radius 1 would take 24 keys a segment instead of 5. Unrelated nodes meet
+in 7 of 100,000 pairs; for over a billion nodes take wider segments.
+
+Links are sought twice: each node of a key against the key's smallest node; then, within the keys that still hold
+several components, every pair of two components, in blocks of bounded size. So large groups of copies do not give
+all their pairs, but no candidate pair between two components is left out.
 """
 
 from __future__ import annotations
@@ -15,21 +21,27 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, map_texts
 from .components import connected_components
+from .simhash import _distance, _pairs, _sorted_keys
 
-BANDS, BAND_ROWS = 24, 5
-#: Parts into which rows of one key, or pairs of one node, are dealt for a join.
-SALTS = 8
-#: Rounds against random nodes are made while pairs outnumber the proposed rows by this factor, so many at most.
-MANY_PAIRS, MOST_ROUNDS = 8, 4
+SEGMENTS, WIDTH, UNSURE = 22, 23, 4
+#: Bits in which sets at the similarity may differ: three standard deviations over the mean of 77.5.
+MOST_BITS = 102
+#: Small sets have more bits that tie, and so larger distances: this, divided by the set's size, is added.
+MORE_BITS = 160
+#: Rows of a key that are compared in one block.
+KEY_BLOCK = 2048
 
+_WORDS = 8
 _RNG = np.random.default_rng(20)
-_ODD = _RNG.integers(0, 1 << 63, (BANDS * BAND_ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = _RNG.integers(0, 1 << 63, (2, _WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LANES = np.uint64(0x0101010101010101)
+_NAMES = [f"f{k}" for k in range(_WORDS)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,128 +66,183 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def _band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of band keys for each set."""
-    starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
+def set_fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints (8 words each), and the bits of each segment that are nearest to a tie, in the order of their places."""
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    # runs of at most 255 shingles, so that counts fit into bytes
+    runs = -(-sizes // 255)
+    first_run = np.cumsum(runs) - runs
+    starts = np.repeat(ends - sizes - 255 * first_run, runs) + 255 * np.arange(runs.sum())
     hashes = np.concatenate(sets)
-    keys = np.zeros((len(sets), BANDS), np.uint64)
-    for k, (a, b) in enumerate(_ODD):
-        least = np.minimum.reduceat(hashes * a + b, starts)
-        keys[:, k // BAND_ROWS] = _mix(keys[:, k // BAND_ROWS] + least + np.uint64(k))
-    return keys
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.cumsum([0, *(len(a) for a in arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).view(np.int64)))
+    counts = np.empty((len(sets), _WORDS, 8, 8), np.int64)
+    for word in range(_WORDS):
+        mixed = _mix(hashes * _ODD[0, word] + _ODD[1, word])
+        for bit in range(8):
+            lanes = np.add.reduceat((mixed >> np.uint64(bit)) & _LANES, starts)
+            counts[:, word, :, bit] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), first_run, axis=0)
+    margins = 2 * counts.reshape(len(sets), -1) - sizes[:, None]
+    prints = np.packbits(margins > 0, axis=1, bitorder="little").view("<u8")
+    parts = np.abs(margins[:, : SEGMENTS * WIDTH]).reshape(-1, SEGMENTS, WIDTH)
+    ranked = np.partition(parts * WIDTH + np.arange(WIDTH), UNSURE - 1, axis=2)[:, :, :UNSURE]
+    return prints, np.sort(ranked % WIDTH, axis=2).astype(np.uint8)
+
+
+def segment_keys(prints: np.ndarray, unsure: np.ndarray) -> np.ndarray:
+    """Keys of each fingerprint: of every segment the value itself, and the value with one uncertain bit flipped."""
+    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, : SEGMENTS * WIDTH]
+    values = bits.reshape(-1, SEGMENTS, WIDTH).astype(np.int64) @ (np.int64(1) << np.arange(WIDTH))
+    ball = np.concatenate([values[:, :, None], values[:, :, None] ^ (np.int64(1) << unsure.astype(np.int64))], axis=2)
+    return (ball + (np.arange(SEGMENTS)[None, :, None] << WIDTH)).reshape(len(prints), -1)
 
 
 def _sketches(source: DataFrame, words: int) -> DataFrame:
-    """Adds s0 and s1 (digest of the shingle set), n (its size) and keys (of the bands)."""
+    """Adds s0 and s1 (digest of the shingle set), n (its size), the fingerprint and its uncertain bits."""
 
     def make():
         def work(texts):
             sets = [shingle_set(t, words) for t in texts]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
+            prints, unsure = set_fingerprints(sets)
             return {
-                "s0": pa.array(digests[:, 0].copy()), "s1": pa.array(digests[:, 1].copy()),
-                "n": pa.array([len(s) for s in sets], pa.int32()), "keys": _lists(list(_band_keys(sets))),
+                "s0": pa.array(digests[:, 0].copy()), "s1": pa.array(digests[:, 1].copy()), "n": pa.array([len(s) for s in sets], pa.int32()),
+                **{name: pa.array(prints[:, k].astype(np.int64)) for k, name in enumerate(_NAMES)},
+                "unsure": pa.array([u.tobytes() for u in unsure], pa.binary()),
             }
 
         return work
 
-    return map_texts(source, make, "s0 long, s1 long, n int, keys array<bigint>")
+    return map_texts(source, make, ", ".join(["s0 long, s1 long, n int", *(f"{name} long" for name in _NAMES), "unsure binary"]))
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """key and node for each key of each node."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                prints = np.stack([part.column(k + 1).to_numpy() for k in range(_WORDS)], axis=1).view(np.uint64)
+                unsure = np.frombuffer(b"".join(part.column(_WORDS + 1).to_pylist()), np.uint8).reshape(-1, SEGMENTS, UNSURE)
+                keys = segment_keys(np.ascontiguousarray(prints), unsure)
+                of = np.repeat(part.column(0).to_numpy(), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(of)], names=["key", "node"])
+
+    return nodes.select("node", *_NAMES, "unsure").mapInArrow(run, "key long, node long")
 
 
 def _sets(source: DataFrame, words: int) -> DataFrame:
     """Adds the shingle set as an array."""
-    return map_texts(source, lambda: lambda texts: {"shingles": _lists([shingle_set(t, words) for t in texts])}, "shingles array<bigint>")
+
+    def work(texts):
+        sets = [shingle_set(t, words) for t in texts]
+        offsets = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
+        return {"shingles": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))}
+
+    return map_texts(source, lambda: work, "shingles array<bigint>")
+
+
+def _near(a: list, b: list, n_a, n_b, similarity: float, distance):
+    """The condition on sizes and distance, of columns or arrays."""
+    small, large = (F.least(n_a, n_b), F.greatest(n_a, n_b)) if isinstance(n_a, Column) else (np.minimum(n_a, n_b), np.maximum(n_a, n_b))
+    return (small >= similarity * large) & (distance(a, b) <= MOST_BITS + MORE_BITS / small)
+
+
+def _candidates(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sizes and fingerprints allow the similarity."""
+    side = nodes.select("node", "n", *_NAMES)
+    for name in ("a", "b"):
+        pairs = pairs.join(side.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in side.columns[1:])), name)
+    words = [[F.col(f"{name}_{c}") for c in _NAMES] for name in ("a", "b")]
+    bits = lambda x, y: sum((F.bit_count(p.bitwiseXOR(q)) for p, q in zip(x[1:], y[1:])), F.bit_count(x[0].bitwiseXOR(y[0])))
+    return pairs.where(_near(*words, F.col("a_n"), F.col("b_n"), similarity, bits)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b (a < b, distinct) whose sets have that Jaccard similarity; many pairs of one a are dealt in parts."""
-    pairs = cut_lineage(pairs.withColumn("salt", F.pmod("b", F.lit(64))))
-    left = pairs.select("a", "salt").distinct().join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a")
-    right = pairs.select("b", F.pmod("a", F.lit(64)).alias("other")).distinct().join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
-    both = pairs.withColumn("other", F.pmod("a", F.lit(64))).join(left, ["a", "salt"]).join(right, ["b", "other"])
+    """The pairs a, b whose sets have that Jaccard similarity."""
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return cut_lineage(both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), shared.alias("both"))
+    return cut_lineage(both.where(F.col("both") / (F.col("p") + F.col("q") - F.col("both")) >= similarity).select("a", "b"))
 
 
-def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs a < b of rows (node, n, other, other_n) whose sizes allow the similarity."""
-    allowed = F.least("n", "other_n") / F.greatest("n", "other_n") >= similarity
-    return rows.where((F.col("node") != F.col("other")) & allowed).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def _shingles_of(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """node and shingles of every node of the pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = nodes.join(wanted, "node", "left_semi").select("node", "_k0", "_k1")
+    return cut_lineage(_sets(texts.join(rows, ["_k0", "_k1"]).select("node", "text"), words).dropDuplicates(["node"]))
 
 
-def _dealt(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join by key, where the few rows of right are repeated so that many rows of one key do not meet in one task."""
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(right, ["key", "salt"]).drop("salt")
+def _across(rows: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs a < b of one key but of two roots that sizes and fingerprints allow.
+
+    rows: key, count (of rows in the key), node, n, root and the fingerprint. Rows of a key are dealt into blocks; a task compares
+    two blocks, so no task holds a whole large key.
+    """
+    n_blocks = F.ceil(F.col("count") / KEY_BLOCK).cast("int")
+    rows = rows.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    rows = rows.select(group.alias("key"), (F.col("block") == F.col("other")).alias("own"), "block", "node", "n", "root", *_NAMES)
+
+    def run(batches):
+        for part in _sorted_keys(batches):
+            starts = np.flatnonzero(np.r_[True, part["key"][1:] != part["key"][:-1]])
+            sizes = np.diff(np.r_[starts, len(part["key"])])
+            words = [part[name].view(np.uint64) for name in _NAMES]
+            for i, j in _pairs(starts, sizes):
+                apart = (part["root"][i] != part["root"][j]) & (part["own"][i] | (part["block"][i] != part["block"][j]))
+                i, j = i[apart], j[apart]
+                near = _near(i, j, part["n"][i], part["n"][j], similarity, lambda x, y: _distance(words, x, y))
+                a, b = part["node"][i[near]], part["node"][j[near]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Verified links a, b of nodes (node, n, keys, _k0, _k1); texts has text, _k0 and _k1.
+    """Verified links a, b of nodes (node, n, fingerprint, unsure, _k0, _k1); texts has text, _k0 and _k1.
 
-    Components of the links are those of all proposed pairs of that similarity; pairs within a component
+    Components of the links are those of all candidate pairs of that similarity; pairs within a component
     that are joined through others are not all listed.
     """
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    first = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct("node", "n")).alias("m")).where("rows > 1")
-    first = first.select("key", F.col("m.node").alias("other"), F.col("m.n").alias("other_n"))
-    rows = cut_lineage(_dealt(keyed, first))
-    n_rows = rows.count()
-    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "_k0", "_k1")
-    sets = cut_lineage(_sets(texts.join(wanted, ["_k0", "_k1"]).select("node", "text"), words).dropDuplicates(["node"]))
-    tried = cut_lineage(_pairs(rows, similarity))
-    links = _verified(tried, sets, similarity)
-    keyed = rows.select("key", "node", "n")
-    for k in range(MOST_ROUNDS + 1):
-        roots = connected_components(links)
-        known = cut_lineage(keyed.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
-        # each component of a key with a random member; keys of one component are done
-        member = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n")).alias("m")
-        parts = known.groupBy("key", "root").agg(F.count("*").alias("size"), member)
-        largest = parts.groupBy("key").agg(
-            F.count("*").alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", "root", "m")).alias("top")
-        ).where("parts > 1")
-        largest = cut_lineage(largest.select(
-            "key", "all", F.col("top.size").alias("size"), F.col("top.root").alias("top"), F.col("top.m.node").alias("other"), F.col("top.m.n").alias("other_n")))
-        left = largest.agg(F.sum(F.col("all").cast("double") * (F.col("all") - F.col("size")))).first()[0] or 0
-        if not left:
-            return links
-        minor = _dealt(known, largest).where("root <> top").select("key", "node", "n", "root", "other", "other_n")
-        last = left <= MANY_PAIRS * n_rows or k == MOST_ROUNDS
-        if last:
-            others = known.join(largest.select("key"), "key", "left_semi")
-            others = others.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
-            minor = minor.drop("other", "other_n").join(others, "key").where("root <> other_root")
-        pairs = cut_lineage(_pairs(minor, similarity).join(tried, ["a", "b"], "left_anti"))
-        links = cut_lineage(links.unionByName(_verified(pairs, sets, similarity)))
-        if last:
-            return links
-        tried = cut_lineage(tried.unionByName(pairs))
+    of_key = Window.partitionBy("key")
+    rows = _keyed(nodes).withColumns({"count": F.count("*").over(of_key), "first": F.min("node").over(of_key)})
+    rows = cut_lineage(rows.where(F.col("count") > 1))
+    pairs = rows.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    tried = cut_lineage(_candidates(pairs, nodes, similarity))
+    links = _verified(tried, _shingles_of(tried, nodes, texts, words), similarity)
+    known = rows.where(F.col("count") > 2).join(connected_components(links), "node", "left")
+    known = cut_lineage(known.select("key", "count", "node", F.coalesce("root", "node").alias("root")))
+    several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    left = known.join(several, "key").join(nodes.select("node", "n", *_NAMES), "node")
+    pairs = cut_lineage(_across(left, similarity).join(tried, ["a", "b"], "left_anti"))
+    return links.unionByName(_verified(pairs, _shingles_of(pairs, nodes, texts, words), similarity))
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """df without near-duplicates: of each component the row with the smallest id stays, nulls last.
 
-    Rows are linked if the Jaccard similarity of their shingle sets reaches `similarity`. All columns of df
-    are kept as they are, whatever their names. Of rows that are equal in id and text one stays. Null and
-    empty texts are one group.
+    Rows are linked if the Jaccard similarity of their shingle sets reaches `similarity`, which the settings of
+    this module expect to be about 0.8 or more. All columns of df are kept as they are, whatever their names. Of rows
+    that are equal in id and text one stays. Null and empty texts are one group; an empty table gives no rows. Long
+    texts count whole. Nodes are named by 64 bits of their sets' digests.
     """
     doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     keys = [F.xxhash64(doc, text).alias("_k0"), F.xxhash64(text, F.lit("near"), doc).alias("_k1")]
-    source = df.select(doc.cast("long").alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), *keys)
+    source = df.select(doc.alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), *keys)
     prints = cut_lineage(_sketches(source, words))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k0", "_k1")
-    nodes = prints.groupBy("s0", "s1").agg(F.min(rank).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = cut_lineage(nodes.select(F.col("s0").alias("node"), "s1", "least", "n", "keys", "least._k0", "least._k1"))
+    carried = [F.first(name).alias(name) for name in ("n", *_NAMES, "unsure")]
+    nodes = prints.groupBy("s0", "s1").agg(F.min(rank).alias("least"), *carried)
+    nodes = cut_lineage(nodes.select(F.col("s0").alias("node"), "s1", "least", "n", *_NAMES, "unsure", "least._k0", "least._k1"))
     roots = connected_components(similar_links(nodes, source.select("text", "_k0", "_k1"), words, similarity))
     linked = nodes.select("node", "least").join(roots, "node")
     of_root = linked.groupBy("root").agg(F.min("least").alias("_least"))
     joined = linked.select("node", "root").join(of_root, "root").select("node", "_least")
-    groups = nodes.join(joined, "node", "left").select(F.col("node").alias("s0"), "s1", F.coalesce("_least", "least").alias("least"))
+    groups = nodes.select("node", "s1", "least").join(joined, "node", "left").select(F.col("node").alias("s0"), "s1", F.coalesce("_least", "least").alias("least"))
     same = F.struct(F.col("least._k0"), F.col("least._k1"))
     gone = prints.select("s0", "s1", "_k0", "_k1").join(groups, ["s0", "s1"]).where(F.struct("_k0", "_k1") != same).select("_k0", "_k1").distinct()
     kept = df.join(gone, [keys[0] == gone["_k0"], keys[1] == gone["_k1"]], "left_anti")

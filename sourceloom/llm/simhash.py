@@ -237,28 +237,3 @@ def component_table(prints: DataFrame, names: list[str], n_segments: int, radius
     known = nodes.join(joined, "node", "left")
     # a linked component may have no id at all; then its minimum is null like the node's own
     return known.select(*names, F.coalesce("_least", column).alias(column))
-
-
-def drop_near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, n_bits: int = 128,
-    n_segments: int = 8, radius: int = 22,
-) -> DataFrame:
-    """df without near-duplicates: of each component the row with the smallest id stays, nulls last.
-
-    Shingles of five words that agree to a Jaccard similarity of 0.8 make an angle whose fingerprints
-    differ in 0.151 of 128 bits, 19.3 on average (standard deviation 4.1); links reach a little further. All columns of df are kept as they are, whatever their
-    names. Of rows that are equal in id and text one stays. Null and empty texts are one group.
-    """
-    names = [f"f{k}" for k in range(n_bits // 64)]
-    doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    keys = [F.xxhash64(doc, text).alias("_k0"), F.xxhash64(text, F.lit("near"), doc).alias("_k1")]
-    source = df.select(doc.cast("long").alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), *keys)
-    prints = cut_lineage(fingerprints(source, words, n_bits))
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k0", "_k1")
-    groups = component_table(prints, names, n_segments, radius, F.min(rank).alias("component_id"))
-    same = F.struct(F.col("component_id._k0"), F.col("component_id._k1"))
-    gone = prints.join(groups, names).where(F.struct("_k0", "_k1") != same).select("_k0", "_k1").distinct()
-    kept = df.join(gone, [keys[0] == gone["_k0"], keys[1] == gone["_k1"]], "left_anti")
-    if prints.groupBy("_k0", "_k1").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col, text_col])
-    return kept

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from test_simhash import brute_prints
 
@@ -43,15 +44,42 @@ def chained(n_words, shared, steps, name):
     return [" ".join(words[k * (n_words - shared) :][:n_words]) for k in range(steps + 1)]
 
 
-@pytest.mark.parametrize("many_pairs", [8, 0])
-def test_similarity_decides(spark, monkeypatch, many_pairs):
+def test_fingerprints_are_majorities(monkeypatch):
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 2, 7, 255, 256, 1000)]
+    prints, unsure = near_duplicates.set_fingerprints(sets)
+    for hashes, got, places in zip(sets, prints, unsure):
+        margins = []
+        for word in range(8):
+            mixed = near_duplicates._mix(hashes * near_duplicates._ODD[0, word] + near_duplicates._ODD[1, word]).tolist()
+            margins += [2 * sum(h >> b & 1 for h in mixed) - len(mixed) for b in range(64)]
+        assert sum((m > 0) << k for k, m in enumerate(margins)) == int.from_bytes(got.tobytes(), "little")
+        for k in range(22):
+            near = [abs(m) for m in margins[23 * k : 23 * k + 23]]
+            assert sorted(near[p] for p in places[k]) == sorted(near)[:4]
+    keys = near_duplicates.segment_keys(prints, unsure)
+    assert keys.shape == (6, 110) and all(len(set(k.tolist())) == 110 for k in keys)
+
+
+def test_pairs_at_the_similarity_meet():
+    """Of pairs at 0.8, over 0.97 meet in some segment, and nearly all are within the distance."""
+    rng = np.random.default_rng(2)
+    words = [rng.integers(0, 1 << 63, 100, dtype=np.uint64) for _ in range(1000)]
+    (a, p), (b, q) = (near_duplicates.set_fingerprints([np.sort(w[s]) for w in words]) for s in (slice(0, 90), slice(10, 100)))
+    meet = [bool(set(x) & set(y)) for x, y in zip(near_duplicates.segment_keys(a, p).tolist(), near_duplicates.segment_keys(b, q).tolist())]
+    assert np.mean(meet) > 0.97
+    assert np.mean(np.bitwise_count(a ^ b).sum(axis=1) <= near_duplicates.MOST_BITS) > 0.995
+
+
+@pytest.mark.parametrize("block", [2048, 2])
+def test_similarity_decides(spark, monkeypatch, block):
     """Chains at 0.8, pairs just below, and pairs whose fingerprints mislead."""
-    monkeypatch.setattr(near_duplicates, "MANY_PAIRS", many_pairs)
+    monkeypatch.setattr(near_duplicates, "KEY_BLOCK", block)
     texts = chained(94, 84, 12, "a") + chained(93, 82, 12, "b")  # 80 of 100 and 78 of 100 shingles shared
     texts += [" ".join(f"c{k}" for k in range(30)) + " x" * 400, " ".join(f"c{k}" for k in range(30)) + " x" * 9]  # equal sets
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     expected = kept_by_all_pairs(rows.collect())
     assert expected == [0, *range(13, 26), 26]
     assert sorted(r.doc_id for r in near_duplicates.drop_similar(rows).collect()) == expected
-    far = [brute_prints(t, 5, (42, 43)) for t in texts[-2:]]
+    far = [brute_prints(t, 5, (42, 43)) for t in texts[-2:]]  # fingerprints of repeated shingles are far apart
     assert sum((a ^ b).bit_count() for a, b in zip(*far)) > 22

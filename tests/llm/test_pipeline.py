@@ -1,6 +1,6 @@
 import __spark_entry__ as entry
 import corpus_pipeline
-from test_simhash import brute_components, brute_prints
+from test_near_duplicates import kept_by_all_pairs
 from test_tokens import check_packing
 
 from sourceloom.llm import quality_rules, toxicity
@@ -21,8 +21,7 @@ def test_stages_take_effect(spark, sf_dir, tmp_path):
             good = {r.doc_id for r in quality_rules.quality_measures(spark.createDataFrame(before)).where("kept").collect()}
             assert {r.doc_id for r in after} == good
         elif name == "near_duplicates":
-            prints = [brute_prints(r.text, 5, (42, 43)) for r in before]
-            assert sorted(r.doc_id for r in after) == sorted(set(brute_components(before, prints, 22)))
+            assert sorted(r.doc_id for r in after) == kept_by_all_pairs(before)
         elif name == "packing":
             assert {r.doc_id for r in after} == {r.doc_id for r in before}
     assert seen == ["quality_rules", "toxicity", "near_duplicates", "packing"]
@@ -31,7 +30,14 @@ def test_stages_take_effect(spark, sf_dir, tmp_path):
 def test_stages_take_empty_and_odd_rows(spark, sf_dir, edge_docs, empty_docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty_docs, sf_dir).count() == 0
-        stage(spark, edge_docs, sf_dir).count()
+    kept = {name: stage(spark, edge_docs, sf_dir) for name, stage in corpus_pipeline.STAGES}
+    assert kept["quality_rules"].columns == kept["toxicity"].columns == kept["near_duplicates"].columns == edge_docs.columns
+    assert kept["quality_rules"].collect() == []
+    assert kept["toxicity"].count() == edge_docs.count()
+    texts = [r.text for r in kept["near_duplicates"].collect()]
+    assert len(texts) == len(set(texts)) == 11 and sum(not (t or "").strip() for t in texts) == 1
+    placed = {(r.doc_id, r.doc_tokens) for r in kept["packing"].collect()}
+    assert {d for d, _ in placed} == {r.doc_id for r in edge_docs.collect()} and (0, 1) in placed and (None, 1) in placed
 
 
 def test_every_operator_is_registered():

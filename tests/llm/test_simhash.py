@@ -93,16 +93,8 @@ def test_edge_rows(edge_docs, empty_docs):
     assert simhash.simhash_components(empty_docs).collect() == []
 
 
-def test_one_row_of_each_group_stays(sample, edge_docs, empty_docs):
-    rows = sample.collect()
-    prints = [brute_prints(r.text, 5, (42, 43)) for r in rows]
-    kept = simhash.drop_near_duplicates(sample)
-    assert kept.columns == sample.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_components(rows, prints, 22)))
-    left = simhash.drop_near_duplicates(edge_docs)
-    assert left.columns == edge_docs.columns
-    texts = [r.text for r in left.collect()]
-    assert texts.count("same text here") == 1 and sum(not (t or "").strip() for t in texts) == 1
-    assert simhash.drop_near_duplicates(empty_docs).collect() == []
-    copies = [r.text for r in rows]
-    assert simhash.drop_near_duplicates(sample.union(sample)).count() == len(set(brute_components(rows, prints, 22))) and copies
+def test_components_of_long_paths_are_whole(spark):
+    links = spark.range(3000).selectExpr("(id * 7919) % 3001 as a", "((id + 1) * 7919) % 3001 as b")
+    found = connected_components(links).collect()
+    assert len(found) == 3001 and {r.root for r in found} == {0}
+    assert connected_components(links.limit(0)).collect() == []
