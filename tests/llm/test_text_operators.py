@@ -187,6 +187,23 @@ def test_shards(sample, edge_docs, empty_docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_repeated_rows_spread_over_buckets(spark, monkeypatch):
+    """A third of all rows are one row; all rows stay, and so do rows that differ in other columns or in nulls only."""
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(1, "same", None, {"k": 1})] * 100 + [(1, "same", "x", {"k": 2})] * 60 + [(None, None, None, None)] * 50 + [(k, f"t{k}", "y", {"k": k}) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, extra map<string,int>")
+    sharded = sharding.shuffle_into_shards(docs, bucket_bytes=1024)
+    got = sharded.select("row.*", "shard", "slot").collect()
+    key = lambda r: str((r[0], r[1], r[2], r[3]))
+    assert sorted(map(key, got)) == sorted(map(key, rows))
+    places = sorted(8 * r.slot + r.shard for r in got)
+    assert places == list(range(300))
+    at = [8 * r.slot + r.shard for r in got if (r.text, r.lang) == ("same", None)]
+    assert min(at) < 60 and max(at) > 240 and len(set(k // 60 for k in at)) == 5
+    again = sharding.shuffle_into_shards(docs, bucket_bytes=1024).select("row.*", "shard", "slot").collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_shards_are_written_in_order(spark, sample, tmp_path):
     sharded = sharding.shuffle_into_shards(sample)
     sharding.write_shards(sharded, f"{tmp_path}/out", rows_per_file=10)
