@@ -2,6 +2,7 @@ import hashlib
 import html
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -153,6 +154,36 @@ def test_main_text_of_small_pages(source, text):
     assert html_text.main_text(source) == text
 
 
+ARTICLE = "<h1>Title of it</h1><p>" + "word text here. " * 30 + "</p><p>" + "more of it now. " * 30 + "</p>"
+READERS = "<div class=comments>" + "<p>Reader says something long enough to count as a paragraph of text.</p>" * 40 + "</div>"
+
+
+@pytest.mark.parametrize("readers", ["", READERS])
+@pytest.mark.parametrize("wrap", [
+    "<article>%s</article>", "<div>%s</div>", "<div class='content no-sidebar'>%s</div>", "<div class='has-sidebar'><div>%s</div></div>", "<form><div>%s</div></form>",
+    "<form action=x><article>%s</article></form>", "<div data-role=menu class='with-comments'>%s</div>", "<div id=discussion>%s</div>", "<section id=search><main>%s</main></section>",
+])
+def test_wrappers_do_not_hide_the_article(wrap, readers):
+    menu = "<nav><ul>" + "".join(f"<li><a href=/x>link {k}</a></li>" for k in range(6)) + "</ul></nav>"
+    page = f"<html><body>{menu}<div class='ad-slot'>Buy this now</div>{wrap % ARTICLE}{readers}<div class='site-footer'>All rights reserved by us</div></body></html>"
+    assert html_text.main_text(page) == "\n".join(["Title of it", ("word text here. " * 30).strip(), ("more of it now. " * 30).strip()])
+
+
+def test_names_inside_an_article():
+    page = (
+        "<body><article><h2 id='related-work'>Related work</h2><p class='share-price'>Shares fell today.</p><section id=discussion><p>We discuss.</p></section>"
+        "<div class='share-buttons'>Tweet</div><aside>Beside</aside><p>End.</p></article></body>"
+    )
+    assert html_text.main_text(page) == "Related work\nShares fell today.\nWe discuss.\nEnd."
+
+
+@pytest.mark.parametrize("source", ["<ul><li>x" * 100_000, "<a " * 300_000, "<div>" * 100_000 + "text", "<b>" * 100_000 + "x " * 1_000, "<p class='ad'>" * 50_000 + "y"])
+def test_deep_pages_take_linear_time(source):
+    began = time.process_time()
+    html_text.main_text(source)
+    assert time.process_time() - began < 12
+
+
 def test_pages_edge_rows(spark):
     rows = [(1, None, None, 3), (None, "u", "<p>x", 3), (2, "u", "", 3), (2, "u", "", 3), (3, "v", "<p>" + "word " * 50_000, 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
