@@ -1,15 +1,14 @@
 """SimHash near-duplicates whose links are verified on the whole shingle sets.
 
-Texts of one shingle set are one node with a fingerprint of 512 bits and, for each of its 22 segments of 23 bits,
+Texts of one shingle set are one node with a fingerprint of 1024 bits and, for each of the 22 segments of 23 bits in its first half,
 the 4 least certain bits: those whose counts are nearest to half of the shingles. Candidates come from a table of
 segments: each node enters under the segment as it is and under the ball around it that flips one of those bits, so
-two nodes meet under a key if they differ there in up to two such bits. Complete distances, then the exact Jaccard
-similarity of the shingle sets, decide.
+two nodes meet under a key if they differ there in up to two such bits.
 
 At a similarity of 0.8 a bit differs with probability 0.151, and differing bits are nearly always uncertain ones: of
 random sets of 45 to 400 shingles 0.989 to 0.995 meet in some segment, of 9 shingles 0.965, of 4 and 5 shingles 0.81;
 more similar ones nearly always. Whole balls of radius 1 would take 24 keys a segment instead of 5. Unrelated nodes meet
-in 7 of 100,000 pairs; for over a billion nodes take wider segments.
+in 7 of 100,000 pairs; for over ten million nodes take wider segments, and more of them (28 bits: 36).
 
 Links are sought twice: each node of a key against the key's smallest node; then, within the keys that still hold
 several components, every pair of two components, in blocks of bounded size. So large groups of copies do not give
@@ -29,14 +28,16 @@ from .components import connected_components
 from .simhash import _distance, _pairs, _sorted_keys
 
 SEGMENTS, WIDTH, UNSURE = 22, 23, 4
-#: Bits in which sets at the similarity may differ: three standard deviations over the mean of 77.5.
-MOST_BITS = 102
+#: Bits in which sets at the similarity may differ: three standard deviations over the mean of 155.
+MOST_BITS = 189
 #: Small sets have more bits that tie, and so larger distances: this, divided by the set's size, is added.
-MORE_BITS = 160
+MORE_BITS = 320
+#: Bits of the 64 that rows carry in which they may differ: four standard deviations over the mean of 9.7.
+MOST_HINT_BITS = 22
 #: Rows of a key that are compared in one block.
 KEY_BLOCK = 2048
 
-_WORDS = 8
+_WORDS = 16
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(0, 1 << 63, (2, _WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,7 +68,7 @@ def shingle_set(text: str, words: int) -> np.ndarray:
 
 
 def set_fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints (8 words each), and the bits of each segment that are nearest to a tie, in the order of their places."""
+    """Fingerprints (16 words each), and the bits of each segment that are nearest to a tie, in the order of their places."""
     sizes = np.array([len(s) for s in sets])
     ends = np.cumsum(sizes)
     # runs of at most 255 shingles, so that counts fit into bytes
@@ -116,7 +117,8 @@ def _sketches(source: DataFrame, words: int) -> DataFrame:
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
-    """key and node for each key of each node."""
+    """key, node and hint (a word of the fingerprint that the key's segment is not in) for each key of each node."""
+    hints = np.repeat((np.arange(SEGMENTS) * WIDTH // 64 + _WORDS // 2) % _WORDS, 1 + UNSURE)
 
     def run(batches):
         for batch in batches:
@@ -126,36 +128,38 @@ def _keyed(nodes: DataFrame) -> DataFrame:
                 unsure = np.frombuffer(b"".join(part.column(_WORDS + 1).to_pylist()), np.uint8).reshape(-1, SEGMENTS, UNSURE)
                 keys = segment_keys(np.ascontiguousarray(prints), unsure)
                 of = np.repeat(part.column(0).to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(of)], names=["key", "node"])
+                hint = prints[:, hints].ravel().view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(of), pa.array(hint)], names=["key", "node", "hint"])
 
-    return nodes.select("node", *_NAMES, "unsure").mapInArrow(run, "key long, node long")
+    return nodes.select("node", *_NAMES, "unsure").mapInArrow(run, "key long, node long, hint long")
 
 
 def _sets(source: DataFrame, words: int) -> DataFrame:
-    """Adds the shingle set as an array."""
+    """Adds the shingle set as a sorted array."""
 
     def work(texts):
-        sets = [shingle_set(t, words) for t in texts]
+        sets = [np.sort(shingle_set(t, words).view(np.int64)) for t in texts]
         offsets = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
-        return {"shingles": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))}
+        return {"shingles": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))}
 
     return map_texts(source, lambda: work, "shingles array<bigint>")
 
 
-def _near(a: list, b: list, n_a, n_b, similarity: float, distance):
-    """The condition on sizes and distance, of columns or arrays."""
-    small, large = (F.least(n_a, n_b), F.greatest(n_a, n_b)) if isinstance(n_a, Column) else (np.minimum(n_a, n_b), np.maximum(n_a, n_b))
-    return (small >= similarity * large) & (distance(a, b) <= MOST_BITS + MORE_BITS / small)
+def _met(rows: DataFrame, other: str) -> DataFrame:
+    """Distinct pairs a < b of node and other.node in the same row whose hints are near."""
+    near = F.bit_count(F.col("hint").bitwiseXOR(F.col(f"{other}.hint"))) <= MOST_HINT_BITS
+    rows = rows.where((F.col("node") != F.col(f"{other}.node")) & near)
+    return rows.select(F.least("node", f"{other}.node").alias("a"), F.greatest("node", f"{other}.node").alias("b")).distinct()
 
 
 def _candidates(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose sizes and fingerprints allow the similarity."""
+    """The pairs a, b whose sizes and complete fingerprints allow the similarity."""
     side = nodes.select("node", "n", *_NAMES)
     for name in ("a", "b"):
         pairs = pairs.join(side.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in side.columns[1:])), name)
-    words = [[F.col(f"{name}_{c}") for c in _NAMES] for name in ("a", "b")]
-    bits = lambda x, y: sum((F.bit_count(p.bitwiseXOR(q)) for p, q in zip(x[1:], y[1:])), F.bit_count(x[0].bitwiseXOR(y[0])))
-    return pairs.where(_near(*words, F.col("a_n"), F.col("b_n"), similarity, bits)).select("a", "b")
+    distance = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _NAMES), F.lit(0))
+    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    return cut_lineage(pairs.where((small >= similarity * large) & (distance <= MOST_BITS + MORE_BITS / small)).select("a", "b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -167,39 +171,89 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return cut_lineage(both.where(F.col("both") / (F.col("p") + F.col("q") - F.col("both")) >= similarity).select("a", "b"))
 
 
-def _shingles_of(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """node and shingles of every node of the pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = nodes.join(wanted, "node", "left_semi").select("node", "_k0", "_k1")
+def _shingles_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """node and shingles of every node that is wanted."""
+    rows = nodes.join(wanted.distinct(), "node", "left_semi").select("node", "_k0", "_k1")
     return cut_lineage(_sets(texts.join(rows, ["_k0", "_k1"]).select("node", "text"), words).dropDuplicates(["node"]))
 
 
-def _across(rows: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs a < b of one key but of two roots that sizes and fingerprints allow.
+def _smallest_common(prints: np.ndarray, unsure: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest key that the rows i and j share."""
+    x, y = (segment_keys(prints[k], unsure[k]).reshape(len(k), SEGMENTS, 1 + UNSURE) for k in (i, j))
+    shared = (x[:, :, :, None] == y[:, :, None, :]).any(axis=3)
+    return np.where(shared, x, np.iinfo(np.int64).max).min(axis=(1, 2))
 
-    rows: key, count (of rows in the key), node, n, root and the fingerprint. Rows of a key are dealt into blocks; a task compares
-    two blocks, so no task holds a whole large key.
+
+def _shared_sizes(sets: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sorted sets of rows i and j; i is in order."""
+    out = np.empty(len(i), np.int64)
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+    for a, b in zip(first, [*first[1:], len(i)]):
+        own = sets[i[a]]
+        others = [sets[k] for k in j[a:b]]
+        values = np.concatenate(others)
+        found = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        out[a:b] = np.add.reduceat(found.astype(np.int64), np.cumsum([0, *(len(o) for o in others[:-1])]))
+    return out
+
+
+def _blocks_of_keys(rows: DataFrame) -> DataFrame:
+    """Rows (key, count, node, n, root, fingerprint, unsure) dealt into blocks of their keys; group names two blocks that meet.
+
+    A task compares two blocks, so no task holds a whole large key.
     """
     n_blocks = F.ceil(F.col("count") / KEY_BLOCK).cast("int")
     rows = rows.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    rows = rows.select(group.alias("key"), (F.col("block") == F.col("other")).alias("own"), "block", "node", "n", "root", *_NAMES)
+    return rows.select(
+        group.alias("key"), F.col("key").alias("own_key"), (F.col("block") == F.col("other")).alias("own"), "block", "node", "n", "root", *_NAMES, "unsure")
+
+
+def _partners(part: dict, similarity: float):
+    """Pairs of rows of one group but of two roots whose sizes and complete fingerprints allow the similarity, under their smallest common key."""
+    starts = np.flatnonzero(np.r_[True, part["key"][1:] != part["key"][:-1]])
+    sizes = np.diff(np.r_[starts, len(part["key"])])
+    words = [part[name].view(np.uint64) for name in _NAMES]
+    prints = np.stack(words, axis=1)
+    unsure = np.frombuffer(b"".join(part["unsure"]), np.uint8).reshape(-1, SEGMENTS, UNSURE)
+    for i, j in _pairs(starts, sizes):
+        apart = (part["root"][i] != part["root"][j]) & (part["own"][i] | (part["block"][i] != part["block"][j]))
+        i, j = i[apart], j[apart]
+        small, large = np.minimum(part["n"][i], part["n"][j]), np.maximum(part["n"][i], part["n"][j])
+        near = (small >= similarity * large) & (_distance(words, i, j) <= MOST_BITS + MORE_BITS / small)
+        i, j = i[near], j[near]
+        for at in range(0, len(i), 10_000):
+            x, y = i[at : at + 10_000], j[at : at + 10_000]
+            here = _smallest_common(prints, unsure, x, y) == part["own_key"][x]
+            if here.any():
+                yield x[here], y[here]
+
+
+def _across(rows: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Verified links a, b within keys and between roots; rows: key, count (of rows in the key), node and root."""
+    rows = _blocks_of_keys(rows.join(nodes.select("node", "n", *_NAMES, "unsure"), "node"))
+    names = rows.columns
+
+    def with_partners(batches):
+        for part in _sorted_keys(batches):
+            found = [np.concatenate(pair) for pair in _partners(part, similarity)]
+            if found:
+                kept = np.unique(np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([pa.array(part[name][kept]) for name in names], names=names)
 
-    def run(batches):
+    def linked(batches):
         for part in _sorted_keys(batches):
-            starts = np.flatnonzero(np.r_[True, part["key"][1:] != part["key"][:-1]])
-            sizes = np.diff(np.r_[starts, len(part["key"])])
-            words = [part[name].view(np.uint64) for name in _NAMES]
-            for i, j in _pairs(starts, sizes):
-                apart = (part["root"][i] != part["root"][j]) & (part["own"][i] | (part["block"][i] != part["block"][j]))
-                i, j = i[apart], j[apart]
-                near = _near(i, j, part["n"][i], part["n"][j], similarity, lambda x, y: _distance(words, x, y))
-                a, b = part["node"][i[near]], part["node"][j[near]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            sets = part["shingles"]
+            for i, j in _partners(part, similarity):
+                both = _shared_sizes(sets, i, j)
+                alike = both / (part["n"][i] + part["n"][j] - both) >= similarity
+                a, b = part["node"][i[alike]], part["node"][j[alike]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    met = cut_lineage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(with_partners, rows.schema))
+    sets = _shingles_of(met.select("node"), nodes, texts, words)
+    return cut_lineage(met.join(sets, "node").repartition("key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long"))
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -209,17 +263,14 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: fl
     that are joined through others are not all listed.
     """
     of_key = Window.partitionBy("key")
-    rows = _keyed(nodes).withColumns({"count": F.count("*").over(of_key), "first": F.min("node").over(of_key)})
+    rows = _keyed(nodes).withColumns({"count": F.count("*").over(of_key), "first": F.min(F.struct("node", "hint")).over(of_key)})
     rows = cut_lineage(rows.where(F.col("count") > 1))
-    pairs = rows.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    tried = cut_lineage(_candidates(pairs, nodes, similarity))
-    links = _verified(tried, _shingles_of(tried, nodes, texts, words), similarity)
-    known = rows.where(F.col("count") > 2).join(connected_components(links), "node", "left")
-    known = cut_lineage(known.select("key", "count", "node", F.coalesce("root", "node").alias("root")))
-    several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = known.join(several, "key").join(nodes.select("node", "n", *_NAMES), "node")
-    pairs = cut_lineage(_across(left, similarity).join(tried, ["a", "b"], "left_anti"))
-    return links.unionByName(_verified(pairs, _shingles_of(pairs, nodes, texts, words), similarity))
+    tried = _candidates(_met(rows, "first"), nodes, similarity)
+    ends = tried.select(F.explode(F.array("a", "b")).alias("node"))
+    links = _verified(tried, _shingles_of(ends, nodes, texts, words), similarity)
+    known = rows.where(F.col("count") > 2).select("key", "count", "node").join(connected_components(links), "node", "left")
+    known = known.withColumn("root", F.coalesce("root", "node")).withColumns({"low": F.min("root").over(of_key), "high": F.max("root").over(of_key)})
+    return links.unionByName(_across(known.where("low < high").select("key", "count", "node", "root"), nodes, texts, words, similarity))
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

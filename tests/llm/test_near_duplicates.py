@@ -50,7 +50,7 @@ def test_fingerprints_are_majorities(monkeypatch):
     prints, unsure = near_duplicates.set_fingerprints(sets)
     for hashes, got, places in zip(sets, prints, unsure):
         margins = []
-        for word in range(8):
+        for word in range(16):
             mixed = near_duplicates._mix(hashes * near_duplicates._ODD[0, word] + near_duplicates._ODD[1, word]).tolist()
             margins += [2 * sum(h >> b & 1 for h in mixed) - len(mixed) for b in range(64)]
         assert sum((m > 0) << k for k, m in enumerate(margins)) == int.from_bytes(got.tobytes(), "little")
@@ -61,6 +61,14 @@ def test_fingerprints_are_majorities(monkeypatch):
     assert keys.shape == (6, 110) and all(len(set(k.tolist())) == 110 for k in keys)
 
 
+def test_shared_sizes():
+    rng = np.random.default_rng(3)
+    sets = np.empty(20, object)
+    sets[:] = [np.unique(rng.integers(-30, 30, rng.integers(1, 40))) for _ in range(20)]
+    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(20) for b in range(20)]))
+    assert near_duplicates._shared_sizes(sets, i, j).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
+
+
 def test_pairs_at_the_similarity_meet():
     """Of pairs at 0.8, over 0.97 meet in some segment, and nearly all are within the distance."""
     rng = np.random.default_rng(2)
