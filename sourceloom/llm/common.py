@@ -84,6 +84,12 @@ def map_texts(
     return df.mapInArrow(run, schema)
 
 
+def text_blocks(column: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a column of texts, each of bounded bytes or one text."""
+    for a, b in _byte_blocks(np.diff(np.asarray(_offsets(column)))):
+        yield column.slice(a, b - a)
+
+
 def _array(values) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values)
 

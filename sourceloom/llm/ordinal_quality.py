@@ -2,8 +2,8 @@
 
 One weight vector over hashed features is shared by all grades; ordered thresholds cut its line into grades:
 P(grade <= k) = 1 / (1 + exp(-(threshold_k - score))). A text's score is the mean over its words of the weights of
-three features of each word (the word, its first five characters and its shape), plus weighted shares of
-repetition. The expected grade and the probability of the best grades (tail) serve for selection.
+six features of each word (the word, its shape, and its folded form with that one's first four, five and six letters), plus
+weighted shares of repetition. The expected grade and the probability of the best grades (tail) serve for selection.
 """
 
 from __future__ import annotations
@@ -19,17 +19,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordMemory, cut_lineage, id_and_text, map_texts
+from .toxicity import fold
 
 #: Words in each generation of a worker's memory. Results do not depend on it.
 MAX_WORDS = 200_000
 _RUNS = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"\p{L}+"), "a"), (regex.compile(r"\p{N}+"), "9"), (regex.compile(r"([^Aa9])\1+"), r"\1\1"))
 
 
-def word_features(word: str, n_features: int) -> tuple[int, int, int]:
-    low, shape = word.lower(), word
+def word_features(word: str, n_features: int) -> tuple[int, ...]:
+    shape, folded = word, fold(word).replace(" ", "")
     for pattern, to in _RUNS:
         shape = pattern.sub(to, shape)
-    names = ("w" + low, "p" + low[:5], "s" + shape[:12])
+    names = ("w" + word.lower(), "s" + shape[:12], "f" + folded, *(f"{k}" + folded[:k] for k in (4, 5, 6)))
     return tuple(xxhash.xxh64_intdigest(x) % n_features for x in names)
 
 
@@ -66,16 +67,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_ordinal(
-    docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_features: int = 1 << 14,
-    most_rows: int = 6_000, rounds: int = 150, ridge: float = 4e-4,
+    docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_features: int = 1 << 15,
+    most_rows: int = 6_000, rounds: int = 200, ridge: float = 2e-4,
 ) -> OrdinalModel:
     """Fits weights and thresholds to graded rows (doc_id, grade), none of them held out.
 
-    At most most_rows rows are used, those of the smallest hashed ids; their features (a few hundred numbers each)
-    are fitted on the driver. Without rows, or with one grade only, all weights are 0.
+    At most most_rows rows are used, those of the smallest hashed ids, one for each id (the first of its texts in their order);
+    their features (a few hundred numbers each as a rule, at most n_features) are fitted on the driver. Grades without a document and
+    null ids are left out; null and empty texts have no words. Without rows, or with one grade only, all weights are 0.
     """
     pick = grades.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(pick), "doc_id")  # at most most_rows rows of two numbers
+    rows = rows.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def make():
         memory = WordMemory(lambda words: [word_features(w, n_features) for w in words], MAX_WORDS)
@@ -93,21 +96,18 @@ def fit_ordinal(
 
         return work
 
-    table = cut_lineage(map_texts(rows, make, "places array<int>, values array<float>")).select("grade", "places", "values").toPandas()
-    table = table[table["places"].map(len) > 0]
-    n_grades = int(table["grade"].max()) + 1 if len(table) else 1
-    weights = np.zeros(n_features)
-    if len(table) == 0 or table["grade"].nunique() < 2:
-        return OrdinalModel(weights, np.zeros(0))
-    return _fit(table, n_features, n_grades, rounds, ridge)
-
-
-def _fit(table, n_features: int, n_grades: int, rounds: int, ridge: float) -> OrdinalModel:
-    """Full-batch Adam on the negative log-likelihood; later thresholds are sums of positive steps."""
-    y = table["grade"].to_numpy(np.int64)
-    sizes = table["places"].map(len).to_numpy()
-    ends = np.cumsum(sizes)
-    places, values = np.concatenate(table["places"].to_list()), np.concatenate(table["values"].to_list())
+    table = cut_lineage(map_texts(rows, make, "places array<int>, values array<float>")).select("grade", "places", "values").toArrow().combine_chunks()
+    grades = table["grade"].to_numpy().astype(np.int64)
+    if len(np.unique(grades)) < 2:
+        return OrdinalModel(np.zeros(n_features), np.zeros(0))
+    flat = lambda name: table[name].combine_chunks()
+    ends = np.cumsum(flat("places").value_lengths().to_numpy())
+    return _fit(grades, ends, flat("places").flatten().to_numpy(), flat("values").flatten().to_numpy(), n_features, int(grades.max()) + 1, rounds, ridge)
+
+
+def _fit(y: np.ndarray, ends: np.ndarray, places: np.ndarray, values: np.ndarray, n_features: int, n_grades: int, rounds: int, ridge: float) -> OrdinalModel:
+    """Full-batch Adam on the negative log-likelihood, with steps that shrink to nothing over the second half; later thresholds are sums of positive steps."""
+    sizes = np.diff(ends, prepend=0)
     # rows in parts, so that what a step holds beside the data stays small
     parts = [(k, min(k + 500, len(y))) for k in range(0, len(y), 500)]
     spans = [slice(int(ends[a] - sizes[a]), int(ends[b - 1])) for a, b in parts]
@@ -138,7 +138,7 @@ def _fit(table, n_features: int, n_grades: int, rounds: int, ridge: float) -> Or
         gradient[n_features + 1 :] = np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(log_step)
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
-        parameters -= 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        parameters -= 0.05 * min(1.0, 2 * (1 - t / rounds)) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     cut, log_step = parameters[n_features], parameters[n_features + 1 :]
     return OrdinalModel(parameters[:n_features] * scale, np.concatenate([[cut], cut + np.cumsum(np.exp(log_step))]))
 

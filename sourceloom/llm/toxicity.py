@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, id_and_text, map_texts
+from .common import cut_lineage, id_and_text, map_texts, text_blocks
 
 #: Signs that stand for letters, and letters of other scripts that look like them.
 DIGITS = dict(zip("0134578", "oieastb"))
@@ -81,7 +81,7 @@ def fold(text: str) -> str:
 def features(folded: str, prefixes: tuple[int, ...]) -> set[str]:
     """Patterns that a text matches: " word " and " prefix" of the given lengths."""
     words = set(folded.split())
-    found = {f" {w} " for w in words if len(w) <= 40}
+    found = {f" {w} " for w in words}
     for n in prefixes:
         found.update(" " + w[:n] for w in words if len(w) > n)
     return found
@@ -145,7 +145,10 @@ class Matcher:
 def training_rows(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_toxic: int, most_clean: int
 ) -> DataFrame:
-    """A bounded sample of labelled rows that are not held out: toxic, text."""
+    """A bounded sample of labelled rows that are not held out: toxic, text.
+
+    Of rows of one id the first text in their order is taken, so the bounds on ids bound the rows.
+    """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where("doc_id is not null and toxic in (0, 1)")
@@ -157,22 +160,25 @@ def training_rows(
         known.where("toxic = 0").orderBy(*order).limit(most_clean)
     )
     # at most most_toxic + most_clean rows of two numbers
-    return cut_lineage(id_and_text(docs, id_col, text_col).join(F.broadcast(pick), "doc_id").select("toxic", "text"))
+    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(pick), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return cut_lineage(rows.select("toxic", "text"))
 
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_toxic: int = 3_000,
-    most_clean: int = 9_000, most_patterns: int = 20_000, least_share: float = 0.01, prefixes: tuple[int, ...] = (4, 5, 6, 7, 8),
+    most_clean: int = 9_000, least_share: float = 0.01, prefixes: tuple[int, ...] = (4, 5, 6, 7, 8),
     exceptions: tuple[str, ...] = (),
 ) -> ToxicityModel:
     """Learns the lexicon, its weights, exception phrases and the curve from labelled rows.
 
     At most most_toxic and most_clean rows are used, those of the smallest hashed ids, and none that is held
-    out (crc32 of the id as text divisible by 5). A pattern is a whole word or the beginning of one; it must
+    out (crc32 of the id as text divisible by 5), one for each id. A pattern is a whole word or the beginning of one; it must
     stand in least_share of the toxic texts and in five, copies counted once (texts whose smallest hashed 3-word shingle
     is the same), and be at least ten times as frequent among toxic texts as among others. Given exceptions
     are phrases; others are learned: phrases of two words around a match that only clean texts have.
-    Without toxic or clean rows, or without such patterns, the lexicon is empty and all
+    Nothing else is cut: all such patterns and phrases are kept, of words of any length. As each pattern takes least_share of
+    the toxic texts, the driver gets at most 1 / least_share times the patterns of an average one. Null ids and labels are left
+    out, null and empty texts have no words. Without toxic or clean rows, or without such patterns, the lexicon is empty and all
     scores are near 0; a text without matches always scores under 0.5.
     """
     rows = training_rows(docs, labels, id_col, text_col, most_toxic, most_clean)
@@ -185,27 +191,26 @@ def fit_toxicity(
 
     def with_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = set()
-            for text in batch.column("text").to_pylist():
-                folded = fold(text)
-                words = folded.split()
-                kin = min(xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2)))
-                pairs.update((pattern, kin >> 1) for pattern in features(folded, prefixes))
-            columns = list(zip(*pairs)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], names=["pattern", "kin"])
+            for part in text_blocks(batch.column("text")):
+                pairs = set()
+                for text in part.to_pylist():
+                    folded = fold(text)
+                    words = folded.split()
+                    kin = min(xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2)))
+                    pairs.update((pattern, kin >> 1) for pattern in features(folded, prefixes))
+                columns = list(zip(*pairs)) or [(), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], names=["pattern", "kin"])
 
     found = toxic.select("text").mapInArrow(with_copies, "pattern string, kin long").distinct().groupBy("pattern").count()
     least = max(5, math.ceil(least_share * n_toxic))
-    candidates = {
-        r["pattern"]: r["count"]
-        for r in found.where(F.col("count") >= least).orderBy(F.desc("count"), "pattern").limit(most_patterns).collect()
-    }
+    candidates = {r["pattern"]: r["count"] for r in found.where(F.col("count") >= least).collect()}
 
     def of_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update(candidates.keys() & features(fold(text), prefixes))
+            for part in text_blocks(batch.column("text")):
+                for text in part.to_pylist():
+                    seen.update(candidates.keys() & features(fold(text), prefixes))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
     among_clean = {
@@ -240,19 +245,23 @@ def _sums(rows: DataFrame, model: ToxicityModel) -> DataFrame:
     return map_texts(rows, make, "total double, n_words long")
 
 
-def _learn_exceptions(rows: DataFrame, model: ToxicityModel, least: int = 3, most: int = 1_000) -> list[str]:
+def _learn_exceptions(rows: DataFrame, model: ToxicityModel, least: int = 3) -> list[str]:
+    """Phrases of two words around a match that stand in at least so many clean texts and in no toxic one."""
+
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, seen = Matcher(model), Counter()
         for batch in batches:
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-                folded, own = fold(text), set()
-                for start in matcher.hits(folded):
-                    stop = folded.index(" ", start + 1)
-                    before = folded.rfind(" ", 0, start)
-                    after = folded.find(" ", stop + 1)
-                    own.update({folded[before : stop + 1]} if before >= 0 else ())
-                    own.update({folded[start : after + 1]} if after >= 0 else ())
-                seen.update((toxic, phrase) for phrase in own)
+            labels = iter(batch.column("toxic").to_pylist())
+            for part in text_blocks(batch.column("text")):
+                for text, toxic in zip(part.to_pylist(), labels):
+                    folded, own = fold(text), set()
+                    for start in matcher.hits(folded):
+                        stop = folded.index(" ", start + 1)
+                        before = folded.rfind(" ", 0, start)
+                        after = folded.find(" ", stop + 1)
+                        own.update({folded[before : stop + 1]} if before >= 0 else ())
+                        own.update({folded[start : after + 1]} if after >= 0 else ())
+                    seen.update((toxic, phrase) for phrase in own)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
             names=["toxic", "phrase", "n"],
@@ -261,8 +270,8 @@ def _learn_exceptions(rows: DataFrame, model: ToxicityModel, least: int = 3, mos
     found = rows.mapInArrow(phrases, "toxic int, phrase string, n long").groupBy("phrase").agg(
         F.sum(F.col("n") * F.col("toxic")).alias("toxic"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("clean")
     )
-    found = found.where((F.col("toxic") == 0) & (F.col("clean") >= least)).orderBy(F.desc("clean"), "phrase").limit(most)
-    return [r["phrase"] for r in found.collect()]
+    found = found.where((F.col("toxic") == 0) & (F.col("clean") >= least))
+    return sorted(r["phrase"] for r in found.collect())
 
 
 def _fit_curve(rows: list, ridge: float = 0.02, rounds: int = 50) -> tuple[float, float]:
@@ -301,14 +310,17 @@ def toxicity_scores(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
 
 
 def drop_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """df without the rows whose text scores `threshold` or more; all columns stay as they are."""
+    """df without the rows whose text scores `threshold` or more; all columns stay as they are, whatever their names.
+
+    Null and empty texts have no match and stay, and so do rows of null ids; equal rows fare alike; an empty table gives none.
+    Texts of any length are matched whole.
+    """
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            kept = [model.score(*matcher.sums(text or "")) < threshold for text in texts]
+            kept = [model.score(*matcher.sums(text or "")) < threshold for part in text_blocks(batch.column(at)) for text in part.to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -1,5 +1,6 @@
 import hashlib
 import html
+import math
 import re
 import struct
 import time
@@ -7,7 +8,9 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+import xxhash
 
 from sourceloom.llm import html_text, media, ordinal_quality, quality_rules, sharding, toxicity
 
@@ -110,9 +113,131 @@ def test_toxicity_of_held_out_rows(spark):
     assert sum(r.predicted == r.toxic for r in scores) >= 0.93 * len(scores)
 
 
+def test_toxicity_against_brute_force(spark):
+    """Lexicon, exceptions, curve and scores computed once more by plain loops over all labelled rows."""
+    folder, prefixes = "/root/testdata/sf0.01", (4, 5, 6, 7, 8)
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    known = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    texts = {r.doc_id: toxicity.fold(r.text or "") for r in docs.collect()}
+    patterns = {}
+    for d in known:
+        words = set(texts[d].split())
+        patterns[d] = {f" {w} " for w in words} | {" " + w[:n] for w in words for n in prefixes if len(w) > n}
+    toxic, clean = [d for d in known if known[d]], [d for d in known if not known[d]]
+    kin = {}
+    for d in toxic:
+        words = texts[d].split()
+        kin[d] = min(xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2)))
+    weights = {}
+    support = {p: len({kin[d] for d in toxic if p in patterns[d]}) for p in set().union(*(patterns[d] for d in toxic))}
+    for p, n in sorted(support.items(), key=lambda x: len(x[0].rstrip())):
+        m = sum(p in patterns[d] for d in clean)
+        weight = math.log(((n + 0.5) / (len(toxic) + 1)) / ((m + 0.5) / (len(clean) + 1)))
+        if n >= max(5, 0.01 * len(toxic)) and weight >= math.log(10) and not any(p != q and p.startswith(q) for q in weights):
+            weights[p] = weight
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model.weights == pytest.approx(weights) and weights
+
+    def total(folded, spared=()):
+        found = {}
+        for start in range(len(folded)):
+            best = max((w for p, w in weights.items() if folded.startswith(p, start)), default=None)
+            if best is not None and not any(a <= start < a + len(x) - 1 for x in spared for a in range(len(folded)) if folded.startswith(x, a)):
+                found[start] = best
+        return found
+
+    phrases = {0: Counter(), 1: Counter()}
+    for d, y in known.items():
+        words = texts[d].split()
+        begins = [k for k in range(len(texts[d])) if texts[d][k] == " "]
+        own = set()
+        for start in total(texts[d]):
+            k = begins.index(start)
+            own |= {f" {words[k - 1]} {words[k]} "} if k else set()
+            own |= {f" {words[k]} {words[k + 1]} "} if k + 1 < len(words) else set()
+        phrases[y].update(own)
+    assert sorted(model.exceptions) == sorted(p for p, n in phrases[0].items() if n >= 3 and not phrases[1][p])
+
+    x = {d: math.log1p(100 * sum(total(texts[d], model.exceptions).values()) / max(len(texts[d].split()), 1)) for d in texts}
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, model).collect()}
+    for d in texts:
+        assert got[d].score == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, model.bias + model.slope * x[d])))))
+
+    def loss(bias, slope):  # what the curve minimises, both classes weighted alike
+        parts = {0: [], 1: []}
+        for d, y in known.items():
+            z = bias + slope * x[d]
+            parts[y].append(math.log1p(math.exp(-z if y else z)))
+        return sum(sum(v) / len(v) / 2 for v in parts.values()) + 0.001 * slope**2
+
+    best = loss(model.bias, model.slope)
+    assert all(best <= loss(model.bias + a, model.slope + b) + 1e-9 for a, b in ((0.01, 0), (-0.01, 0), (0, 0.01), (0, -0.01)))
+
+
+def test_toxicity_takes_one_row_of_an_id(spark):
+    rows = [(k, f"w{k} calm words here") for k in range(60)] + [(k, f"w{k} grumbo words here") for k in range(60, 100)] + [(7, "grumbo " * 5)] * 300
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k >= 60)) for k in range(100)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels, "doc_id", "text", 3_000, 9_000).count() == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(100))
+    long_word = "grumb" * 20
+    docs = spark.createDataFrame([(k, f"w{k} {long_word if k >= 60 else long_word[:9]} here") for k in range(100)], "doc_id long, text string")
+    assert f" {long_word} " in toxicity.fit_toxicity(docs, labels).weights
+
+
 # Graded quality
 
 
+def test_ordinal_against_brute_force(spark):
+    """Scores from the features one by one, and the likelihood's gradient, by differences, near zero at the fit."""
+    shapes = {"calm": "a", "ID1OT": "a9a", "###x": "##a", "river": "a", "Stone": "a", "a": "a", "9": "9", "idiotic": "a"}
+    words = list(shapes)
+    rows = [(k, " ".join(words[(k * 3 + i * i) % (3 + k % 6)] for i in range(5 + k % 7))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grades = spark.createDataFrame([(k, k % 6 // 2) for k in range(120)], "doc_id long, grade int")
+    n, ridge = 1 << 12, 0.01
+    model = ordinal_quality.fit_ordinal(docs, grades, n_features=n, rounds=2_000, ridge=ridge)
+
+    def features(text):
+        out, split, lines = Counter(), text.split(), text.split("\n")
+        for w in split:
+            low = toxicity.fold(w).replace(" ", "")
+            for x in ("w" + w.lower(), "s" + shapes[w], "f" + low, "4" + low[:4], "5" + low[:5], "6" + low[:6]):
+                out[xxhash.xxh64_intdigest(x) % n] += 1 / len(split)
+        for name, share in (("rprevious", sum(a == b for a, b in zip(split, split[1:])) / len(split)), ("rwords", 1 - len(set(split)) / len(split)), ("rlines", 1 - len(set(lines)) / len(lines))):
+            out[xxhash.xxh64_intdigest(name) % n] += share
+        return out
+
+    table = {k: features(t) for k, t in rows}
+    score = lambda f, weights: sum(weights[k] * x for k, x in f.items())
+    got = {r.doc_id: r for r in ordinal_quality.grade_scores(docs, model).collect()}
+    above = lambda s: [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+    for k, _ in rows:
+        s = score(table[k], model.weights)
+        assert got[k].score == pytest.approx(s, abs=1e-5)
+        assert got[k].expected_grade == pytest.approx(sum(above(s)), abs=1e-5) and got[k].tail_probability == pytest.approx(above(s)[-1], abs=1e-5)
+    used = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 5]
+    squares = Counter()
+    for k in used:
+        for f, x in table[k].items():
+            squares[f] += x * x / len(used)
+
+    def loss(weights, thresholds):
+        cuts, total = [-math.inf, *thresholds, math.inf], 0
+        for k in used:
+            s, y = score(table[k], weights), k % 6 // 2
+            total -= math.log(1 / (1 + math.exp(s - cuts[y + 1])) - 1 / (1 + math.exp(s - cuts[y]))) / len(used)
+        return total + ridge / 2 * sum(weights[f] ** 2 * (squares[f] + 1e-3) for f in range(n))
+
+    for f in sorted(squares, key=squares.get)[-5:]:
+        step = np.zeros(n)
+        step[f] = 1e-4 / math.sqrt(squares[f])
+        slope = (loss(model.weights + step, model.thresholds) - loss(model.weights - step, model.thresholds)) / 2e-4
+        assert abs(slope) < 3e-3
+    for k in range(2):
+        step = np.zeros(2)
+        step[k] = 1e-4
+        assert abs(loss(model.weights, model.thresholds + step) - loss(model.weights, model.thresholds - step)) / 2e-4 < 3e-3
+
+
 def test_ordinal_grades(spark, edge_docs, empty_docs):
     rows = [(k, " ".join(f"{'bad###' if k % 3 == 0 else 'fair' if k % 3 == 1 else 'good'}{(k + i) % 5}" for i in range(20))) for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
