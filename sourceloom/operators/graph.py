@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from .ranking import numbered
 
 
 def _functions(chunks: DataFrame) -> DataFrame:
@@ -81,38 +82,70 @@ def hot_callees(loop_calls: DataFrame, chunks: DataFrame, least: int = rules.NAM
                         F.col("place.path").alias("caller_path"), F.col("place.caller").alias("caller"), F.col("place.line").alias("line"))
 
 
-def resolve_includes(includes: DataFrame, files: DataFrame) -> DataFrame:
-    """repo, path, target, kind (internal or external) and dependency (a file, or a name outside) of every include.
+def _normal(path: Column) -> Column:
+    """A path without . and .. parts; null if it leads out of the top folder."""
+    step = lambda done, part: F.when(part == "..", F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1))).when(
+        part.isin("", "."), done).otherwise(F.array_append(done, part))
+    return F.array_join(F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step), "/")
 
-    A target means the files of the repository whose path ends with it: dir/h.h, or a.b.c as c in a folder ending
-    a/b. The join is on the last part alone; the rest is compared after it. All matches are kept, a file never
-    depends on itself. What matches nothing is external: the target as written, of Python its first part.
+
+def resolve_includes(includes: DataFrame, files: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """repo, path, target, kind (internal, local or external) and dependency of every include.
+
+    internal: files of the repository, by path. A target means the files whose path ends with it: dir/h.h, or a.b.c as c in a
+    folder ending a/b. A relative target (leading dots of Python, . and .. in a path) is looked up from the including file's
+    folder alone. The join is on the last part; the rest is compared after it. All matches are kept, a file never depends
+    on itself.
+    local: what is no internal file but stands beside the including one in listing (repo, path of all files, read or not; without
+    it, files), and relative modules that are not found: own code, by the first part of a module or as written.
+    external: everything else, and system includes that are no file of the repository: as written, of Python the first part.
     """
     python = F.endswith("path", F.lit(".py"))
-    parts = F.when(python, F.split("target", r"\.", -1)).otherwise(F.split("target", "/", -1))
-    wanted = includes.select("repo", "path", "target", python.alias("python"), parts.alias("parts")).distinct()
+    system = F.coalesce("is_system", F.lit(False)) if "is_system" in includes.columns else F.lit(False)
+    wanted = includes.select("repo", "path", "target", python.alias("python"), system.alias("system")).distinct()
+    here = F.regexp_replace("path", r"/?[^/]*$", "")
+    n_dots = F.length(F.regexp_extract("target", r"^(\.*)", 1))
+    module = F.replace(F.regexp_replace("target", r"^\.+", ""), F.lit("."), F.lit("/"))
+    relative = F.when(F.col("python"), n_dots > 0).otherwise(F.regexp_like("target", F.lit(r"(^|/)\.\.?/")))
+    up = F.when(F.col("python") & (n_dots > 1), F.repeat(F.lit("../"), (n_dots - 1).cast("int"))).otherwise("")
+    beside = F.concat(here, F.lit("/"), up, F.when(F.col("python"), module).otherwise(F.col("target")))
+    parts = F.when(F.col("python"), F.split("target", r"\.", -1)).otherwise(F.split("target", "/", -1))
+    wanted = wanted.select("*", relative.alias("relative"), _normal(beside).alias("beside"), parts.alias("parts"))
     wanted = wanted.withColumn("last", F.element_at("parts", -1)).withColumn("folders", F.array_join(F.slice("parts", F.lit(1), F.size("parts") - 1), "/"))
+
     name = file_name(F.col("path"))
     stem = F.regexp_replace(name, r"(.)\.[^.]*$", "$1")
-    folder = F.regexp_replace("path", r"/?[^/]*$", "")
-    listed = files.select("repo", F.col("path").alias("file"), folder.alias("folder"), name.alias("name"), stem.alias("stem")).distinct()
+    listed = files.select("repo", F.col("path").alias("file"), F.regexp_replace("path", r"/?[^/]*$", "").alias("folder"), name.alias("name"), stem.alias("stem")).distinct()
     by_key = listed.select("repo", "file", "folder", F.explode(F.array(F.struct(F.lit(True).alias("python"), F.col("stem").alias("last")), F.struct(F.lit(False).alias("python"), F.col("name").alias("last")))).alias("k"))
     by_key = by_key.select("repo", "file", "folder", "k.python", "k.last")
     ends = (F.col("folders") == "") | (F.col("folder") == F.col("folders")) | F.endswith("folder", F.concat(F.lit("/"), "folders"))
-    found = wanted.join(by_key, ["repo", "python", "last"]).where(ends & (F.col("file") != F.col("path")))
-    internal = found.select("repo", "path", "target", F.lit("internal").alias("kind"), F.col("file").alias("dependency"))
-    rest = wanted.join(found.select("repo", "path", "target"), ["repo", "path", "target"], "left_anti")
-    outside = F.when(F.col("python"), F.element_at("parts", 1)).otherwise(F.col("target"))
-    return internal.unionByName(rest.select("repo", "path", "target", F.lit("external").alias("kind"), outside.alias("dependency"))).distinct()
+    found = wanted.where(~F.col("relative")).join(by_key, ["repo", "python", "last"]).where(ends & (F.col("file") != F.col("path"))).select("repo", "path", "target", "file")
+
+    spots = F.when(F.col("python"), F.array(F.concat("beside", F.lit(".py")), F.concat("beside", F.lit("/__init__.py")))).otherwise(F.array("beside"))
+    spots = wanted.select("repo", "path", "target", "relative", F.explode(spots).alias("file"))
+    known = files.select("repo", F.col("path").alias("file")).distinct()
+    there = spots.where("relative and file <> path").join(known, ["repo", "file"], "left_semi").select("repo", "path", "target", "file")
+    internal = found.unionByName(there).select("repo", "path", "target", F.lit("internal").alias("kind"), F.col("file").alias("dependency"))
+    rest = wanted.join(internal.select("repo", "path", "target"), ["repo", "path", "target"], "left_anti")
+    standing = known if listing is None else listing.select("repo", F.col("path").alias("file")).distinct()
+    near = spots.where("file <> path").join(standing, ["repo", "file"], "left_semi").select("repo", "path", "target", F.lit(True).alias("near")).distinct()
+    rest = rest.join(near, ["repo", "path", "target"], "left")
+    is_local = ~F.col("system") & (F.col("near").isNotNull() | (F.col("python") & F.col("relative")))
+    first = F.when(F.col("python") & ~F.col("relative"), F.element_at("parts", 1)).otherwise(F.col("target"))
+    rest = rest.select("repo", "path", "target", F.when(F.coalesce(is_local, F.lit(False)), "local").otherwise("external").alias("kind"), first.alias("dependency"))
+    return internal.unionByName(rest).distinct()
 
 
 def file_edges(resolved: DataFrame) -> DataFrame:
     return resolved.where("kind = 'internal'").select("repo", "path", "dependency").distinct()
 
 
-def used_by(edges: DataFrame) -> DataFrame:
-    """Per file the files that depend on it."""
-    return edges.groupBy("repo", F.col("dependency").alias("path")).agg(F.sort_array(F.collect_set("path")).alias("used_by"))
+def used_by(edges: DataFrame, named: int = 1000) -> DataFrame:
+    """Per file how many files depend on it, and the first of them by path; no row holds more names than `named`."""
+    first = edges.withColumn("k", F.row_number().over(Window.partitionBy("repo", "dependency").orderBy("path"))).where(F.col("k") <= named)
+    first = first.groupBy("repo", "dependency").agg(F.sort_array(F.collect_list("path")).alias("used_by"))
+    rows = edges.groupBy("repo", "dependency").agg(F.count("*").alias("n_users")).join(first, ["repo", "dependency"])
+    return rows.select("repo", F.col("dependency").alias("path"), "n_users", "used_by")
 
 
 def core_files(edges: DataFrame, most: int = 4) -> DataFrame:
@@ -125,21 +158,36 @@ def core_files(edges: DataFrame, most: int = 4) -> DataFrame:
 def dependency_edges(edges: DataFrame, most: int = 40) -> DataFrame:
     """The first edges of each repository's diagram; files are numbered over all edges."""
     ends = edges.select("repo", F.explode(F.array("path", "dependency")).alias("file")).distinct()
-    number = ends.withColumn("id", F.row_number().over(Window.partitionBy("repo").orderBy("file")) - 1)
-    order, whole = Window.partitionBy("repo").orderBy("path", "dependency"), Window.partitionBy("repo")
-    ranked = edges.withColumn("k", F.row_number().over(order)).withColumn("n_edges", F.count("*").over(whole)).where(F.col("k") <= most)
+    number = numbered(ends, ["repo"], ["file"], "id").withColumn("id", (F.col("id") - 1).cast("int"))
+    order = Window.partitionBy("repo").orderBy("path", "dependency")
+    ranked = edges.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    ranked = ranked.join(edges.groupBy("repo").agg(F.count("*").alias("n_edges")), "repo")
     a = number.select("repo", F.col("file").alias("path"), F.col("id").alias("from_id"))
     b = number.select("repo", F.col("file").alias("dependency"), F.col("id").alias("to_id"))
     return ranked.join(a, ["repo", "path"]).join(b, ["repo", "dependency"]).select(
         "repo", "path", "dependency", "from_id", "to_id", "k", (F.col("n_edges") > most).alias("is_cut"))
 
 
-def import_inventory(includes: DataFrame, files: DataFrame, standard: tuple[str, ...], install_names: dict[str, str] | None = None) -> DataFrame:
-    """Packages that Python files import from outside: not relative, not of the standard library, no file of the repository."""
+def import_inventory(
+    includes: DataFrame, files: DataFrame, standard: tuple[str, ...], install_names: dict[str, str] | None = None, required: tuple[str, ...] = (), named: int = 20
+) -> DataFrame:
+    """Packages that Python files import from outside: not relative, not of the standard library, no file of the repository.
+
+    install_name, whether the package is required (else optional), how many files import it, the names of the first few files, and
+    place: the order in which packages are first seen, by path and line.
+    """
+    line = F.col("line") if "line" in includes.columns else F.lit(0)
     python = includes.where(F.endswith("path", F.lit(".py")) & ~F.startswith("target", F.lit(".")) & ~F.regexp_like("path", F.lit(r"(^|/)(\.[^/]*|__pycache__)/")))
-    named = python.select("repo", F.element_at(F.split("target", r"\.", -1), 1).alias("package"), file_name(F.col("path")).alias("file"))
+    rows = python.select("repo", F.element_at(F.split("target", r"\.", -1), 1).alias("package"), "path", line.alias("line"))
     stems = files.select("repo", F.regexp_replace(file_name(F.col("path")), r"(.)\.[^.]*$", "$1").alias("package")).distinct()
-    outside = named.where(~F.col("package").isin(*standard)).join(stems, ["repo", "package"], "left_anti")
-    used = outside.groupBy("repo", "package").agg(F.sort_array(F.collect_set("file")).alias("files"))
+    outside = rows.where(~F.col("package").isin(*standard)).join(stems, ["repo", "package"], "left_anti")
+    each = outside.groupBy("repo", "package", "path").agg(F.min("line").alias("line"))
+    first = each.withColumn("k", F.row_number().over(Window.partitionBy("repo", "package").orderBy("path"))).where(F.col("k") <= named)
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda x: file_name(x["path"]))
+    used = each.groupBy("repo", "package").agg(F.count("*").alias("n_files"), F.min(F.struct("path", "line", "package")).alias("_first"))
+    used = used.join(first.groupBy("repo", "package").agg(shown.alias("files")), ["repo", "package"])
+    # one row per package: as many as there are names of packages
+    used = used.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy("_first"))).drop("_first")
     names = F.create_map(*[F.lit(x) for pair in install_names.items() for x in pair]) if install_names else None
-    return used.withColumn("install_name", F.coalesce(names[F.col("package")], F.col("package")) if names is not None else F.col("package"))
+    used = used.withColumn("install_name", F.coalesce(names[F.col("package")], F.col("package")) if names is not None else F.col("package"))
+    return used.withColumn("is_required", F.col("package").isin(*required) if required else F.lit(False))

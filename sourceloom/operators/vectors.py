@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Vectors in a block; a task holds one block of queries, one of vectors and their products.
 BLOCK = 4096
 
@@ -66,10 +68,12 @@ def hashed_vector(text: Column, size: int = 16, most: int = 256) -> Column:
     """Counts of the first words by MD5 bucket, as a vector of length one (all zeros without words)."""
     words = F.slice(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""), 1, most)
     buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % size)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
+
+    def counts(buckets: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
 
     def unit(v: Column) -> Column:
         length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(v, lambda x: x / F.greatest(length, F.lit(1e-12)))
+        return let(length, lambda n: F.transform(v, lambda x: x / F.greatest(n, F.lit(1e-12))))
 
-    return F.element_at(F.transform(F.array(counts), unit), 1)
+    return let(let(buckets, counts), unit)

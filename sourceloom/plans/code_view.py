@@ -52,8 +52,15 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = lambda k: F.concat(F.lit("d"), k % 10, F.lit("/m"), k, ending(k))
     same = target % 2 == F.col("s") % 2
     k = F.col("s").cast("string")
-    python_head = F.concat(lit("import os"), F.when(same, F.array(F.concat(F.lit("import m"), target))).otherwise(F.array().cast("array<string>")), F.array(F.concat(F.lit("K_"), k, F.lit(" = 1"))))
-    cpp_head = F.concat(lit("#include <vector>"), F.when(same, F.array(F.concat(F.lit('#include "'), file(target), F.lit('"')))).otherwise(F.array().cast("array<string>")), F.array(F.concat(F.lit("#define K_"), k, F.lit(" 1"))))
+    some = lambda when, *x: F.when(when, F.array(*x)).otherwise(F.array().cast("array<string>"))
+    near = F.col("s") + 10  # the next file of the same folder and language, if there is one
+    from_near = F.concat(F.when(F.col("s") % 4 == 0, F.concat(F.lit("from ..d"), near % 10, F.lit(".m"))).otherwise("from .m"), near, F.lit(" import K_"), near)
+    python_head = F.concat(
+        lit("import os"), some(same, F.concat(F.lit("import m"), target)), some(F.col("s") % 3 == 0, F.lit("import numpy.linalg")), some(F.col("s") % 5 == 0, F.lit("import yaml")),
+        F.array(from_near), F.array(F.concat(F.lit("K_"), k, F.lit(" = 1"))))
+    cpp_head = F.concat(
+        lit("#include <vector>"), some(same, F.concat(F.lit('#include "'), file(target), F.lit('"'))), F.array(F.concat(F.lit('#include "../'), file(near), F.lit('"'))),
+        F.array(F.concat(F.lit("#define K_"), k, F.lit(" 1"))))
     files = supplier.crossJoin(n).join(bodies, "s", "left")
     text = F.array_join(F.concat(F.when(F.col("s") % 2 == 0, python_head).otherwise(cpp_head), F.coalesce("lines", F.array().cast("array<string>"))), "\n")
     return files.select(F.lit("repo").alias("repo"), F.concat(F.lit("repo/"), file(F.col("s"))).alias("path"), text.alias("content"), F.when(F.col("s") % 2 == 0, "Python").otherwise("C++").alias("language"))
@@ -64,7 +71,8 @@ FACTS = """
     n AS (SELECT count(*) AS n FROM supplier),
     file AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 2 = 0 THEN 'Python' ELSE 'C++' END AS language,
         'repo/d' || (s_suppkey % 10) || '/m' || s_suppkey || (CASE WHEN s_suppkey % 2 = 0 THEN '.py' WHEN s_suppkey % 6 = 1 THEN '.h' ELSE '.cpp' END) AS path,
-        (7 * s_suppkey + 2) % n AS target, ((7 * s_suppkey + 2) % n) % 2 = s_suppkey % 2 AS imports FROM supplier, n),
+        (7 * s_suppkey + 2) % n AS target, ((7 * s_suppkey + 2) % n) % 2 = s_suppkey % 2 AS imports, s_suppkey + 10 AS near,
+        3 + (((7 * s_suppkey + 2) % n) % 2 = s_suppkey % 2)::INT + (s_suppkey % 6 = 0)::INT + (s_suppkey % 10 = 0)::INT AS head FROM supplier, n),
     li AS (SELECT l_partkey AS caller, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS callee,
         l_returnflag = 'R' AS loop FROM lineitem),
     call0 AS (SELECT caller, callee, bool_or(loop) AS loop FROM li WHERE callee IS NOT NULL GROUP BY ALL),
@@ -73,8 +81,8 @@ FACTS = """
         CASE WHEN language = 'Python' THEN (CASE WHEN kind = 2 THEN 2 ELSE 1 END) ELSE (CASE WHEN kind = 2 THEN 3 + even::INT ELSE 1 END) END AS risk FROM fn0 JOIN file USING (s)),
     call1 AS (SELECT caller, callee, c.loop, CASE WHEN c.loop THEN (CASE WHEN language = 'Python' THEN 2 ELSE 3 END) ELSE 1 END AS size FROM call0 c JOIN fn1 ON fn1.p = caller),
     sized AS (SELECT fn1.*, 1 + risk + coalesce((SELECT sum(size) FROM call1 WHERE caller = p), 0) + (language = 'C++')::INT AS n_lines FROM fn1),
-    fn AS (SELECT *, 1 + 2 + imports::INT + coalesce(sum(n_lines + 1) OVER (PARTITION BY s ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
-        FROM sized JOIN (SELECT s, imports FROM file) USING (s)),
+    fn AS (SELECT *, 1 + head + coalesce(sum(n_lines + 1) OVER (PARTITION BY s ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+        FROM sized JOIN (SELECT s, head FROM file) USING (s)),
     call AS (SELECT caller, callee, c.loop, f.s, f.language, f.path, f.name AS caller_name, g.name AS name, f.first + 1 + f.risk + c.loop::INT
         + coalesce(sum(size) OVER (PARTITION BY caller ORDER BY callee ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line
         FROM call1 c JOIN fn f ON f.p = caller JOIN fn1 g ON g.p = callee),

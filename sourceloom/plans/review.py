@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
 from ..operators import facts, signals
 from ..operators.prompts import review_prompt
+from ..operators.ranking import numbered
+from ..scratch import cut_lineage
 
 # Words of the languages, which say nothing about a flagged line.
 IGNORED_NAMES = (
@@ -18,8 +20,7 @@ IGNORED_NAMES = (
     "def", "elif", "in", "not", "and", "or", "is", "None", "True", "False", "self", "lambda", "pass", "raise", "with", "as", "from", "import", "len", "range", "print", "str",
 )
 _NAME = r"([A-Za-z_]\w*)"
-_ASSIGNED = r"\b\s*(?:\[[^\]]*\])?\s*(?:[-+*/|&^]|<<|>>)?=(?!=)"
-_CHECK = r"\b(?:if|while|assert|JSON_ASSERT|raise|throw)\b"
+_CHECK = r"\b(?:" + "|".join(rules.CHECK_WORDS) + r")\b"
 
 
 def context_lines(code_lines: Column, source_lines: Column, start: Column, first: Column, last: Column, flagged: Column, language: Column, most: int = rules.CONTEXT_LINES) -> Column:
@@ -40,7 +41,7 @@ def _beside(code_lines: Column, source_lines: Column, start: Column, first: Colu
         return T.let(body, lambda b: near_lines(names, b))
 
     def near_lines(names: Column, body: Column) -> Column:
-        assigned = F.concat(F.lit(r"\b(?:"), F.array_join(names, "|"), F.lit(")"), F.lit(_ASSIGNED))
+        assigned = F.concat(F.lit(r"\b(?:"), F.array_join(names, "|"), F.lit(r")\b"), F.lit(rules.ASSIGNMENT))
 
         def wanted(k: Column) -> Column:
             code, number = F.get(code_lines, k), start + k
@@ -100,13 +101,16 @@ def review_plan(scanned: DataFrame, hot: DataFrame, instruction: str = "Review t
     units = units.withColumn("score", (_points(F.col("kept")) + extra).cast("int")).withColumn("context", context)
     shown = F.slice(lines, F.col("first") - F.col("start_line") + 1, F.col("last") - F.col("first") + 1)
     width = F.length(F.col("last").cast("string"))
-    numbered = F.array_join(F.transform(shown, lambda x, k: F.concat(F.lpad((F.col("first") + k).cast("string"), width, F.lit(" ")), F.lit(" | "), x)), "\n")
+    code = F.array_join(F.transform(shown, lambda x, k: F.concat(F.lpad((F.col("first") + k).cast("string"), width, F.lit(" ")), F.lit(" | "), x)), "\n")
     header = F.format_string("CODE UNDER REVIEW (%s '%s', lines %d-%d of %s)", F.col("symbol_type"), F.col("name"), F.col("first"), F.col("last"), F.element_at(F.split("path", "/", -1), -1))
     listed = lambda c, field: F.transform(c, lambda h: F.concat(F.lit("line "), h["line"], F.lit(": "), h[field]))
-    prompt = review_prompt(F.lit(instruction), header, numbered, listed(F.col("kept"), "description"), listed(F.col("context"), "text"), F.array().cast("array<string>"), budget)
-    made = units.withColumn("prompt", prompt)
-    order = Window.partitionBy("repo").orderBy(F.desc("score"), "path", "pos", "first", "kind")
-    plan = made.where("prompt is not null").withColumn("place", F.row_number().over(order)).select(*keys, "kind", "first", "last", "score", "kept", "context", "prompt", "place")
+    prompt = review_prompt(F.lit(instruction), header, code, listed(F.col("kept"), "description"), listed(F.col("context"), "text"), F.array().cast("array<string>"), budget)
+    made = cut_lineage(units.select(*keys, "kind", "first", "last", "score", "kept", "context", prompt.alias("prompt")))
+    fits = made.where("prompt is not null")
+    # ranks are found of keys and scores alone; prompts come back by a join on the unit
+    unit = [*keys, "kind", "first"]
+    places = numbered(fits.select(*unit, "score"), ["repo"], [F.desc("score"), "path", "pos", "first", "kind"], "place").drop("score").withColumn("place", F.col("place").cast("int"))
+    plan = fits.join(places, unit).select(*keys, "kind", "first", "last", "score", "kept", "context", "prompt", "place")
     unfit = made.groupBy(*keys, "first", "last").agg(F.bool_and(F.col("prompt").isNull()).alias("none")).where("none").drop("none")
     return plan, skipped.unionByName(unfit)
 

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import facts, graph, signals
 from .plans.code_view import FACTS, code_files
+from .scratch import cut_lineage
 from .sources import extract as X
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 KEYS = ["repo", "path", "pos"]
+_BUILT: dict = {}
+
+
+def anew(function):
+    """A query that shares no table with the ones before it."""
+
+    @functools.wraps(function)
+    def run(spark, sf_dir):
+        _BUILT.clear()
+        return function(spark, sf_dir)
+
+    return run
 
 
 def query(sql: str | None = None):
     def add(function):
-        QUERIES[function.__name__] = function
+        QUERIES[function.__name__] = anew(function)
         if sql:
             ORACLES[function.__name__] = f"WITH {FACTS}, pos AS (SELECT *, (row_number() OVER (PARTITION BY s ORDER BY p) - 1)::INT AS pos FROM fn) {sql}"
         return function
@@ -24,16 +39,30 @@ def query(sql: str | None = None):
     return add
 
 
+def once(build):
+    """Build a table that several parts of a query read only once; each query starts anew."""
+
+    def get(spark, sf_dir):
+        key = (build.__name__, sf_dir)
+        if key not in _BUILT:
+            _BUILT[key] = build(spark, sf_dir)
+        return _BUILT[key]
+
+    return get
+
+
+@once
 def _extracted(spark, sf_dir):
-    return X.extract(code_files(spark, sf_dir))
+    return cut_lineage(X.extract(code_files(spark, sf_dir)))
 
 
 def _chunks(spark, sf_dir):
     return X.chunks_of(_extracted(spark, sf_dir))
 
 
+@once
 def _scanned(spark, sf_dir):
-    return signals.scan_chunks(_chunks(spark, sf_dir))
+    return cut_lineage(signals.scan_chunks(_chunks(spark, sf_dir)))
 
 
 @query("SELECT path, pos, name, language, 'function' AS symbol_type, first::INT AS start_line, (first + n_lines - 1)::INT AS end_line FROM pos")
@@ -58,11 +87,17 @@ def called_names(spark, sf_dir):
     return _chunks(spark, sf_dir).select("path", "pos", F.posexplode("called_names").alias("ord", "called"))
 
 
-_INCLUDES = """, inc AS (SELECT path, s, target AS t, CASE WHEN language = 'Python' THEN 'os' ELSE 'vector' END AS target, language = 'C++' AS is_system, 1 AS line, false AS own FROM file
-    UNION ALL SELECT f.path, f.s, f.target, CASE WHEN f.language = 'Python' THEN 'm' || f.target ELSE replace(g.path, 'repo/', '') END, false, 2, true FROM file f JOIN file g ON g.s = f.target WHERE f.imports),
-    res AS (SELECT inc.path, inc.target, CASE WHEN own AND t <> inc.s THEN 'internal' ELSE 'external' END AS kind,
-            CASE WHEN own AND t <> inc.s THEN g.path ELSE inc.target END AS dependency FROM inc JOIN file g ON g.s = inc.t),
-    edge AS (SELECT path, dependency FROM res WHERE kind = 'internal')"""
+_INCLUDES = """, near AS (SELECT f.*, 'd' || (f.near % 10) || '/m' || f.near || (CASE WHEN f.near % 2 = 0 THEN '.py' WHEN f.near % 6 = 1 THEN '.h' ELSE '.cpp' END) AS near_file FROM file f),
+    inc AS (SELECT path, CASE WHEN language = 'Python' THEN 'os' ELSE 'vector' END AS target, language = 'C++' AS is_system, 1 AS line, 'external' AS kind, CASE WHEN language = 'Python' THEN 'os' ELSE 'vector' END AS dependency FROM file
+    UNION ALL SELECT f.path, CASE WHEN f.language = 'Python' THEN 'm' || f.target ELSE replace(g.path, 'repo/', '') END, false, 2, CASE WHEN f.target <> f.s THEN 'internal' WHEN f.language = 'Python' THEN 'external' ELSE 'external' END,
+        CASE WHEN f.target <> f.s THEN g.path WHEN f.language = 'Python' THEN 'm' || f.target ELSE replace(g.path, 'repo/', '') END FROM file f JOIN file g ON g.s = f.target WHERE f.imports
+    UNION ALL SELECT path, 'numpy.linalg', false, 2 + imports::INT, 'external', 'numpy' FROM file WHERE s % 6 = 0
+    UNION ALL SELECT path, 'yaml', false, 2 + imports::INT + (s % 6 = 0)::INT, 'external', 'yaml' FROM file WHERE s % 10 = 0
+    UNION ALL SELECT path, CASE WHEN language = 'C++' THEN '../' || near_file WHEN s % 4 = 0 THEN '..d' || (near % 10) || '.m' || near ELSE '.m' || near END, false, head - 1,
+        CASE WHEN near < n THEN 'internal' WHEN language = 'Python' THEN 'local' ELSE 'external' END,
+        CASE WHEN near < n THEN 'repo/' || near_file WHEN language = 'C++' THEN '../' || near_file WHEN s % 4 = 0 THEN '..d' || (near % 10) || '.m' || near ELSE '.m' || near END FROM near, n),
+    res AS (SELECT DISTINCT path, target, kind, dependency FROM inc),
+    edge AS (SELECT DISTINCT path, dependency FROM res WHERE kind = 'internal')"""
 
 
 @query(_INCLUDES + " SELECT path, target, is_system, line FROM inc")
@@ -70,7 +105,7 @@ def includes(spark, sf_dir):
     return X.includes_of(_extracted(spark, sf_dir)).select("path", "target", "is_system", "line")
 
 
-@query("SELECT path, 'K_' || s AS name, (2 + imports::INT)::INT AS line FROM file")
+@query("SELECT path, 'K_' || s AS name, head::INT AS line FROM file")
 def constants(spark, sf_dir):
     return X.constants_of(_extracted(spark, sf_dir)).select("path", "name", "line")
 
@@ -119,6 +154,7 @@ def hot_callees(spark, sf_dir):
     return graph.hot_callees(signals.loop_calls(scanned), _chunks(spark, sf_dir)).select("path", "pos", "callee", "caller_path", "caller", "line")
 
 
+@once
 def _resolved(spark, sf_dir):
     extracted = _extracted(spark, sf_dir)
     return graph.resolve_includes(X.includes_of(extracted), extracted.select("repo", "path"))
@@ -129,9 +165,9 @@ def resolve_includes(spark, sf_dir):
     return _resolved(spark, sf_dir).select("path", "target", "kind", "dependency")
 
 
-@query(_INCLUDES + " SELECT dependency AS path, string_agg(path, ',' ORDER BY path) AS used_by FROM edge GROUP BY ALL")
+@query(_INCLUDES + " SELECT dependency AS path, count(*) AS n_users, string_agg(path, ',' ORDER BY path) AS used_by FROM edge GROUP BY dependency")
 def used_by(spark, sf_dir):
-    return graph.used_by(graph.file_edges(_resolved(spark, sf_dir))).select("path", F.array_join("used_by", ",").alias("used_by"))
+    return graph.used_by(graph.file_edges(_resolved(spark, sf_dir))).select("path", "n_users", F.array_join("used_by", ",").alias("used_by"))
 
 
 @query(_INCLUDES + """ SELECT * FROM (SELECT dependency AS path, count(*) AS n_users, row_number() OVER (ORDER BY count(*) DESC, dependency)::INT AS place FROM edge GROUP BY dependency) WHERE place <= 4""")
@@ -146,13 +182,17 @@ def dependency_edges(spark, sf_dir):
     return graph.dependency_edges(graph.file_edges(_resolved(spark, sf_dir))).select("path", "dependency", "from_id", "to_id", "k", "is_cut")
 
 
-@query(""" SELECT 'numpy' AS package, 'numpy-lib' AS install_name, string_agg(regexp_extract(path, '[^/]*$'), ',' ORDER BY regexp_extract(path, '[^/]*$')) AS files FROM file WHERE language = 'Python' AND s % 3 = 0""")
+@query(_INCLUDES + """, used AS (SELECT DISTINCT split_part(target, '.', 1) AS package, path FROM inc WHERE suffix(path, '.py') AND target NOT LIKE '.%' AND target <> 'os' AND NOT regexp_matches(target, '^m[0-9]+$')),
+    k AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY path) AS k FROM used),
+    first AS (SELECT package, min(path) AS path FROM used GROUP BY package),
+    line AS (SELECT package, f.path, min(line) AS line FROM first f JOIN inc ON inc.path = f.path AND split_part(inc.target, '.', 1) = package GROUP BY ALL)
+    SELECT package, CASE package WHEN 'numpy' THEN 'numpy-lib' ELSE package END AS install_name, package = 'numpy' AS is_required, (SELECT count(*) FROM used u WHERE u.package = l.package) AS n_files,
+        row_number() OVER (ORDER BY l.path, line, package)::INT AS place, string_agg(regexp_extract(k.path, '[^/]*$'), ',' ORDER BY k) AS files
+    FROM line l JOIN k USING (package) WHERE k <= 20 GROUP BY package, l.path, line""")
 def import_inventory(spark, sf_dir):
     extracted = _extracted(spark, sf_dir)
-    found = X.includes_of(extracted)
-    more = found.where("target = 'os' and cast(regexp_extract(path, 'm([0-9]+)', 1) as bigint) % 3 = 0").withColumn("target", F.lit("numpy.linalg"))
-    packages = graph.import_inventory(found.unionByName(more), extracted.select("repo", "path"), ("os", "sys", "re"), {"numpy": "numpy-lib"})
-    return packages.where("package not like 'm%'").select("package", "install_name", F.array_join("files", ",").alias("files"))
+    packages = graph.import_inventory(X.includes_of(extracted), extracted.select("repo", "path"), ("os", "sys", "re"), {"numpy": "numpy-lib"}, ("numpy",))
+    return packages.select("package", "install_name", "is_required", "n_files", "place", F.array_join("files", ",").alias("files"))
 
 
 _HINTS = """, sec AS (SELECT path, pos, (first + 1)::INT AS line, 'SECURITY' AS kind, CASE WHEN language = 'Python' THEN (['runs dynamic code', 'unsafe deserialisation'])[kind + 1]
@@ -292,9 +332,10 @@ def listed_symbols(spark, sf_dir):
 
 
 _FACTS = _INCLUDES + _EFFECTS + """, size AS (SELECT path, count(*) AS n_functions, sum(n_lines + 1) AS body FROM fn GROUP BY path),
-    need AS (SELECT path, string_agg(DISTINCT dependency, ',' ORDER BY dependency) FILTER (kind = 'external') AS external, coalesce(string_agg(DISTINCT dependency, ',' ORDER BY dependency) FILTER (kind = 'internal'), '') AS internal FROM res GROUP BY path),
+    need AS (SELECT path, string_agg(DISTINCT dependency, ',' ORDER BY dependency) FILTER (kind = 'external') AS external, coalesce(string_agg(DISTINCT dependency, ',' ORDER BY dependency) FILTER (kind = 'internal'), '') AS internal,
+        coalesce(string_agg(DISTINCT dependency, ',' ORDER BY dependency) FILTER (kind = 'local'), '') AS local FROM res GROUP BY path),
     users AS (SELECT dependency AS path, string_agg(path, ',' ORDER BY path) AS used_by FROM edge GROUP BY ALL),
-    ff AS (SELECT file.path, file.language, (2 + imports::INT + coalesce(body, 0) - 1 + (body IS NULL)::INT)::BIGINT AS line_count, coalesce(n_functions, 0)::BIGINT AS n_functions, 'K_' || s AS constants, external, internal,
+    ff AS (SELECT file.path, file.language, (head + coalesce(body, 0) - 1 + (body IS NULL)::INT)::BIGINT AS line_count, coalesce(n_functions, 0)::BIGINT AS n_functions, 'K_' || s AS constants, external, internal, local,
         coalesce(used_by, '') AS used_by, coalesce(effects, '') AS effects FROM file LEFT JOIN size USING (path) JOIN need USING (path) LEFT JOIN users USING (path) LEFT JOIN eff USING (path))"""
 
 
@@ -306,7 +347,7 @@ def _facts(spark, sf_dir):
 
 @query(_FACTS + " SELECT * FROM ff")
 def file_facts(spark, sf_dir):
-    lists = [F.array_join(c, ",").alias(c) for c in ("constants", "external", "internal", "used_by", "effects")]
+    lists = [F.array_join(c, ",").alias(c) for c in ("constants", "external", "internal", "local", "used_by", "effects")]
     return _facts(spark, sf_dir).select("path", "language", "line_count", "n_functions", *lists)
 
 
@@ -328,7 +369,8 @@ def impact_sentence(spark, sf_dir):
     return found.select("path", facts.impact_sentence(found).alias("sentence"))
 
 
-@query(_FACTS + """ SELECT path, 'It depends on ' || replace(external, ',', ', ') || ' from outside the repository' || (CASE WHEN internal = '' THEN '' ELSE ' and ' || regexp_extract(internal, '[^/]*$') || ' from the repository' END) || '.' AS sentence FROM ff""")
+@query(_FACTS + """ SELECT path, 'It depends on ' || replace(external, ',', ', ') || ' from outside the repository' || (CASE WHEN internal = '' THEN '' ELSE (CASE WHEN local = '' THEN ' and ' ELSE ', ' END) || array_to_string(list_transform(string_split(internal, ','), lambda x: regexp_extract(x, '[^/]*$')), ', ') || ' from the repository' END)
+    || (CASE WHEN local = '' THEN '' ELSE ' and ' || local || ' from the same folder' END) || '.' AS sentence FROM ff""")
 def dependency_sentence(spark, sf_dir):
     found = _facts(spark, sf_dir)
     return found.select("path", facts.dependency_sentence(found).alias("sentence"))

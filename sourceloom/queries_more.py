@@ -199,7 +199,7 @@ def overview_prompts(spark, sf_dir):
     l AS (SELECT path, pos, 'line ' || line || ': ' || description AS h FROM hints),
     r AS (SELECT path, pos, h, fn.first, fn.n_lines, fn.name, fn.language, fn.p FROM l JOIN pos fn USING (path, pos))
     SELECT path, pos, length('Review this.' || chr(10) || 'CODE UNDER REVIEW (' || name || ')' || chr(10)) + n_lines * (3 + length((first + n_lines - 1)::VARCHAR)) + n_lines - 1 + src + 1
-        + length(chr(10) || 'FLAGGED LINES (from a simple pattern search, they may be false alarms):' || chr(10)) + length(h) + 1 <= 1500 AS fits
+        + length(chr(10) || 'LINES THAT RULES MATCHED (some may be harmless):' || chr(10)) + length(h) + 1 <= 1500 AS fits
     FROM r JOIN (SELECT p, CASE WHEN language = 'Python' THEN length('def ' || name || '(a, x):') + (['11', '19', '31', '8', '8'])[kind + 1]::INT + (SELECT coalesce(sum(length(c.name) + CASE WHEN c.loop THEN 26 ELSE 7 END), 0) FROM call c WHERE c.caller = p)
                  ELSE length('int ' || name || '(int* a, int x) {{') + 1 + CASE WHEN kind = 0 THEN 17 WHEN kind = 1 THEN 12 WHEN kind = 2 THEN 61 ELSE 10 END + (SELECT coalesce(sum(length(c.name) + CASE WHEN c.loop THEN 53 ELSE 11 END), 0) FROM call c WHERE c.caller = p) END AS src FROM fn) USING (p)""")
 def review_prompts(spark, sf_dir):

@@ -8,7 +8,7 @@ from .functions import text as T
 from .operators import facts, graph, signals
 from .plans import review
 from .plans.code_view import FACTS
-from .queries_code import _CALLERS, _CONTEXT, _FACTS, _HINTS, _chunks, _facts, _scanned, _scored
+from .queries_code import anew, _CALLERS, _CONTEXT, _FACTS, _HINTS, _chunks, _facts, _scanned, _scored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +48,7 @@ def file_document(spark, sf_dir):
     return review.file_document(_facts(spark, sf_dir), important, callees, facts.listed_symbols(chunks)).select("path", "report")
 
 
-QUERIES |= {"review_plan": review_plan, "context_lines": context_lines, "file_document": file_document}
+QUERIES |= {"review_plan": anew(review_plan), "context_lines": anew(context_lines), "file_document": anew(file_document)}
 ORACLES["review_plan"] = _UNITS
 # A flagged line uses x (or a and b, a and i): the definition names them, loop headers give i a value.
 ORACLES["context_lines"] = f"""{_POS} {_HINTS}, f AS (SELECT h.path, h.pos, h.line, pos.first, pos.n_lines, pos.p, pos.language, pos.kind, pos.even, pos.name FROM hints h JOIN pos USING (path, pos)),

@@ -78,7 +78,7 @@ def sentence_split(spark, sf_dir):
 
 
 _TIDY = """
-    WITH a AS (SELECT conv_id, turn, trim(left(text, 130 + turn::INT), E' \\t\\n\\r\\x0b\\f') AS t FROM conversations),
+    WITH a AS (SELECT conv_id, turn, trim(left(text, greatest(0, length(text) - (1 + turn % 4))::INT), E' \\t\\n\\r\\x0b\\f') AS t FROM conversations),
     b AS (SELECT *, length(t) >= 100 AND right(t, 1) NOT IN ('.', '!', '?') AS cut,
                  length(regexp_extract(t, '(?s)^(.*[.!?])(\\s.*)?$', 1)) AS e FROM a),
     c AS (SELECT conv_id, turn, CASE WHEN NOT cut THEN t WHEN e > 0 THEN left(t, e)
@@ -89,31 +89,29 @@ _TIDY = """
 
 @query(_TIDY + " SELECT * FROM tidy")
 def tidy_answer(spark, sf_dir):
-    cut = F.substring("text", F.lit(1), (130 + F.col("turn")).cast("int"))
+    cut = F.substring("text", F.lit(1), F.greatest(F.lit(0), F.length("text") - (1 + F.col("turn") % 4).cast("int")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tidy_answer(cut).alias("tidy"))
 
 
 @query("""
-    WITH a AS (SELECT doc_id, left(text, 60 + (doc_id % 90)::INT) || '...' AS t FROM documents),
+    WITH a AS (SELECT doc_id, left(text, greatest(0, length(text) - (1 + doc_id % 4))::INT) || '...' AS t FROM documents),
     b AS (SELECT doc_id, t, left(t, length(t) - 3) AS body FROM a),
     c AS (SELECT *, regexp_extract(body, '(?s)^(.*)[,;:][^,;:]*$', 1) AS clause FROM b)
     SELECT doc_id, CASE WHEN regexp_matches(body, '[,;:]') AND length(clause) >= 20 THEN rtrim(clause, E' \\t\\n\\r\\x0b\\f') || '.' ELSE t END AS finished FROM c""")
 def finish_cut_off(spark, sf_dir):
-    cut = F.concat(F.substring("text", F.lit(1), (60 + F.col("doc_id") % 90).cast("int")), F.lit("..."))
+    cut = F.concat(F.substring("text", F.lit(1), F.greatest(F.lit(0), F.length("text") - (1 + F.col("doc_id") % 4).cast("int"))), F.lit("..."))
     return table(spark, sf_dir, "documents").select("doc_id", T.finish_cut_off(cut).alias("finished"))
 
 
 @query("""
-    WITH a AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'The function `f` ' WHEN 1 THEN 'method `g` method ' WHEN 2 THEN 'The constructor `h` is ' ELSE '' END AS p,
-                      CASE WHEN doc_id % 3 = 0 THEN left(text, 15) ELSE left(text, 70) END AS b FROM documents),
+    WITH a AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'The function `f` ' WHEN 1 THEN 'method `g` method ' WHEN 2 THEN 'The constructor `h` is ' ELSE '' END AS p, text AS b FROM documents),
     t AS (SELECT doc_id, p || b AS t, regexp_replace(p || b, '(?i)^(the\\s+)?(function|method|constructor|destructor)\\s+`[^`]*`(\\s+(function|method))?\\s*', '') AS r FROM a)
     SELECT doc_id, CASE WHEN length(r) < 20 OR regexp_matches(r, '(?i)^(is|are|was|were|has|have|can|will|does|do)([^A-Za-z0-9_\\x{c0}-\\x{17f}]|$)') THEN t
                         ELSE upper(left(r, 1)) || substr(r, 2) END AS rest FROM t""")
 def strip_subject(spark, sf_dir):
     k = F.col("doc_id") % 4
     start = F.when(k == 0, "The function `f` ").when(k == 1, "method `g` method ").when(k == 2, "The constructor `h` is ").otherwise("")
-    body = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 15)).otherwise(F.substring("text", 1, 70))
-    return table(spark, sf_dir, "documents").select("doc_id", T.strip_subject(F.concat(start, body)).alias("rest"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_subject(F.concat(start, "text")).alias("rest"))
 
 
 _RUNS = """
@@ -132,7 +130,7 @@ def copies_instruction(spark, sf_dir):
     return shared_runs(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id")
 
 
-@query(_TIDY.replace("left(text, 130 + turn::INT)", "string_split(trim(text, E' \\t\\n\\r\\x0b\\f'), chr(10))[1]") + """,
+@query(_TIDY.replace("left(text, greatest(0, length(text) - (1 + turn % 4))::INT)", "string_split(trim(text, E' \\t\\n\\r\\x0b\\f'), chr(10))[1]") + """,
     g AS (SELECT conv_id, turn, tidy, CASE WHEN suffix(tidy, '...') THEN left(tidy, length(tidy) - 3) END AS body FROM tidy),
     h AS (SELECT *, regexp_extract(body, '(?s)^(.*)[,;:][^,;:]*$', 1) AS clause FROM g),
     f AS (SELECT conv_id, turn, CASE WHEN body IS NOT NULL AND regexp_matches(body, '[,;:]') AND length(clause) >= 20 THEN rtrim(clause) || '.' ELSE tidy END AS t FROM h),
@@ -155,13 +153,13 @@ def chunk_text(spark, sf_dir):
 
 
 @query("""
-    WITH p AS (SELECT p_brand, array_agg(DISTINCT p_name ORDER BY p_name) AS n FROM part WHERE p_partkey % 7 < 3 GROUP BY p_brand)
+    WITH p AS (SELECT p_brand, array_agg(DISTINCT p_name ORDER BY p_name) AS n FROM part GROUP BY p_brand)
     SELECT p_brand, array_to_string(n[1:8], ', ') || CASE WHEN len(n) > 8 THEN ' and ' || (len(n) - 8) || ' more' ELSE '' END AS listed,
            CASE WHEN len(n[1:3]) <= 1 THEN n[1] ELSE array_to_string(n[1 : least(len(n), 3) - 1], ', ') || ' and ' || n[least(len(n), 3)] END AS joined,
            CASE WHEN len(n) * 7 >= 120 THEN (round_even(len(n) * 7 / 60, 0))::BIGINT || ' minute' ELSE len(n) * 7 || ' second' END AS took
     FROM p""")
 def plain_lists(spark, sf_dir):
-    names = table(spark, sf_dir, "part").where("p_partkey % 7 < 3").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_name")).alias("n"))
+    names = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_name")).alias("n"))
     return names.select(
         "p_brand", T.list_names(F.col("n")).alias("listed"), T.join_clauses(F.slice("n", 1, 3)).alias("joined"),
         T.duration(F.size("n") * 7).alias("took"))
@@ -195,7 +193,10 @@ def recursion_flag(spark, sf_dir):
 
 
 @query("""
-    SELECT source AS repo, sha256(string_agg('File: ' || doc_id || chr(10) || text, chr(0) ORDER BY doc_id)) AS digest FROM documents GROUP BY source""")
+    WITH a AS (SELECT source AS repo, doc_id AS pos, sha256('File: ' || doc_id || chr(10) || text) AS h FROM documents),
+    b AS (SELECT repo, pos // 1000 AS p, sha256(string_agg(h, chr(0) ORDER BY pos, h)) AS h FROM a GROUP BY repo, pos // 1000),
+    c AS (SELECT repo, p // 1000 AS q, sha256(string_agg(h, chr(0) ORDER BY p)) AS h FROM b GROUP BY repo, p // 1000)
+    SELECT repo, sha256(string_agg(h, chr(0) ORDER BY q)) AS digest FROM c GROUP BY repo""")
 def snapshot_digest(spark, sf_dir):
     from .sources.snapshots import snapshot_digest as digest
 

@@ -1,13 +1,30 @@
-"""Folders that all executors share."""
+"""Folders that all executors share, and tables that are written there once and read several times."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local session, which has one machine, may do without and gets a new local folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"/tmp/sourceloom-{uuid.uuid4().hex}"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where the session has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/sourceloom"
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    """The path of a new folder below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

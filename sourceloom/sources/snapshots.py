@@ -6,11 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Digests that are joined into one, at each level.
+RUN = 1000
+
+
 def snapshot_digest(chunks: DataFrame, model: str | None = None) -> DataFrame:
-    """repo and digest: SHA-256 over the model's name and all chunk texts (repo, pos, chunk) in order, joined by NUL."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk"))), lambda x: x["chunk"])
-    parts = F.concat(F.array(F.lit(model)), parts) if model else parts
-    return chunks.groupBy("repo").agg(F.sha2(F.array_join(parts, "\0"), 256).alias("digest"))
+    """repo and digest over the model's name and all chunk texts (repo, pos, chunk) in the order of pos.
+
+    A tree of SHA-256: of each text, of runs of 1000 positions, of 1000 such runs, and of these. Digests are joined by NUL,
+    texts of one position in the order of their digests. So no row holds more than digests, however large a repository is.
+    A null text counts as empty; the digest differs from that of all texts in one string.
+    """
+    level = chunks.select("repo", F.col("pos").alias("at"), F.sha2(F.coalesce("chunk", F.lit("")), 256).alias("own"))
+    joined = lambda rows: F.array_join(F.transform(F.array_sort(rows), lambda x: x["own"]), "\0")
+    rows = F.collect_list(F.struct("at", "own"))
+    for _ in range(2):
+        level = level.groupBy("repo", F.floor(F.col("at") / RUN).alias("run")).agg(F.sha2(joined(rows), 256).alias("own")).withColumnRenamed("run", "at")
+    return level.groupBy("repo").agg(F.sha2(F.concat_ws("\0", F.lit(model), joined(rows)), 256).alias("digest"))
 
 
 def chunk_digest(text: Column) -> Column:

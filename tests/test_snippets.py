@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions import text as T
 from sourceloom.operators import graph, prompts, signals
+from sourceloom.operators.ranking import numbered
 from sourceloom.sources import extract as X
 
 PYTHON = '''import os, a.b as c
@@ -100,14 +101,14 @@ def test_odd_files(spark):
     (["for x in y:", "  a", "", "  while b:", "    c", "d"], [0, 1, 1, 1, 2, 0]), (["for x in y: f()", "a"], [0, 0]),
     (["async for x in y:", "    # gone", "    a"], [0, 1, 1]), ([""], [0])])
 def test_python_loops(lines, depths):
-    assert signals.python_depths(lines) == depths
+    assert signals.depths_of(lines, "Python") == depths
 
 
 @pytest.mark.parametrize(("lines", "depths"), [
     (["for (;;) {", "a;", "}", "b;"], [0, 1, 1, 0]), (["do {", "a;", "} while (x);", "b;"], [0, 1, 1, 0]), (["for (;;)", "  a;", "b;"], [0, 0, 0]),
     (['while (x) { s = "}";', "a;", "}"], [0, 1, 1]), (["if (a) {", "while (b)", "{", "c;", "}", "}"], [0, 0, 0, 1, 1, 0])])
 def test_cpp_loops(lines, depths):
-    assert signals.cpp_depths(lines) == depths
+    assert signals.depths_of(lines, "C++") == depths
 
 
 def value(spark, column):
@@ -154,11 +155,37 @@ def test_include_rules(spark):
     includes = spark.createDataFrame([("r", p, t) for p, t in asked], "repo string, path string, target string")
     got = sorted((r.path, r.target, r.kind, r.dependency) for r in graph.resolve_includes(includes, files).collect())
     assert got == [
-        ("a/util.h", "util.h", "internal", "b/util.h"), ("b/c.cpp", "../a/util.h", "external", "../a/util.h"), ("b/c.cpp", "a/util.h", "internal", "a/util.h"),
+        ("a/util.h", "util.h", "internal", "b/util.h"), ("b/c.cpp", "../a/util.h", "internal", "a/util.h"), ("b/c.cpp", "a/util.h", "internal", "a/util.h"),
         ("main.py", "mod", "internal", "x/y/mod.py"), ("main.py", "mod", "internal", "z/mod.py"), ("main.py", "os.path", "external", "os"),
         ("main.py", "y.mod", "internal", "x/y/mod.py"), ("z/mod.py", "main", "internal", "main.py")]
 
 
+def test_relative_and_local_targets(spark):
+    """Relative targets start at the including file; what only the listing has beside it is local, not outside."""
+    files = [("r/a/x.py",), ("r/zz/m.py",), ("r/p/q.py",), ("r/a/sub/__init__.py",), ("r/u.h",), ("r/a/c.cpp",), ("r/b/y.py",)]
+    listing = files + [("r/a/near.py",), ("r/a/near.h",), ("r/b/m.py",)]
+    wanted = [
+        ("r/a/x.py", ".m", False), ("r/b/y.py", ".m", False), ("r/a/x.py", "..p.q", False), ("r/a/x.py", ".sub", False), ("r/a/x.py", "....deep", False), ("r/a/x.py", "near", False),
+        ("r/a/x.py", "zz.m", False), ("r/a/c.cpp", "../u.h", False), ("r/a/c.cpp", "near.h", False), ("r/a/c.cpp", "near.h", True), ("r/a/c.cpp", "../none.h", False)]
+    frame = lambda rows: spark.createDataFrame([("repo", *r) for r in rows], "repo string, path string" + (", target string, is_system boolean" if len(rows[0]) > 1 else ""))
+    got = graph.resolve_includes(frame(wanted[:9] + wanted[10:]), frame(files), frame(listing)).collect()
+    assert sorted((r.target, r.path[2:], r.kind, r.dependency) for r in got) == [
+        ("....deep", "a/x.py", "local", "....deep"), ("../none.h", "a/c.cpp", "external", "../none.h"), ("../u.h", "a/c.cpp", "internal", "r/u.h"), ("..p.q", "a/x.py", "internal", "r/p/q.py"),
+        (".m", "a/x.py", "local", ".m"), (".m", "b/y.py", "local", ".m"), (".sub", "a/x.py", "internal", "r/a/sub/__init__.py"),
+        ("near", "a/x.py", "local", "near"), ("near.h", "a/c.cpp", "local", "near.h"), ("zz.m", "a/x.py", "internal", "r/zz/m.py")]
+    assert [r.kind for r in graph.resolve_includes(frame(wanted[9:10]), frame(files), frame(listing)).collect()] == ["external"]
+    assert graph.resolve_includes(frame(wanted).limit(0), frame(files)).collect() == []
+
+
+def test_numbers_of_large_groups(spark):
+    rows = spark.range(1000).selectExpr("if(id % 3 = 0, null, id % 2) as g", "(id * 7919) % 1000 as v")
+    got = numbered(rows, ["g"], [F.desc("v")], "place", 7).collect()
+    for g in (None, 0, 1):
+        own = sorted((r for r in got if r.g == g), key=lambda r: r.place)
+        assert [r.place for r in own] == list(range(1, len(own) + 1)) and [r.v for r in own] == sorted((r.v for r in own), reverse=True)
+    assert numbered(rows.limit(0), ["g"], ["v"], "place").collect() == []
+
+
 def test_blocks_are_whole_or_left_out(spark):
     blocks = F.array(F.lit("a" * 30), F.lit("b" * 80), F.lit("c" * 20), F.lit("d"))
     packed = value(spark, prompts.pack_whole(F.lit("s"), blocks, 60, 2, "HEAD"))
