@@ -185,7 +185,11 @@ def bpe_encode(
 def bpe_digests(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = "byte_bpe_multi_50k.tiktoken"
 ) -> DataFrame:
-    """The same encoding and decoding, but only SHA-256 digests of ids and decoded bytes leave the task."""
+    """The same encoding and decoding, but only SHA-256 digests of ids and decoded bytes leave the task.
+
+    Null text counts as empty (no ids, digests of nothing); a null id stays null. Repeated rows and ties give a row each, an empty
+    table gives none. Texts of any length are encoded whole. Other columns are not carried, so their names cannot clash.
+    """
     path, packed = tokenizer_path(ranks), pretokens.tiktoken_classes()
 
     def make():

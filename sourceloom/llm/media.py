@@ -117,26 +117,44 @@ def _bmp(data: bytes, at: int) -> int | None:
 
 
 def _ogg(data: bytes, at: int) -> int | None:
-    """Pages in a row, up to the last one of the stream."""
-    place = at
-    while data[place : place + 4] == b"OggS" and place + 27 <= len(data):
-        n, last = data[place + 26], data[place + 5] & 4
+    """Pages in a row until all streams (by serial number) that began have ended; streams that begin right after belong to the file."""
+    place, running, whole = at, set(), None
+    while data[place : place + 4] == b"OggS" and place + 27 <= len(data) and not data[place + 4]:
+        n, flags, serial = data[place + 26], data[place + 5], data[place + 14 : place + 18]
         table = data[place + 27 : place + 27 + n]
+        if whole is not None and not running and not flags & 2:
+            break
         place += 27 + n + sum(table)
-        if len(table) < n or place > len(data) or data[at + 4]:
-            return None
-        if last:
-            return place - at
-    return None
+        if len(table) < n or place > len(data):
+            break
+        running.add(serial)
+        if flags & 4:
+            running.discard(serial)
+        if not running:
+            whole = place - at
+    return whole
+
+
+#: Types of boxes that stand at the top of a file.
+BOXES = frozenset(b"ftyp moov mdat free skip wide meta moof mfra sidx ssix styp uuid pdin prft emsg udta".split())
 
 
 def _mp4(data: bytes, at: int) -> int | None:
-    """Boxes from ftyp on, as long as their types are printable; the magic stands four bytes in."""
+    """Boxes from ftyp on, of known types, with 32-bit, 64-bit or open-ended sizes; none may be cut off. The magic stands four bytes in."""
     at, place, n = at - 4, at - 4, 0
     while at >= 0 and place + 8 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, place)
-        if size < 8 or place + size > len(data) or not all(0x20 <= c < 0x7F for c in kind) or (n == 0) != (kind == b"ftyp"):
+        if kind not in BOXES or (n == 0) != (kind == b"ftyp"):
             break
+        least = 8
+        if size == 1:
+            if place + 16 > len(data):
+                return None
+            size, least = struct.unpack_from(">Q", data, place + 8)[0], 16
+        elif size == 0:
+            size = len(data) - place
+        if size < least or place + size > len(data):
+            return None
         place, n = place + size, n + 1
     return place - at if n >= 2 else None
 
@@ -226,17 +244,25 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 _FOUND = "type string, corrected boolean, length long, embedded array<struct<offset:long,length:long,type:string>>"
 
 
+def free_name(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def sniff_media(df: DataFrame, media_col: str = "media", declared_col: str = "declared") -> DataFrame:
     """df with a struct column `sniffed`: type, corrected, length, embedded; and `payload`, the samples of 8-bit audio.
 
     type is that of the valid file at the start, otherwise the declared one if no validator knows it and null
     if the bytes refute it; corrected tells whether it differs from the declared type; length is that file's.
-    embedded lists valid files elsewhere. Null or empty media have null type and no embedded files. Columns of df named
-    sniffed or payload are replaced.
+    embedded lists valid files elsewhere. Null or empty media have null type and no embedded files; a null declared type is
+    corrected by any found one. Repeated rows give a row each, an empty table none; media of any length are read whole. Where df has
+    a column named sniffed or payload, it stays, and the new one's name gets a _ at its end.
     """
-    kept = [f for f in df.schema if f.name not in ("sniffed", "payload")]
+    kept, taken = df.schema.fields, {f.name.lower() for f in df.schema}
     names = [f.name for f in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"sniffed struct<{_FOUND.replace(' ', ':').replace(',:', ',')}>", "payload binary"])
+    new = [free_name("sniffed", taken), free_name("payload", taken)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"{new[0]} struct<{_FOUND.replace(' ', ':').replace(',:', ',')}>", f"{new[1]} binary"])
     known = {kind for _, kind, _, _ in FORMATS} | set(RIFF_TYPES.values())
     part = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())])
     kind_of = pa.struct([("type", pa.string()), ("corrected", pa.bool_()), ("length", pa.int64()), ("embedded", pa.list_(part))])
@@ -256,13 +282,30 @@ def sniff_media(df: DataFrame, media_col: str = "media", declared_col: str = "de
                 media, declared = batch.column(media_col).to_pylist(), batch.column(declared_col).to_pylist()
                 found = [look(*x) for x in zip(media, declared)]
                 columns = [*(batch.column(n) for n in names), pa.array([x for x, _ in found], kind_of), pa.array([p for _, p in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "sniffed", "payload"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
 
     return df.mapInArrow(run, schema)
 
 
+def carve_media(sniffed: DataFrame, media_col: str = "media", found_col: str = "sniffed") -> DataFrame:
+    """A row for each file embedded in media: the columns of sniffed, and `carved`: its place in the list, offset, length, type and bytes.
+
+    Media that are null, empty or hold no other file give no rows; files inside files are carved too; repeated rows give theirs
+    each. Where sniffed has a column named carved, it stays, and the new one's name gets a _ at its end.
+    """
+    new = free_name("carved", {c.lower() for c in sniffed.columns})
+    rows = sniffed.select("*", F.posexplode(F.col(f"`{found_col}`.embedded")).alias("_place", "_file"))
+    data = F.substring(F.col(f"`{media_col}`"), (F.col("_file.offset") + 1).cast("int"), F.col("_file.length").cast("int"))
+    carved = F.struct(F.col("_place").alias("place"), F.col("_file.offset"), F.col("_file.length"), F.col("_file.type"), data.alias("bytes"))
+    return rows.select(*[F.col(f"`{c}`") for c in sniffed.columns], carved.alias(new))
+
+
 def media_digests(stored: DataFrame) -> DataFrame:
-    """Digests of stored texts as sniff_media reads them back, and a feature string of what was found."""
+    """Digests of stored texts as sniff_media reads them back, and a feature string of what was found.
+
+    A row for each row of store_texts: null and empty texts have the digests of one unit of filling, equal texts have equal
+    values, a null id stays null, an empty table gives none. Other columns are not carried.
+    """
     seen = sniff_media(stored)
     inner = F.transform(F.col("sniffed.embedded"), lambda e: F.concat_ws(":", e["type"], e["offset"], e["length"]))
     feature = F.concat_ws(

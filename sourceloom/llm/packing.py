@@ -160,12 +160,16 @@ def _pieces(docs: DataFrame, path: str, capacity: int, end_id: int, most_open: i
     return docs.mapInArrow(run, _PIECES + ", ids array<int>" * with_ids)
 
 
-def _merger(base: int, last: bool, capacity: int):
-    """Packs the open windows of one group of tasks, fullest first; groups hold FAN_IN times most_open at most."""
+def _merger(base: int, last: bool, capacity: int, most_open: int):
+    """Packs the open windows of one group of tasks, fullest first.
+
+    A group leaves most_open windows open at most, of more the fullest are final, so groups of every level hold FAN_IN times
+    most_open at most. At the last level all are placed and closed.
+    """
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["fill", "sequence_id"], ascending=[False, True])
-        windows, n, out = OpenWindows(capacity, len(group)), 0, []
+        windows, n, out = OpenWindows(capacity, len(group) if last else most_open), 0, []
         number = base + (int(group["to_place"].iloc[0]) << 32)
 
         def emit(window, is_open):
@@ -185,7 +189,7 @@ def _merger(base: int, last: bool, capacity: int):
     return merge
 
 
-def _merge_open(pieces: DataFrame, n_parts: int, capacity: int) -> DataFrame:
+def _merge_open(pieces: DataFrame, n_parts: int, capacity: int, most_open: int) -> DataFrame:
     """from_id, to_id and shift of every window that was left open."""
     waiting = (
         pieces.where("is_open").groupBy("sequence_id").agg(F.sum("length").alias("fill"))
@@ -196,7 +200,7 @@ def _merge_open(pieces: DataFrame, n_parts: int, capacity: int) -> DataFrame:
         n_parts, last = -(-n_parts // FAN_IN), n_parts <= FAN_IN
         grouped = waiting.withColumn("to_place", F.floor(F.col("place") / FAN_IN).cast("long"))
         placed = cut_lineage(
-            grouped.groupBy("to_place").applyInPandas(_merger(level << 56, last, capacity), "from_id long, to_id long, shift long, fill long, is_open boolean")
+            grouped.groupBy("to_place").applyInPandas(_merger(level << 56, last, capacity, most_open), "from_id long, to_id long, shift long, fill long, is_open boolean")
         )
         step = placed.select("from_id", "to_id", "shift")
         if moved is None:
@@ -227,7 +231,7 @@ def pack_sequences(
     """
     docs = id_and_text(df, id_col, text_col)
     pieces = cut_lineage(_pieces(docs, tokenizer_path(tokenizer), capacity, end_id, most_open, with_ids))
-    moved = _merge_open(pieces, max(1, pieces.rdd.getNumPartitions()), capacity)
+    moved = _merge_open(pieces, max(1, pieces.rdd.getNumPartitions()), capacity, most_open)
     joined = pieces.join(moved, F.col("sequence_id") == F.col("from_id"), "left")
     return joined.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
@@ -237,7 +241,11 @@ def pack_sequences(
 
 
 def assemble_sequences(pieces: DataFrame, capacity: int = 4096, pad_id: int = 0) -> DataFrame:
-    """sequence_id, n_ids and ids (padded to capacity) of every sequence; a group holds at most capacity ids."""
+    """sequence_id, n_ids and ids (padded to capacity) of every sequence; a group holds at most capacity ids.
+
+    Pieces of null ids and of empty texts (their end id alone) count like others, so do pieces of repeated rows, and a long text's
+    pieces stand in several sequences; offsets leave no ties. An empty table gives no rows. Other columns of pieces are left out.
+    """
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     ids = F.flatten(F.transform(parts, lambda p: p["ids"]))
     rows = pieces.groupBy("sequence_id").agg(ids.alias("ids"))

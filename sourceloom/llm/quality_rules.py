@@ -154,7 +154,11 @@ def quality_measures(
 
 
 def drop_low_quality(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
-    """The rows of df whose text passes all rules; all columns stay as they are, whatever their names."""
+    """The rows of df whose text passes all rules; all columns stay as they are, whatever their names.
+
+    Null and empty texts have no words and fail the default rules; null ids are not looked at; equal rows fare alike; an empty
+    table gives none. Texts of any length are measured whole.
+    """
     return df.where(_bound(measured(F.col(f"`{text_col}`")), lambda m: verdict(rules, m)))
 
 

@@ -394,6 +394,34 @@ def test_sniffing_finds_valid_files_only():
     assert media.sniff(inner) == [(0, len(inner), "audio/wav"), (46, len(png()), "image/png")]
 
 
+def ogg_page(flags, serial, body=b"x"):
+    return b"OggS\0" + bytes([flags]) + bytes(8) + struct.pack("<I", serial) + bytes(8) + bytes([1, len(body)]) + body
+
+
+def test_lengths_of_boxes_and_streams():
+    ftyp, free = MP4[:16], struct.pack(">I4s", 12, b"free") + b"abcd"
+    wide = struct.pack(">I4sQ", 1, b"mdat", 20) + b"data"
+    assert media.sniff(ftyp + wide + free) == [(0, 48, "video/mp4")]
+    assert media.sniff(ftyp + struct.pack(">I4s", 0, b"mdat") + b"to the end") == [(0, 34, "video/mp4")]
+    assert media.sniff(ftyp + free[:-1]) == media.sniff(ftyp + wide[:-1]) == media.sniff(ftyp + wide[:12]) == []
+    assert media.sniff(ftyp + free + b"some words after it") == [(0, 28, "video/mp4")]
+    two = ogg_page(2, 1) + ogg_page(2, 2) + ogg_page(4, 1) + ogg_page(0, 2) + ogg_page(4, 2)
+    assert media.sniff(two + b"tail")[0] == (0, len(two), "application/ogg")
+    assert media.sniff(two[:-1]) == [] or media.sniff(two[:-1])[0][0] != 0
+    chained = two + ogg_page(2, 3) + ogg_page(4, 3)
+    assert media.sniff(chained)[0] == (0, len(chained), "application/ogg")
+
+
+def test_embedded_files_are_carved(spark):
+    rows = [(1, b"ab" + png() + b"cd" + GIF, "mine"), (2, GIF, "x"), (3, None, None), (4, b"", "y"), (1, b"ab" + png() + b"cd" + GIF, "mine")]
+    df = spark.createDataFrame(rows, "k int, media binary, payload string").selectExpr("*", "'image/gif' as declared", "k as carved", "k as sniffed")
+    seen = media.sniff_media(df)
+    assert seen.columns == [*df.columns, "sniffed_", "payload_"] and [r.payload for r in seen.where("k = 2").collect()] == ["x"]
+    got = media.carve_media(seen, found_col="sniffed_").orderBy("carved_.place").collect()
+    assert [(r.k, r.carved, r.carved_.type, bytes(r.carved_.bytes)) for r in got] == [(1, 1, "image/png", png())] * 2 + [(1, 1, "image/gif", GIF)] * 2
+    assert media.carve_media(seen.limit(0), found_col="sniffed_").collect() == []
+
+
 def test_types_are_corrected(spark):
     rows = [(1, png(), "image/jpeg"), (2, b"words", "text/plain"), (3, b"words", "image/png"), (4, None, "image/png"), (5, b"", None), (6, b"x" + GIF, None)]
     got = {r.k: r for r in media.sniff_media(spark.createDataFrame(rows, "k int, media binary, declared string")).collect()}
