@@ -17,18 +17,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5 by a lexicon learned from the labelled ones among them."""
+    """Documents that score under 0.5 by a lexicon learned from the labelled ones among them. Columns stay as they are.
+
+    Null and empty texts and texts without matches stay, and so do rows of null ids; equal texts fare alike, whatever their length; an
+    empty table gives none.
+    """
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return drop_toxic(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
+    """One document, that of the smallest id, of each group of near-duplicates (five words, a similarity of 0.8). Columns stay as they are.
+
+    Candidates come from SimHash segments, links are verified on the whole shingle sets. Null and empty texts are one group; null ids come
+    last; of rows equal in id and text one stays; texts of any length count whole; an empty table gives none.
+    """
     return drop_similar(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens, without their ids."""
+    """The pieces of all documents in sequences of 4096 tokens, without their ids.
+
+    Null and empty texts have one piece, a null id stays null, repeated rows are packed each, long texts are cut into pieces; an empty table
+    gives none. Other columns are not carried.
+    """
     return pack_sequences(docs, with_ids=False)
 
 
