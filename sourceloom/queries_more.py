@@ -213,6 +213,57 @@ def review_prompts(spark, sf_dir):
     return scanned.select("path", "pos", prompt.isNotNull().alias("fits"))
 
 
+_BLANKS = "E' \\t\\n\\r\\x0b\\f'"
+
+
+def _added(k: int) -> str:
+    """One step of the related blocks: a block goes in whole, under the heading if it is the first, or not at all."""
+    more = f"(CASE WHEN n = 0 THEN chr(10) || 'RELATED CODE (background only, do not review):' || chr(10) ELSE '' END || b[{k}] || chr(10) || chr(10))"
+    fits = f"(n < 3 AND length(t) + length({more}) <= 1500)"
+    return f"r{k} AS (SELECT doc_id, b, base, CASE WHEN {fits} THEN t || {more} ELSE t END AS t, n + {fits}::INT AS n FROM r{k - 1})"
+
+
+@query(f"""WITH d AS (SELECT doc_id, 'Review this.' || chr(10) || 'UNIT ' || doc_id || chr(10) || text || chr(10) AS code,
+        list_transform(range(1, 1 + doc_id % 4), lambda k: 'line ' || k || ': ' || lang) AS h, list_transform(range(1, 1 + doc_id % 3), lambda k: 'line ' || (k + 9) || ': ' || repeat(source || ' ', 20 * k)) AS c,
+        list_transform(range(1, 5), lambda k: k || ' ' || repeat(source || ' ', 1 + (doc_id * k) % 40)) AS b FROM documents),
+    f AS (SELECT *, code || CASE WHEN len(h) > 0 THEN chr(10) || 'LINES THAT RULES MATCHED (some may be harmless):' || chr(10) || array_to_string(h, chr(10)) || chr(10) ELSE '' END AS base,
+        CASE WHEN len(c) > 0 THEN chr(10) || 'OTHER LINES THAT USE THE SAME NAMES (from elsewhere in the function):' || chr(10) || array_to_string(c, chr(10)) || chr(10) ELSE '' END AS block FROM d),
+    r0 AS (SELECT doc_id, b, base, CASE WHEN length(base) + length(block) <= 1500 THEN base || block ELSE base END AS t, 0 AS n FROM f), {", ".join(_added(k) for k in range(1, 5))}
+    SELECT doc_id, CASE WHEN length(base) <= 1500 THEN md5(rtrim(t, {_BLANKS}) || chr(10)) END AS prompt_md5, CASE WHEN length(base) <= 1500 THEN n END::INT AS n_related FROM r4""")
+def review_prompt_texts(spark, sf_dir):
+    """Whole prompts with flagged lines, lines beside them and up to three related blocks."""
+    doc = F.col("doc_id")
+    items = lambda n, body: F.when(n > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), n)), body)).otherwise(F.array().cast("array<string>"))
+    many = lambda n: F.repeat(F.concat("source", F.lit(" ")), n.cast("int"))
+    hints = items(doc % 4, lambda k: F.concat(F.lit("line "), k, F.lit(": "), F.col("lang")))
+    context = items(doc % 3, lambda k: F.concat(F.lit("line "), k + 9, F.lit(": "), many(20 * k)))
+    related = items(F.lit(4), lambda k: F.concat(k, F.lit(" "), many(1 + (doc * k) % 40)))
+    made = prompts.review_prompt(F.lit("Review this."), F.concat(F.lit("UNIT "), doc), F.col("text"), hints, context, related, 1500)
+    rows = table(spark, sf_dir, "documents").withColumn("p", made)
+    return rows.select("doc_id", F.md5("p.prompt").alias("prompt_md5"), F.col("p.n_related").alias("n_related"))
+
+
+def _listed(before: str, items: str, heading: str, budget: str = "100 + doc_id % 200") -> str:
+    """SQL of a text with a heading and the lines "- item" up to the first that does not fit."""
+    start = f"({before} || chr(10) || '{heading}:' || chr(10))"
+    n = f"len(list_filter(range(1, len({items}) + 1), lambda i: length({start}) + list_sum(list_transform({items}[1:i], lambda x: length(x) + 3)) <= {budget}))"
+    return f"CASE WHEN len({items}) > 0 THEN {start} || array_to_string(list_transform({items}[1:{n}], lambda x: '- ' || x || chr(10)), '') ELSE {before} END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, 'FILE: ' || doc_id || chr(10) AS t, string_split(text, ' ')[1 : doc_id % 9] AS a, list_transform(range(1, 1 + doc_id % 3), lambda k: lang || k) AS b,
+        list_transform(range(1, 1 + doc_id % 7), lambda k: source || k) AS c FROM documents),
+    x AS (SELECT *, {_listed("t", "a", "WHAT ITS MAIN FUNCTIONS DO")} AS t1 FROM d), y AS (SELECT *, {_listed("t1", "b", "TYPES THE FILE DEFINES (names only)")} AS t2 FROM x)
+    SELECT doc_id, md5({_listed("t2", "c", "EVERYTHING THE FILE DEFINES (names only)")}) AS prompt_md5 FROM y""")
+def overview_prompt_texts(spark, sf_dir):
+    """Whole overview prompts with what functions do, types and names, over budgets of several sizes."""
+    doc = F.col("doc_id")
+    items = lambda n, body: F.when(n > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), n)), body)).otherwise(F.array().cast("array<string>"))
+    told = F.slice(F.split("text", " ", -1), F.lit(1), (doc % 9).cast("int"))
+    text = prompts.overview_prompt(
+        F.concat(F.lit("FILE: "), doc, F.lit("\n")), told, items(doc % 3, lambda k: F.concat("lang", k)), items(doc % 7, lambda k: F.concat("source", k)), 100 + doc % 200)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text).alias("prompt_md5"))
+
+
 # Answers
 
 _ANSWERS = f"""WITH {FACTS}, pos AS (SELECT *, (row_number() OVER (PARTITION BY s ORDER BY p) - 1)::INT AS pos FROM fn) {_HINTS},
