@@ -8,7 +8,8 @@ from .functions import text as T
 from .operators import facts, graph, signals
 from .plans import review
 from .plans.code_view import FACTS
-from .queries_code import anew, _CALLERS, _CONTEXT, _FACTS, _HINTS, _chunks, _facts, _scanned, _scored
+from .queries_code import _CONTEXT, _EDGES, _HINTS, _chunks, _facts, _scanned, _scored, anew
+from .queries_code import ORACLES as _KNOWN
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +58,23 @@ ORACLES["context_lines"] = f"""{_POS} {_HINTS}, f AS (SELECT h.path, h.pos, h.li
         UNION ALL SELECT f.path, f.pos, c.line - 1, f.line, 'for (int i = 0; i < x; i++) {{' FROM f JOIN call c ON c.caller = f.p AND c.loop WHERE f.language = 'C++' AND f.kind = 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY path, pos ORDER BY abs(place - line), place) AS k FROM cand)
     SELECT path, pos, place::INT AS line, text FROM r WHERE k <= 6"""
+
+# A file's document from the answers of the queries that it is made of.
+_PARTS = ", ".join(f"{name} AS ({_KNOWN[name]})" for name in (
+    "contents_sentence", "dependency_sentence", "impact_sentence", "listed_symbols", "function_score", "important_functions", "extract_chunks", "signatures", "constants"))
+ORACLES["file_document"] = f"""WITH {_PARTS},
+    called AS ({_POS} {_EDGES}, k AS (SELECT *, row_number() OVER (PARTITION BY path, pos ORDER BY o, callee_path, callee_pos) AS k FROM (
+            SELECT path, pos, callee_path, callee_pos, callee, min(o) OVER (PARTITION BY path, pos, callee) AS o FROM edges))
+        SELECT path, pos, list(callee ORDER BY k) AS l FROM k WHERE k <= 4 GROUP BY ALL),
+    entry AS (SELECT i.path, i.place, '- **`' || c.name || '`** (lines ' || c.start_line || '-' || c.end_line || '): `' || g.signature || '`'
+            || (CASE WHEN l IS NULL THEN '' ELSE chr(10) || '  - Calls: ' || array_to_string(list_filter(l, lambda x, j: list_position(l, x) = j), ', ') END)
+            || chr(10) || '  - Why it matters: ' || (CASE WHEN reasons = '' THEN 'It is one of the larger functions of the file.' ELSE replace(reasons, '; ', ' ') END) AS e
+        FROM important_functions i JOIN extract_chunks c USING (path, pos) JOIN signatures g USING (path, pos) JOIN function_score f USING (path, pos) LEFT JOIN called USING (path, pos)),
+    entries AS (SELECT path, string_agg(e, chr(10) ORDER BY place) AS e FROM entry GROUP BY path),
+    held AS (SELECT path, string_agg('- `' || name || '`', chr(10) ORDER BY line) AS k FROM constants GROUP BY path)
+    SELECT path, '## ' || path || chr(10) || chr(10) || c.sentence || ' ' || d.sentence || ' ' || i.sentence
+        || coalesce(chr(10) || chr(10) || '**Important functions**' || chr(10) || chr(10) || e, '')
+        || coalesce(chr(10) || chr(10) || '**Everything it defines**' || chr(10) || chr(10) || '- `' || replace(signatures, '; ', '`' || chr(10) || '- `') || '`', '')
+        || (CASE WHEN n_more > 0 THEN chr(10) || '- ...and ' || n_more || ' more' ELSE '' END)
+        || coalesce(chr(10) || chr(10) || '**Constants**' || chr(10) || chr(10) || k, '') AS report
+    FROM contents_sentence c JOIN dependency_sentence d USING (path) JOIN impact_sentence i USING (path) LEFT JOIN entries USING (path) LEFT JOIN listed_symbols USING (path) LEFT JOIN held USING (path)"""
