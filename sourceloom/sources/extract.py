@@ -176,19 +176,23 @@ def _cpp(text: str) -> tuple[list, list, list]:
                 mine, round_depth = stack.pop()
                 if mine is not None:
                     chunks[mine][5], chunks[mine][6] = line_of(at), text[chunks[mine][6] : at + 1]
+                    spans[mine][2] = at
             begin = at + 1
-            for span in spans:
-                if stack is not None and span[2] == 0 and chunks[span[0]][5]:
-                    span[2] = at
     for chunk in chunks:
         if not chunk[5]:  # the closing brace is missing
             chunk[5], chunk[6] = line_of(len(text)), text[chunk[6] :]
     for span in spans:
         span[2] = span[2] or len(code)
+    inside, later = [], iter([*spans, [None, len(code), 0]])  # spans begin in order, and one lies inside another or after it
+    coming = next(later)
     for m in re.finditer(rf"({_WORD})\s*(?:<[^<>;()]*>)?\s*\(", code):
-        inner = [s for s in spans if s[1] < m.start() <= s[2]]
-        if inner and m[1] not in _CPP_NO_CALL:
-            chunks[max(inner, key=lambda s: s[1])[0]][8].append(m[1])
+        while coming[1] < m.start():
+            inside.append(coming)
+            coming = next(later)
+        while inside and inside[-1][2] < m.start():
+            inside.pop()
+        if inside and m[1] not in _CPP_NO_CALL:
+            chunks[inside[-1][0]][8].append(m[1])
     for chunk in chunks:
         chunk[8] = _last(chunk[8])
     return chunks, includes, constants
