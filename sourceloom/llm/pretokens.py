@@ -157,8 +157,8 @@ def borders(classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(at)
 
 
-def split_texts(texts: list[str], table: np.ndarray) -> list[list[str]]:
-    """The pre-tokens of each text."""
+def split_flat(texts: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The pre-tokens of all texts in order, and how many there are up to the end of each text."""
     end = chr(0)  # holds the place of END_POINT, which no string can contain
     joined = end.join(texts) + end
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -171,6 +171,13 @@ def split_texts(texts: list[str], table: np.ndarray) -> list[list[str]]:
     out, first = [], 0
     for last in cuts.tolist():  # places[last] is the end of the text
         here = places[first : last + 1]
-        out.append([joined[a:b] for a, b in zip(here, here[1:])])
+        out += [joined[a:b] for a, b in zip(here, here[1:])]
         first = last + 1
-    return out
+    return out, cuts - np.arange(len(texts))
+
+
+def split_texts(texts: list[str], table: np.ndarray) -> list[list[str]]:
+    """The pre-tokens of each text."""
+    pieces, ends = split_flat(texts, table)
+    cuts = [0, *ends.tolist()]
+    return [pieces[a:b] for a, b in zip(cuts, cuts[1:])]

@@ -4,7 +4,9 @@ Two deterministic transducers run in cascade. The first marks pre-token borders
 state maps of fixed chunks compose through a parallel prefix scan. The second reads the bytes of one
 pre-token from its reset state and annotates every transition with the number of tokens that it adds to
 the byte-pair encoding of the prefix read so far (the number can be negative: a merge undoes tokens).
-The count of a text is the sum of all annotations, so counts of pieces add up like the maps compose.
+A border resets the second machine whatever its state was, so of a chunk's map over both machines nothing but
+the border state and a number of tokens can reach the next chunk at a border: the states are scanned first, and the
+counts by a second prefix scan, of sums. A text's count is the difference of what was emitted at its two ends.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,7 +167,7 @@ def counter(path: str, packed_classes: bytes):
     table = pretokens.unpacked(packed_classes)
 
     def count(texts: list[str]) -> list[int]:
-        parts, of, totals = [], [], [0] * len(texts)
+        parts, of, totals = [], [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             pieces = [text]
             for token in added:
@@ -173,11 +176,12 @@ def counter(path: str, packed_classes: bytes):
                     totals[k] += text.count(token)
             parts += pieces
             of += [k] * len(pieces)
-        split = pretokens.split_texts(parts, table)
-        tokens_of = memory.table(split).__getitem__
-        for k, pieces in zip(of, split):
-            totals[k] += sum(map(tokens_of, pieces))
-        return totals
+        split, ends = pretokens.split_flat(parts, table)
+        tokens_of = memory.table([split]).__getitem__
+        # what the machine has emitted by the end of each part: the counts' half of the scan, sums that compose like the state maps
+        emitted = np.concatenate([[0], np.cumsum(np.fromiter(map(tokens_of, split), np.int64, len(split)))])[ends]
+        np.add.at(totals, of, np.diff(emitted, prepend=0))
+        return totals.tolist()
 
     return count
 
