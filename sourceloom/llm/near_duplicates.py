@@ -230,9 +230,16 @@ def _partners(part: dict, similarity: float):
                 yield x[here], y[here]
 
 
+def _for_nodes(rows: DataFrame, columns: list[str], table: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (key, count, node and columns that depend on it) with those of table (by node): the keys of a node, at most
+    SEGMENTS * (1 + UNSURE), wait in one row, so that the join has a row for each node instead of one for each key."""
+    held = rows.groupBy("node", *columns).agg(F.collect_list(F.struct("key", "count")).alias("keys"))
+    return held.join(table, "node", how).withColumn("_k", F.explode("keys")).select("*", "_k.key", "_k.count").drop("_k", "keys")
+
+
 def _across(rows: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Verified links a, b within keys and between roots; rows: key, count (of rows in the key), node and root."""
-    rows = _blocks_of_keys(rows.join(nodes.select("node", "n", *_NAMES, "unsure"), "node"))
+    rows = _blocks_of_keys(_for_nodes(rows, ["root"], nodes.select("node", "n", *_NAMES, "unsure")))
     names = rows.columns
 
     def with_partners(batches):
@@ -268,7 +275,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: fl
     tried = _candidates(_met(rows, "first"), nodes, similarity)
     ends = tried.select(F.explode(F.array("a", "b")).alias("node"))
     links = _verified(tried, _shingles_of(ends, nodes, texts, words), similarity)
-    known = rows.where(F.col("count") > 2).select("key", "count", "node").join(connected_components(links), "node", "left")
+    known = _for_nodes(rows.where(F.col("count") > 2), [], connected_components(links), "left")
     known = known.withColumn("root", F.coalesce("root", "node")).withColumns({"low": F.min("root").over(of_key), "high": F.max("root").over(of_key)})
     return links.unionByName(_across(known.where("low < high").select("key", "count", "node", "root"), nodes, texts, words, similarity))
 
