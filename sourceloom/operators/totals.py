@@ -27,6 +27,20 @@ def stop_reasons(outcomes: DataFrame, group: str) -> DataFrame:
     return counted.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stop_reason", said.alias("said")))), lambda x: x["said"]), "; ").alias("reasons"))
 
 
+def review_summary(outcomes: DataFrame, group: str) -> DataFrame:
+    """Per group: files found, reviewed (with review units), quiet (without) and skipped (could not be read), and why reviews stopped early.
+
+    outcomes has the group, is_skipped, unit_count and stop_reason of every file. Skipped files give no reason; null counts are
+    none; no reasons give an empty text; an empty table gives no rows.
+    """
+    skipped, units = F.coalesce("is_skipped", F.lit(False)), F.coalesce("unit_count", F.lit(0))
+    counts = outcomes.groupBy(group).agg(
+        F.count("*").alias("n_files"), F.count_if(~skipped & (units > 0)).alias("n_reviewed"), F.count_if(~skipped & (units == 0)).alias("n_quiet"),
+        F.count_if(skipped).alias("n_skipped"))
+    reasons = stop_reasons(outcomes.where(~skipped), group)
+    return counts.join(reasons, group, "left").withColumn("reasons", F.coalesce("reasons", F.lit("")))
+
+
 def report_table(totals: DataFrame, group: str, key: str = "path", most: int = 15) -> DataFrame:
     """Per group the first files by findings, then by what was not reached, then by name, and how many more there are."""
     order, whole = Window.partitionBy(group).orderBy(F.desc("finding_count"), F.desc("not_reached"), key), Window.partitionBy(group)

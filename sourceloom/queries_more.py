@@ -101,6 +101,21 @@ def review_totals(spark, sf_dir):
     return totals.review_totals(_outcomes(spark, sf_dir)).withColumn("model_seconds", F.round("model_seconds", 4))
 
 
+@query("""WITH o AS (SELECT user_id, user_id % 4 AS repo, user_id % 7 = 0 AS skipped, CASE WHEN user_id % 3 = 0 THEN 0 ELSE count(*) FILTER (event_type = 'purchase') END AS units,
+        CASE user_id % 5 WHEN 0 THEN 'out of time' WHEN 1 THEN 'stopped by hand' END AS reason FROM events GROUP BY user_id),
+    r AS (SELECT repo, reason || (CASE WHEN count(*) = 1 THEN '' ELSE ' (' || count(*) || ' files)' END) AS said FROM o WHERE NOT skipped AND reason IS NOT NULL GROUP BY repo, reason),
+    w AS (SELECT repo, string_agg(said, '; ' ORDER BY said) AS reasons FROM r GROUP BY repo)
+    SELECT repo, count(*) AS n_files, count(*) FILTER (NOT skipped AND units > 0) AS n_reviewed, count(*) FILTER (NOT skipped AND units = 0) AS n_quiet, count(*) FILTER (skipped) AS n_skipped,
+        coalesce(any_value(reasons), '') AS reasons FROM o LEFT JOIN w USING (repo) GROUP BY repo""")
+def review_summary(spark, sf_dir):
+    user = F.col("user_id")
+    bought = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("n"))
+    outcomes = bought.select(
+        (user % 4).alias("repo"), (user % 7 == 0).alias("is_skipped"), F.when(user % 3 == 0, 0).otherwise(F.col("n")).alias("unit_count"),
+        F.when(user % 5 == 0, "out of time").when(user % 5 == 1, "stopped by hand").alias("stop_reason"))
+    return totals.review_summary(outcomes, "repo")
+
+
 @query("""SELECT user_id AS path, count(*) AS planned, count(*) FILTER (event_type = 'view') AS written, count(*) FILTER (event_type = 'click') AS unusable, count(*) FILTER (event_type = 'error') AS failed,
     round(sum(value), 4) AS seconds, count(*) FILTER (event_type IN ('signup', 'purchase')) AS not_written FROM events GROUP BY ROLLUP (user_id)""")
 def documentation_totals(spark, sf_dir):
