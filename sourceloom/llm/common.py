@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from ..scratch import cut_lineage  # noqa: F401
+
 #: Code points that are handled together in one vectorised step.
 BLOCK_CHARS = 1_000_000
 
@@ -22,24 +23,8 @@ def tokenizer_path(path_or_name: str) -> str:
     return path_or_name if "/" in path_or_name else public_tokenizers.path(path_or_name)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is chosen only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"/tmp/spark-checkpoints-{uuid.uuid4().hex}"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns that an operator needs, as doc_id and text (null text: empty)."""
+    """Only the two columns that an operator needs, as doc_id (a long: ids of other types must be castable) and text (null: empty)."""
     return df.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
