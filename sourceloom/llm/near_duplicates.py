@@ -10,9 +10,13 @@ random sets of 45 to 400 shingles 0.989 to 0.995 meet in some segment, of 9 shin
 more similar ones nearly always. Whole balls of radius 1 would take 24 keys a segment instead of 5. Unrelated nodes meet
 in 7 of 100,000 pairs; for over ten million nodes take wider segments, and more of them (28 bits: 36).
 
+Rows of the table carry 64 bits from elsewhere in the fingerprint, whose distance leaves one in a hundred of unrelated nodes that
+meet; complete distances, then the exact Jaccard similarity of the shingle sets, decide.
+
 Links are sought twice: each node of a key against the key's smallest node; then, within the keys that still hold
-several components, every pair of two components, in blocks of bounded size. So large groups of copies do not give
-all their pairs, but no candidate pair between two components is left out.
+several components, every pair of two components, in blocks of bounded size, each pair under its smallest common key. There the
+table keeps the rows that have such a partner, their sets are fetched, and the blocks are compared once more with them. So
+large groups of copies do not give all their pairs, but no candidate pair between two components is left out.
 """
 
 from __future__ import annotations

@@ -19,18 +19,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordMemory, cut_lineage, id_and_text, map_texts
-from .toxicity import fold
+from .toxicity import DIGITS, LOOKALIKES, SIGNS
 
 #: Words in each generation of a worker's memory. Results do not depend on it.
 MAX_WORDS = 200_000
+#: Step of the fit, in parameters of features that are scaled alike.
+RATE = 0.15
 _RUNS = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"\p{L}+"), "a"), (regex.compile(r"\p{N}+"), "9"), (regex.compile(r"([^Aa9])\1+"), r"\1\1"))
 
 
+_FOLDS = str.maketrans(DIGITS | SIGNS | LOOKALIKES | {"1": "i", "l": "i"})
+
+
+def folded(word: str) -> str:
+    """A word in lower case, without the signs around it, with digits and signs as the letters that they stand for."""
+    return word.lower().rstrip(".,;:!?*#%&$|()[]{}<>\"'").lstrip("*#%&|()[]{}<>\"'").translate(_FOLDS)
+
+
 def word_features(word: str, n_features: int) -> tuple[int, ...]:
-    shape, folded = word, fold(word).replace(" ", "")
+    shape, plain = word, folded(word)
     for pattern, to in _RUNS:
         shape = pattern.sub(to, shape)
-    names = ("w" + word.lower(), "s" + shape[:12], "f" + folded, *(f"{k}" + folded[:k] for k in (4, 5, 6)))
+    names = ("w" + word.lower(), "s" + shape[:12], "f" + plain, "4" + plain[:4], "5" + plain[:5], "6" + plain[:6])
     return tuple(xxhash.xxh64_intdigest(x) % n_features for x in names)
 
 
@@ -68,7 +78,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit_ordinal(
     docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_features: int = 1 << 15,
-    most_rows: int = 6_000, rounds: int = 200, ridge: float = 2e-4,
+    most_rows: int = 6_000, rounds: int = 120, ridge: float = 4e-4,
 ) -> OrdinalModel:
     """Fits weights and thresholds to graded rows (doc_id, grade), none of them held out.
 
@@ -138,7 +148,7 @@ def _fit(y: np.ndarray, ends: np.ndarray, places: np.ndarray, values: np.ndarray
         gradient[n_features + 1 :] = np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(log_step)
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
-        parameters -= 0.05 * min(1.0, 2 * (1 - t / rounds)) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        parameters -= RATE * min(1.0, 2 * (1 - t / rounds)) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     cut, log_step = parameters[n_features], parameters[n_features + 1 :]
     return OrdinalModel(parameters[:n_features] * scale, np.concatenate([[cut], cut + np.cumsum(np.exp(log_step))]))
 
