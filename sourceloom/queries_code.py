@@ -89,7 +89,7 @@ def called_names(spark, sf_dir):
 
 _INCLUDES = """, near AS (SELECT f.*, 'd' || (f.near % 10) || '/m' || f.near || (CASE WHEN f.near % 2 = 0 THEN '.py' WHEN f.near % 6 = 1 THEN '.h' ELSE '.cpp' END) AS near_file FROM file f),
     inc AS (SELECT path, CASE WHEN language = 'Python' THEN 'os' ELSE 'vector' END AS target, language = 'C++' AS is_system, 1 AS line, 'external' AS kind, CASE WHEN language = 'Python' THEN 'os' ELSE 'vector' END AS dependency FROM file
-    UNION ALL SELECT f.path, CASE WHEN f.language = 'Python' THEN 'm' || f.target ELSE replace(g.path, 'repo/', '') END, false, 2, CASE WHEN f.target <> f.s THEN 'internal' WHEN f.language = 'Python' THEN 'external' ELSE 'external' END,
+    UNION ALL SELECT f.path, CASE WHEN f.language = 'Python' THEN 'm' || f.target ELSE replace(g.path, 'repo/', '') END, false, 2, CASE WHEN f.target <> f.s THEN 'internal' ELSE 'external' END,
         CASE WHEN f.target <> f.s THEN g.path WHEN f.language = 'Python' THEN 'm' || f.target ELSE replace(g.path, 'repo/', '') END FROM file f JOIN file g ON g.s = f.target WHERE f.imports
     UNION ALL SELECT path, 'numpy.linalg', false, 2 + imports::INT, 'external', 'numpy' FROM file WHERE s % 6 = 0
     UNION ALL SELECT path, 'yaml', false, 2 + imports::INT + (s % 6 = 0)::INT, 'external', 'yaml' FROM file WHERE s % 10 = 0
