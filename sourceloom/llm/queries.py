@@ -75,6 +75,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_documents(spark, sf_dir))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
@@ -86,6 +92,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_media": op9_media,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_mixing": op13_mixing,
 }
 
 ORACLES: dict[str, str] = {
