@@ -75,6 +75,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_documents(spark, sf_dir))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -92,6 +98,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_media": op9_media,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_collocations": op12_collocations,
     "op13_mixing": op13_mixing,
 }
 
