@@ -28,7 +28,7 @@ SHARD_WORDS = 3_000_000
 #: Shards of one task share this bit range of the shard's number.
 SHARD_BITS = 24
 #: Copies of the table of counts, so that the parts of candidates with a frequent word are dealt to several tasks.
-SALTS = 16
+SALTS = 8
 BREAK = 0xFF  # no byte of UTF-8
 
 _FOLD = bytearray(range(256))
@@ -265,18 +265,20 @@ def mine_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """
     texts = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     shards = cut_lineage(texts.mapInArrow(_write_shards, _SHARD_SCHEMA))
-    used = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("k", "w")).select(
-        "shard", "lang", (F.col("k") + 1).alias("local"), F.col("w.words").alias("text"), F.col("w.counts").alias("n"))
+    used = shards.select(F.shiftleft("shard", 32).alias("own"), "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("k", "w")).select(
+        (F.col("own") + F.col("k") + 1).alias("own"), F.concat_ws("\n", "lang", "w.words").alias("text"), F.col("w.counts").alias("n"))
     totals = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     # a word has a row in each shard that holds it; it is numbered by the first of them
-    word = Window.partitionBy("lang", "text")
-    own = F.col("shard") * (1 << 32) + F.col("local")
-    known = used.select("*", own.alias("own"), F.sum("n").over(word).alias("f"), F.min(own).over(word).alias("word")).where(F.col("f") >= least)
-    known = cut_lineage(known.select("shard", "lang", "text", "local", "f", "word", "own"))
-    words = known.where("own = word").select("word", "lang", "text", "f")
-
-    lists = known.groupBy("shard").agg(F.collect_list(F.struct("local", "word")).alias("w")).select("shard", F.col("w.local").alias("local"), F.col("w.word").alias("word"))
-    listed = shards.select("shard", "n_ids", "ids").join(lists, "shard")
+    word = Window.partitionBy("text")
+    known = used.select("*", F.sum("n").over(word).alias("f"), F.min("own").over(word).alias("word")).where(F.col("f") >= least)
+    known = cut_lineage(known.select("own", "text", "f", "word"))
+    words = known.where("own = word").select(
+        "word", F.regexp_extract("text", r"(?s)^(.*)\n", 1).alias("lang"), F.substring_index("text", "\n", -1).alias("text"), "f")
+
+    local = F.col("own").bitwiseAND((1 << 32) - 1).cast("int")
+    lists = known.select(F.shiftright("own", 32).alias("shard"), local.alias("local"), "word").groupBy("shard").agg(F.collect_list(F.struct("local", "word")).alias("w"))
+    lists = lists.select("shard", F.col("w.local").alias("local"), F.col("w.word").alias("word"))
+    listed = shards.select("shard", "n_ids", "ids").join(lists.hint("merge"), "shard")  # lists grow with the table: never broadcast
     counted = listed.mapInArrow(_count_bigrams, "shard long, w1 long, w2 long, n long")
     pair = Window.partitionBy("w1", "w2")
     own_pair = F.min("shard").over(pair)
@@ -285,14 +287,16 @@ def mine_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     two = pairs.where("shard = in").select(F.array("w1", "w2").alias("words"), "f")
 
     frequent = pairs.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("p")).select("shard", F.col("p.w1").alias("first"), F.col("p.w2").alias("second"))
-    more = listed.join(frequent, "shard").mapInArrow(_count_longer, "w1 long, w2 long, w3 long, w4 long, n long")
+    more = listed.join(frequent.hint("merge"), "shard").mapInArrow(_count_longer, "w1 long, w2 long, w3 long, w4 long, n long")
     more = more.groupBy("w1", "w2", "w3", "w4").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     longer = more.select(F.filter(F.array("w1", "w2", "w3", "w4"), lambda w: w >= 0).alias("words"), "f")
     return words, cut_lineage(two.unionByName(longer)), totals
 
 
-def _salt(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+def _salt(part: Column | None = None) -> Column:
+    """The copy of a part's count that a candidate meets: single words, which very many candidates may share, have several copies."""
+    salt = F.pmod(F.xxhash64("words"), F.lit(SALTS)).cast("int")
+    return salt if part is None else F.when(F.size(part) == 1, salt).otherwise(0)
 
 
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, share: int = 80, top: int = 2000) -> DataFrame:
@@ -308,19 +312,20 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     inside = longer.groupBy("words").agg(F.max("f").alias("longer"))
     kept = phrases.join(inside, "words", "left").where(F.coalesce(F.col("longer") * 100 < F.col("f") * share, F.lit(True))).drop("longer")
 
-    parts = words.select(F.array("word").alias("part"), "f").unionByName(phrases.select(F.col("words").alias("part"), "f"))
-    parts = parts.select("part", "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    cuts = kept.select("words", F.col("f").alias("a"), _salt("words").alias("salt"), F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    parts = words.select(F.array("word").alias("part"), "f", copies).unionByName(phrases.select(F.col("words").alias("part"), "f", F.lit(0).alias("salt")))
+    cuts = kept.select("words", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
     cuts = cuts.select("*", F.expr("slice(words, 1, k)").alias("left"), F.expr("slice(words, k + 1, 4)").alias("right"))
-    left, right = (parts.select(F.col("part").alias(side), "salt", F.col("f").alias(side[0])) for side in ("left", "right"))
-    cuts = cuts.join(left, ["left", "salt"]).join(right, ["right", "salt"])
+    for side in ("left", "right"):
+        counts = parts.select(F.col("part").alias(side), "salt", F.col("f").alias(side[0]))
+        cuts = cuts.withColumn("salt", _salt(F.col(side))).join(counts, [side, "salt"]).drop("salt", side)
     score = F.expr("(cast(a as decimal(20, 0)) * cast(2000000 as decimal(7, 0))) div (cast(l as decimal(20, 0)) + r)").cast("long")
     scored = cuts.withColumn("score", score).groupBy("words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c")).select("words", "a", "c.score", "c.l", "c.r")
 
-    names = words.select("word", "lang", "text", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = scored.select("*", _salt("words").alias("salt"), F.posexplode("words").alias("at", "word")).join(names, ["word", "salt"])
+    names = words.select("word", "lang", "text", copies)
+    rows = scored.select("*", _salt().alias("salt"), F.posexplode("words").alias("at", "word")).join(names, ["word", "salt"])
     rows = rows.groupBy("words", "a", "l", "r", "score").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("w"))
-    rows = rows.select("lang", F.array_join("w.text", " ").alias("phrase"), "a", "l", "r", "score", F.pmod(F.xxhash64("words"), F.lit(SALTS)).alias("salt"))
+    rows = rows.select("lang", F.array_join("w.text", " ").alias("phrase"), "a", "l", "r", "score", _salt().alias("salt"))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
