@@ -67,10 +67,10 @@ def _rate(multiplier: Column, log_size: Column, most: int) -> Column:
     return F.floor(F.least(F.lit(float(most)), F.exp(multiplier * log_size)) * UNIT).cast("long")
 
 
-def solve_rates(cells: DataFrame, targets: DataFrame, most: int = 3, tolerance: float = 1e-7) -> DataFrame:
+def solve_rates(cells: DataFrame, targets: DataFrame, most: int = 3, tolerance: float = 1e-6) -> DataFrame:
     """source and multiplier for each source of targets, by Newton's method over cells (source, size, count).
 
-    A source whose target is `most` times its size gets a multiplier that puts every rate at the limit. A source without words keeps the rate 1.
+    A source is done when it meets its target up to `tolerance` of it and two units of each rate. A source whose target is `most` times its size gets a multiplier that puts every rate at the limit. A source without words keeps the rate 1.
     """
     log_size = F.log2(F.col("size") + F.lit(1.0))
     cells = cells.where("size > 0").select("source", "size", "count", log_size.alias("x"), F.floor(log_size * FINE).cast("long").alias("x_fine"))
@@ -79,7 +79,7 @@ def solve_rates(cells: DataFrame, targets: DataFrame, most: int = 3, tolerance:
     full = F.col("target") >= F.col("source_size") * most
     start = F.when(F.col("t.source_size") == 0, 0.0).when(full, 1e6).otherwise(F.ln(F.col("t.target") / F.col("t.source_size")) / F.col("m.x"))
     state = targets.alias("t").join(means.alias("m"), _same("t", "m"), "left").select(
-        "t.source", "t.target", start.alias("multiplier"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
+        "t.source", "t.target", (F.col("t.target") * tolerance + F.col("t.source_size") * (2.0 / UNIT)).alias("near"), start.alias("multiplier"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
         (full | (F.col("t.source_size") == 0)).alias("done"))
     state = cut_lineage(state)
     for _ in range(MOST_STEPS):
@@ -95,13 +95,13 @@ def solve_rates(cells: DataFrame, targets: DataFrame, most: int = 3, tolerance:
         low = F.when(over <= 0, F.greatest("s.low", "s.multiplier")).otherwise(F.col("s.low"))
         high = F.when(over > 0, F.least("s.high", "s.multiplier")).otherwise(F.col("s.high"))
         stepped = both.select(
-            "s.source", "s.target", "s.multiplier", low.alias("low"), high.alias("high"), F.try_subtract("s.multiplier", F.try_divide(over, "g.slope")).alias("newton"),
-            (F.col("s.done") | F.coalesce(F.abs(over) <= F.lit(tolerance) * F.col("s.target"), F.lit(False))).alias("done"))
+            "s.source", "s.target", "s.near", "s.multiplier", low.alias("low"), high.alias("high"), F.try_subtract("s.multiplier", F.try_divide(over, "g.slope")).alias("newton"),
+            (F.col("s.done") | F.coalesce(F.abs(over) <= F.col("s.near"), F.lit(False))).alias("done"))
         outward = F.when(F.col("high").isNull(), F.col("low") + 1.0).when(F.col("low").isNull(), F.col("high") - 1.0).otherwise((F.col("low") + F.col("high")) / 2)
         fits = (F.col("newton") > F.coalesce("low", F.lit(float("-inf")))) & (F.col("newton") < F.coalesce("high", F.lit(float("inf"))))
         then = F.when(F.col("done"), F.col("multiplier")).when(fits, F.col("newton")).otherwise(outward)
-        narrow = F.coalesce(F.col("high") - F.col("low") < 1e-13, F.lit(False))
-        state = cut_lineage(stepped.select("source", "target", then.alias("multiplier"), "low", "high", (F.col("done") | narrow).alias("done")))
+        narrow = F.coalesce(F.col("high") - F.col("low") < 1e-12, F.lit(False))
+        state = cut_lineage(stepped.select("source", "target", "near", then.alias("multiplier"), "low", "high", (F.col("done") | narrow).alias("done")))
     return state.select("source", "multiplier")
 
 

@@ -276,12 +276,15 @@ def turn_sequences(turns: DataFrame) -> DataFrame:
 
 
 def graft_heads(sequences: DataFrame, group: int = 5, longest: int = 8) -> DataFrame:
-    """Each conversation begins with the first h turns of conversation c - c % group, h = crc32(c) % (longest + 1), in place of its own first h."""
+    """Each conversation begins with the first h turns of conversation c - c % group, h = crc32(c) % (longest + 1), in place of its own first h.
+
+    c % group is not negative for negative ids either. A head that is absent gives no turns; one that is short gives all it has.
+    """
     h = F.pmod(F.crc32(F.col("c.conv_id").cast("string")), F.lit(longest + 1)).cast("int")
     heads = sequences.where(F.col("conv_id") % group == 0).select("conv_id", F.slice("turns", 1, longest).alias("turns"))
     own = F.col("c.turns")
     empty = F.slice(own, 1, 0)
-    both = sequences.alias("c").join(heads.alias("p"), F.col("c.conv_id") - F.col("c.conv_id") % group == F.col("p.conv_id"), "left")
+    both = sequences.alias("c").join(heads.alias("p"), F.col("c.conv_id") - F.pmod("c.conv_id", F.lit(group)) == F.col("p.conv_id"), "left")
     rest = F.slice(own, h + 1, F.greatest(F.size(own), F.lit(1)))
     return both.select("c.conv_id", F.concat(F.slice(F.coalesce("p.turns", empty), F.lit(1), h), rest).alias("turns"))
 
