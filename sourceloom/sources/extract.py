@@ -1,8 +1,7 @@
 """Definitions, calls, imports and constants of source files: one small helper per file, tables by Spark.
 
-Python is read with the standard library's ast, by indentation where a file does not parse. C++ is read by a
-scanner over headers and braces with comments, literals and directives blanked; templates and macros are
-approximate. A file that cannot be read keeps its error and gives no definitions.
+Python is read with the standard library's ast, by indentation where a file does not parse or is nested too deeply. C++ is read by
+sources.cpp. A file that cannot be read, whatever the error, keeps the error's name and gives no definitions.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from .cpp import read_cpp
 
 SCHEMA = (
     "repo string, path string, language string, line_count int, error string, "
@@ -23,7 +23,6 @@ SCHEMA = (
     "includes array<struct<target:string,is_system:boolean,line:int>>, constants array<struct<name:string,line:int>>"
 )
 _WORD = r"[A-Za-z_]\w*"
-_CPP_NO_CALL = frozenset("if for while switch catch return sizeof alignof decltype new delete throw else do case static_assert defined operator".split())
 
 
 def _last(names: list[str]) -> list[str]:
@@ -31,15 +30,12 @@ def _last(names: list[str]) -> list[str]:
 
 
 def _python(text: str) -> tuple[list, list, list]:
-    tree, lines = ast.parse(text), text.split("\n")
-    data = [line.encode() for line in lines]
+    tree, data = ast.parse(text), text.encode()
+    starts = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", data))]  # ast ends a line at a lone \r too
     chunks, includes, constants = [], [], []
 
     def slice_of(node) -> str:
-        a, b = node.lineno - 1, node.end_lineno - 1
-        if a == b:
-            return data[a][node.col_offset : node.end_col_offset].decode()
-        return b"\n".join([data[a][node.col_offset :], *data[a + 1 : b], data[b][: node.end_col_offset]]).decode()
+        return data[starts[node.lineno - 1] + node.col_offset : starts[node.end_lineno - 1] + node.end_col_offset].decode()
 
     def walk(node, owner: int | None) -> None:
         for child in ast.iter_child_nodes(node):
@@ -49,7 +45,7 @@ def _python(text: str) -> tuple[list, list, list]:
                 source = slice_of(child)
                 body = child.body[0]
                 n_head = (min([body.lineno, *(d.lineno for d in getattr(body, "decorator_list", []))])) - child.lineno
-                header = "\n".join(source.split("\n")[:n_head]) if n_head else source.split(":")[0] + ":"
+                header = "\n".join(re.split(r"\r\n|\r|\n", source)[:n_head]) if n_head else source.split(":")[0] + ":"
                 mine = len(chunks)
                 chunks.append([mine, owner, child.name, kind, child.lineno, child.end_lineno, source, header, []])
             elif isinstance(child, ast.Call) and owner is not None:
@@ -107,110 +103,29 @@ def _python_by_indent(text: str) -> tuple[list, list, list]:
     return chunks, includes, constants
 
 
-def _blank(match: re.Match) -> str:
-    return re.sub(r"[^\n]", " ", match[0])
-
-
-_CPP_BLANK = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
-_CPP_TYPE = re.compile(rf"(?:^|[\s>;])(class|struct|enum(?:\s+(?:class|struct))?|namespace)\s+(?:\[\[[^\]]*\]\]\s*)?({_WORD}(?:::{_WORD})*)?[^()=]*$", re.S)
-_CPP_FUNCTION = re.compile(rf"((?:{_WORD}\s*::\s*)*~?{_WORD})\s*\(", re.S)
-
-
-def _cpp(text: str) -> tuple[list, list, list]:
-    includes, constants, guards = [], [], 0
-    code = _CPP_BLANK.sub(lambda m: m[0] if m[0][0] in "\"'" else _blank(m), text)
-    for k, line in enumerate(code.split("\n")):
-        if m := re.match(r'\s*#\s*include\s*(?:<([^>]+)>|"([^"]+)")', line):
-            includes.append([m[1] or m[2], m[1] is not None, k + 1])
-        elif re.match(r"\s*#\s*if", line):
-            guards += 1
-        elif re.match(r"\s*#\s*endif", line):
-            guards -= 1
-        elif not guards and (m := re.match(rf"\s*#\s*define\s+({_WORD})", line)):
-            constants.append([m[1], k + 1])
-    code = _CPP_BLANK.sub(_blank, text)
-    code = re.sub(r"(?m)^[ \t]*#(?:[^\n\\]|\\.|\\\n)*", _blank, code)
-    chunks, stack, begin = [], [], 0
-    bounds = [m.start() for m in re.finditer("\n", text)]
-
-    def line_of(at: int) -> int:
-        lo, hi = 0, len(bounds)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if bounds[mid] < at else (lo, mid)
-        return lo + 1
-
-    spans, round_depth = [], 0
-    for m in re.finditer(r"[{};()]", code):
-        at, mark = m.start(), m[0]
-        if mark in "()":
-            round_depth += 1 if mark == "(" else -1
-            continue
-        if mark == ";":
-            if round_depth <= 0:
-                begin = at + 1
-            continue
-        if mark == "{":
-            header = code[begin:at]
-            owner = next((c for c, _ in reversed(stack) if c is not None), None)
-            kind = name = None
-            typed, called = _CPP_TYPE.search(header), _CPP_FUNCTION.search(header)
-            word = re.match(rf"\s*({_WORD})", header)
-            if typed:
-                kind, name = typed[1].split()[0], typed[2]
-            elif called and not (word and word[1] in _CPP_NO_CALL) and called[1] not in _CPP_NO_CALL and "=" not in header[: called.start()] and not re.search(r"\]\s*$", header[: called.start()]):
-                kind = "function" if owner is None else "method"
-                parts = re.sub(r"\s", "", called[1]).split("::")
-                name = "::".join(parts[1:]) if len(parts) > 1 else parts[0]
-                name = None if name.startswith("~") and len(parts) == 1 or "operator" in header[: called.start() + 9] else name
-            mine = None
-            if kind and name:
-                start = begin + len(header) - len(header.lstrip())
-                mine = len(chunks)
-                chunks.append([mine, owner, name, kind, line_of(start), 0, start, text[start:at], []])
-                spans.append([mine, at, 0])
-            stack.append((mine, round_depth))
-            begin, round_depth = at + 1, 0
-        else:
-            if stack:
-                mine, round_depth = stack.pop()
-                if mine is not None:
-                    chunks[mine][5], chunks[mine][6] = line_of(at), text[chunks[mine][6] : at + 1]
-                    spans[mine][2] = at
-            begin = at + 1
-    for chunk in chunks:
-        if not chunk[5]:  # the closing brace is missing
-            chunk[5], chunk[6] = line_of(len(text)), text[chunk[6] :]
-    for span in spans:
-        span[2] = span[2] or len(code)
-    inside, later = [], iter([*spans, [None, len(code), 0]])  # spans begin in order, and one lies inside another or after it
-    coming = next(later)
-    for m in re.finditer(rf"({_WORD})\s*(?:<[^<>;()]*>)?\s*\(", code):
-        while coming[1] < m.start():
-            inside.append(coming)
-            coming = next(later)
-        while inside and inside[-1][2] < m.start():
-            inside.pop()
-        if inside and m[1] not in _CPP_NO_CALL:
-            chunks[inside[-1][0]][8].append(m[1])
-    for chunk in chunks:
-        chunk[8] = _last(chunk[8])
-    return chunks, includes, constants
-
-
 _CHUNK = ("pos", "parent", "name", "symbol_type", "start_line", "end_line", "source", "header", "called_names")
 
 
 def _extract(content: str, language: str) -> tuple[list, list, list]:
     text = content.replace("\r\n", "\n")
     if language != "Python":
-        return _cpp(text)
+        return read_cpp(text)
     try:
         return _python(text)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return _python_by_indent(text)
 
 
+def _read(content: str | None, language: str) -> tuple[str | None, tuple[list, list, list]]:
+    """The error, if there is one, and what was found."""
+    if content is None:
+        return "not valid UTF-8", ([], [], [])
+    try:
+        return None, _extract(content, language)
+    except Exception as why:  # noqa: BLE001  one bad file must not end the job
+        return type(why).__name__, ([], [], [])
+
+
 def extract(files: DataFrame) -> DataFrame:
     """A row per file (repo, path, content, language) with its chunks, includes and constants, or an error."""
 
@@ -218,14 +133,7 @@ def extract(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.itertuples():
-                error, found = None, ([], [], [])
-                if r.content is None:
-                    error = "not valid UTF-8"
-                else:
-                    try:
-                        found = _extract(r.content, r.language)
-                    except (RecursionError, MemoryError) as why:
-                        error = type(why).__name__
+                error, found = _read(r.content, r.language)
                 text = r.content or ""
                 n = text.count("\n") + 1 - text.endswith("\n")
                 chunks = [dict(zip(_CHUNK, c)) for c in found[0]]

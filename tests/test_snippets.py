@@ -1,5 +1,7 @@
 """Hand-written sources and answers with their expected rows."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,8 @@ from sourceloom.functions import text as T
 from sourceloom.operators import graph, prompts, signals
 from sourceloom.operators.ranking import numbered
 from sourceloom.sources import extract as X
+from sourceloom.sources.cpp import read_cpp
+from sourceloom.sources.files import quarantine
 
 PYTHON = '''import os, a.b as c
 from . import x, y
@@ -199,3 +203,63 @@ def test_chunks_do_not_depend_on_partitions(spark, sf_dir):
     rows = [sorted(map(str, graph.call_edges(X.chunks_of(X.extract(files.repartition(n)))).select("caller", "callee", "path", "callee_path").collect())) for n in (1, 8)]
     assert rows[0] == rows[1]
     assert all(r.path != r.callee_path or r.pos != r.callee_pos for r in graph.call_edges(X.chunks_of(X.extract(files))).collect())
+
+
+CPP_MORE = '''template <class T, int N = 3> class EXPORT Foo final : public Bar<int> {
+public:
+  int x{0};
+  explicit Foo(int a) noexcept : x{a}, y(2) { made(); }
+  static int s(int q = k(2)) { return q; }
+  int v = init(3);
+  void decl(int);
+private:
+  T _p() const { auto l = [&](int z) { return m(z); }; return l(1); }
+};
+A::A(int x) : a(x), b{1}
+{ g(1); }
+template <typename T> void Foo<T>::bar(std::map<int, std::vector<T>> m) {
+  Foo x(1); auto p = new Foo(2);
+  for (auto& e : m) { use(e); }
+  g<std::vector<std::vector<int>>>(1);
+  if (a < b && c > (d)) h(x >> y, int(2));
+}
+const char* r = R"x(int no() { bad(); } )" )x";
+extern "C" { int c_fun(void) { return 1'000; } }
+namespace a::b { int z() { struct L { int q() { return t(); } }; return 0; } }
+struct P f2(int a) { return P{a}; }
+int last() {
+  open('''
+
+
+def test_cpp_brackets_and_templates(spark):
+    found = extracted(spark, CPP_MORE, "C++")
+    rows = [(r.name, r.symbol_type, r.parent, r.start_line, r.end_line, r.called_names) for r in X.chunks_of(found).orderBy("pos").collect()]
+    assert rows == [
+        ("Foo", "class", None, 1, 10, ["init"]), ("Foo", "method", 0, 4, 4, ["made"]), ("s", "method", 0, 5, 5, []), ("_p", "method", 0, 9, 9, ["m", "l"]),
+        ("A", "function", None, 11, 12, ["g"]), ("bar", "function", None, 13, 18, ["use", "g", "h"]), ("c_fun", "function", None, 20, 20, []),
+        ("a::b", "namespace", None, 21, 21, []), ("z", "method", 7, 21, 21, []), ("L", "struct", 8, 21, 21, []), ("q", "method", 9, 21, 21, ["t"]),
+        ("f2", "function", None, 22, 22, []), ("last", "function", None, 23, 24, ["open"])]
+    assert X.chunks_of(found).where("name = 'A'").first().signature == "A::A(int x) : a(x), b{1}"
+
+
+@pytest.mark.parametrize("unit", ["(", "<", "a<", "{", 'R"(', "for (;;", '"', "/*", "a<b>(", "template <", "x::", "class A : ", "b{1}, ", "}", "[[", "#if\n"])
+def test_cpp_is_read_in_linear_time(unit):
+    began = time.time()
+    read_cpp("A::A() : " + unit * 30_000)
+    assert time.time() - began < 5
+
+
+def test_files_that_fail_are_put_aside(spark, monkeypatch):
+    rows = [("r", "mac.py", "x = 1\rdef f():\r  return g(1)\r", "Python"), ("r", "deep.py", "x = " + "(" * 5000 + "1" + ")" * 5000 + "\ndef f():\n  g()\n", "Python"),
+            ("r", "zero.py", "def f():\n  g()\n\0", "Python"), ("r", "bad.py", None, "Python"), ("r", "ok.cpp", "int f() { g(); }", "C++")]
+    found = X.extract(spark.createDataFrame(rows, "repo string, path string, content string, language string"))
+    good, bad = quarantine(found)
+    assert sorted((r.path, r.name, r.start_line, r.called_names) for r in X.chunks_of(good).collect()) == [
+        ("deep.py", "f", 2, ["g"]), ("mac.py", "f", 2, ["g"]), ("ok.cpp", "f", 1, ["g"]), ("zero.py", "f", 1, ["g"])]
+    assert [(r.path, r.reason) for r in bad.collect()] == [("bad.py", "not valid UTF-8")]
+
+
+def test_any_error_of_a_file_is_its_own(monkeypatch):
+    monkeypatch.setattr(X, "read_cpp", lambda text: 1 / 0)
+    assert X._read("int f() {}", "C++") == ("ZeroDivisionError", ([], [], []))
+    assert X._read("def f(): pass", "Python")[0] is None
