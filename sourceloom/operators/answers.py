@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import text as T
 
-_FINDING = r"LINE:[ \t]*(\d+)[ \t]*\n[ \t]*WHY:[ \t]*([^\n]+)\n[ \t]*FIX:[ \t]*([^\n]+)"
-
 
 def parse_findings(responses: DataFrame, key: str = "unit_id") -> DataFrame:
     """key, line, problem and fix of each LINE/WHY/FIX triple; of repeated lines the first counts."""
-    part = lambda k: F.regexp_extract_all("response", F.lit(_FINDING), F.lit(k))
+    part = lambda k: F.regexp_extract_all("response", F.lit(rules.FINDING), F.lit(k))
     rows = responses.select(key, F.posexplode(F.arrays_zip(part(1).alias("line"), part(2).alias("why"), part(3).alias("fix"))).alias("k", "f"))
     rows = rows.select(key, "k", F.col("f.line").cast("long").alias("line"), T.tidy_answer(F.col("f.why")).alias("problem"), T.tidy_answer(F.col("f.fix")).alias("fix"))
     first = Window.partitionBy(key, "line").orderBy("k")

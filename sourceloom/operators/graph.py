@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from .ranking import numbered
+from .ranking import numbered, paged
 
 
 def _functions(chunks: DataFrame) -> DataFrame:
@@ -141,13 +141,19 @@ def file_edges(resolved: DataFrame) -> DataFrame:
 
 
 def used_by(edges: DataFrame, named: int = 1000) -> DataFrame:
-    """Per file how many files depend on it, and the first of them by path; no row holds more names than `named`."""
+    """Per file how many files depend on it, and the first of them by path, at most `named`; used_by_pages gives all."""
     first = edges.withColumn("k", F.row_number().over(Window.partitionBy("repo", "dependency").orderBy("path"))).where(F.col("k") <= named)
     first = first.groupBy("repo", "dependency").agg(F.sort_array(F.collect_list("path")).alias("used_by"))
     rows = edges.groupBy("repo", "dependency").agg(F.count("*").alias("n_users")).join(first, ["repo", "dependency"])
     return rows.select("repo", F.col("dependency").alias("path"), "n_users", "used_by")
 
 
+def used_by_pages(edges: DataFrame, size: int = 1000) -> DataFrame:
+    """Per file and page all files that depend on it, sorted: path, page, used_by (an array of at most size)."""
+    rows = paged(edges.select("repo", F.col("dependency").alias("used"), "path"), ["repo", "used"], "path", size)
+    return rows.select("repo", F.col("used").alias("path"), "page", F.col("path").alias("used_by"))
+
+
 def core_files(edges: DataFrame, most: int = 4) -> DataFrame:
     """The files with the most users in each repository."""
     counted = edges.groupBy("repo", "dependency").agg(F.count_distinct("path").alias("n_users"))
@@ -169,12 +175,12 @@ def dependency_edges(edges: DataFrame, most: int = 40) -> DataFrame:
 
 
 def import_inventory(
-    includes: DataFrame, files: DataFrame, standard: tuple[str, ...], install_names: dict[str, str] | None = None, required: tuple[str, ...] = (), named: int = 20
+    includes: DataFrame, files: DataFrame, standard: tuple[str, ...], install_names: dict[str, str] | None = None, required: tuple[str, ...] = (), page_size: int = 1000
 ) -> DataFrame:
     """Packages that Python files import from outside: not relative, not of the standard library, no file of the repository.
 
-    install_name, whether the package is required (else optional), how many files import it, the names of the first few files, and
-    place: the order in which packages are first seen, by path and line.
+    install_name, whether the package is required (else optional), how many files import it, place: the order in which packages are first
+    seen, by path and line; and the names of the files, sorted by path, a row for each page of at most page_size.
     """
     line = F.col("line") if "line" in includes.columns else F.lit(0)
     python = includes.where(F.endswith("path", F.lit(".py")) & ~F.startswith("target", F.lit(".")) & ~F.regexp_like("path", F.lit(r"(^|/)(\.[^/]*|__pycache__)/")))
@@ -182,12 +188,11 @@ def import_inventory(
     stems = files.select("repo", F.regexp_replace(file_name(F.col("path")), r"(.)\.[^.]*$", "$1").alias("package")).distinct()
     outside = rows.where(~F.col("package").isin(*standard)).join(stems, ["repo", "package"], "left_anti")
     each = outside.groupBy("repo", "package", "path").agg(F.min("line").alias("line"))
-    first = each.withColumn("k", F.row_number().over(Window.partitionBy("repo", "package").orderBy("path"))).where(F.col("k") <= named)
-    shown = F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda x: file_name(x["path"]))
     used = each.groupBy("repo", "package").agg(F.count("*").alias("n_files"), F.min(F.struct("path", "line", "package")).alias("_first"))
-    used = used.join(first.groupBy("repo", "package").agg(shown.alias("files")), ["repo", "package"])
     # one row per package: as many as there are names of packages
     used = used.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy("_first"))).drop("_first")
     names = F.create_map(*[F.lit(x) for pair in install_names.items() for x in pair]) if install_names else None
     used = used.withColumn("install_name", F.coalesce(names[F.col("package")], F.col("package")) if names is not None else F.col("package"))
-    return used.withColumn("is_required", F.col("package").isin(*required) if required else F.lit(False))
+    used = used.withColumn("is_required", F.col("package").isin(*required) if required else F.lit(False))
+    pages = paged(each, ["repo", "package"], "path", page_size).withColumn("path", F.transform("path", file_name)).withColumnRenamed("path", "files")
+    return used.join(pages, ["repo", "package"])

@@ -43,6 +43,8 @@ def review_summary(outcomes: DataFrame, group: str) -> DataFrame:
 
 def report_table(totals: DataFrame, group: str, key: str = "path", most: int = 15) -> DataFrame:
     """Per group the first files by findings, then by what was not reached, then by name, and how many more there are."""
-    order, whole = Window.partitionBy(group).orderBy(F.desc("finding_count"), F.desc("not_reached"), key), Window.partitionBy(group)
-    ranked = totals.withColumn("place", F.row_number().over(order)).withColumn("n_more", F.greatest(F.lit(0), F.count("*").over(whole) - most))
-    return ranked.where(F.col("place") <= most)
+    order = Window.partitionBy(group).orderBy(F.desc("finding_count"), F.desc("not_reached"), key)
+    # Spark keeps the first rows of each group in every task before it brings a group together
+    ranked = totals.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    counted = totals.groupBy(F.col(group).alias("_group")).agg(F.greatest(F.lit(0), F.count("*") - most).alias("n_more"))
+    return ranked.join(counted, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")

@@ -20,7 +20,6 @@ IGNORED_NAMES = (
     "def", "elif", "in", "not", "and", "or", "is", "None", "True", "False", "self", "lambda", "pass", "raise", "with", "as", "from", "import", "len", "range", "print", "str",
 )
 _NAME = r"([A-Za-z_]\w*)"
-_CHECK = r"\b(?:" + "|".join(rules.CHECK_WORDS) + r")\b"
 
 
 def context_lines(code_lines: Column, source_lines: Column, start: Column, first: Column, last: Column, flagged: Column, language: Column, most: int = rules.CONTEXT_LINES) -> Column:
@@ -47,7 +46,7 @@ def _beside(code_lines: Column, source_lines: Column, start: Column, first: Colu
             code, number = F.get(code_lines, k), start + k
             outside = (number < first) | (number > last)
             mentioned = F.arrays_overlap(F.regexp_extract_all(code, F.lit(_NAME), 1), names)
-            return outside & mentioned & (F.regexp_like(code, assigned) | F.regexp_like(code, F.lit(_CHECK)) | (k <= body))
+            return outside & mentioned & (F.regexp_like(code, assigned) | F.regexp_like(code, F.lit(rules.CHECK)) | (k <= body))
 
         places = F.filter(F.sequence(F.lit(0), F.size(code_lines) - 1), wanted)
         near = F.array_sort(F.transform(places, lambda k: F.struct(F.least(F.abs(start + k - first), F.abs(start + k - last)).alias("d"), (start + k).alias("line"))))

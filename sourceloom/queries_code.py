@@ -165,9 +165,13 @@ def resolve_includes(spark, sf_dir):
     return _resolved(spark, sf_dir).select("path", "target", "kind", "dependency")
 
 
-@query(_INCLUDES + " SELECT dependency AS path, count(*) AS n_users, string_agg(path, ',' ORDER BY path) AS used_by FROM edge GROUP BY dependency")
+@query(_INCLUDES + """, k AS (SELECT *, count(*) OVER (PARTITION BY dependency) AS n_users, ((row_number() OVER (PARTITION BY dependency ORDER BY path) - 1) // 2)::INT AS page FROM edge)
+    SELECT dependency AS path, n_users, page, string_agg(path, ',' ORDER BY path) AS used_by FROM k GROUP BY ALL""")
 def used_by(spark, sf_dir):
-    return graph.used_by(graph.file_edges(_resolved(spark, sf_dir))).select("path", "n_users", F.array_join("used_by", ",").alias("used_by"))
+    """Pages are small here, so that some files have several."""
+    edges = graph.file_edges(_resolved(spark, sf_dir))
+    pages = graph.used_by_pages(edges, 2).select("repo", "path", "page", F.array_join("used_by", ",").alias("used_by"))
+    return pages.join(graph.used_by(edges, 1).select("repo", "path", "n_users"), ["repo", "path"]).drop("repo")
 
 
 @query(_INCLUDES + """ SELECT * FROM (SELECT dependency AS path, count(*) AS n_users, row_number() OVER (ORDER BY count(*) DESC, dependency)::INT AS place FROM edge GROUP BY dependency) WHERE place <= 4""")
@@ -183,16 +187,16 @@ def dependency_edges(spark, sf_dir):
 
 
 @query(_INCLUDES + """, used AS (SELECT DISTINCT split_part(target, '.', 1) AS package, path FROM inc WHERE suffix(path, '.py') AND target NOT LIKE '.%' AND target <> 'os' AND NOT regexp_matches(target, '^m[0-9]+$')),
-    k AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY path) AS k FROM used),
+    k AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY path) AS k, ((row_number() OVER (PARTITION BY package ORDER BY path) - 1) // 20)::INT AS page FROM used),
     first AS (SELECT package, min(path) AS path FROM used GROUP BY package),
     line AS (SELECT package, f.path, min(line) AS line FROM first f JOIN inc ON inc.path = f.path AND split_part(inc.target, '.', 1) = package GROUP BY ALL)
     SELECT package, CASE package WHEN 'numpy' THEN 'numpy-lib' ELSE package END AS install_name, package = 'numpy' AS is_required, (SELECT count(*) FROM used u WHERE u.package = l.package) AS n_files,
-        row_number() OVER (ORDER BY l.path, line, package)::INT AS place, string_agg(regexp_extract(k.path, '[^/]*$'), ',' ORDER BY k) AS files
-    FROM line l JOIN k USING (package) WHERE k <= 20 GROUP BY package, l.path, line""")
+        dense_rank() OVER (ORDER BY l.path, line, package)::INT AS place, page, string_agg(regexp_extract(k.path, '[^/]*$'), ',' ORDER BY k) AS files
+    FROM line l JOIN k USING (package) GROUP BY package, l.path, line, page""")
 def import_inventory(spark, sf_dir):
     extracted = _extracted(spark, sf_dir)
-    packages = graph.import_inventory(X.includes_of(extracted), extracted.select("repo", "path"), ("os", "sys", "re"), {"numpy": "numpy-lib"}, ("numpy",))
-    return packages.select("package", "install_name", "is_required", "n_files", "place", F.array_join("files", ",").alias("files"))
+    packages = graph.import_inventory(X.includes_of(extracted), extracted.select("repo", "path"), ("os", "sys", "re"), {"numpy": "numpy-lib"}, ("numpy",), 20)
+    return packages.select("package", "install_name", "is_required", "n_files", "place", "page", F.array_join("files", ",").alias("files"))
 
 
 _HINTS = """, sec AS (SELECT path, pos, (first + 1)::INT AS line, 'SECURITY' AS kind, CASE WHEN language = 'Python' THEN (['runs dynamic code', 'unsafe deserialisation'])[kind + 1]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import answers, prompts, signals, totals, vectors
 from .plans.code_view import FACTS
-from .queries_code import KEYS, _HINTS, _scanned
+from .queries_code import KEYS, _HINTS, _scanned, anew
 from .queries_text import table
 
 QUERIES: dict = {}
@@ -16,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(function):
-        QUERIES[function.__name__] = function
+        QUERIES[function.__name__] = anew(function)
         if sql:
             ORACLES[function.__name__] = sql
         return function
