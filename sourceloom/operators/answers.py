@@ -35,6 +35,13 @@ def findings_report(validated: DataFrame, key: str = "unit_id") -> DataFrame:
     return rows.where("n_kept > 0")
 
 
-def write_report(lines: DataFrame, path: str) -> None:
-    """Write report texts (column report), one folder of text files."""
-    lines.select(F.col("report").alias("value")).write.text(path)
+def write_report(lines: DataFrame, path: str, lines_per_file: int = 1_000_000) -> None:
+    """Write lines (target, place from 0, line) as text, a folder for each target with its lines in the order of place.
+
+    A target has one file, or one for each lines_per_file places, whose folders are in order; so a target of any length is dealt to several
+    tasks. Null lines are empty ones; no lines write no files; places of a target should differ.
+    """
+    part = F.floor(F.col("place") / lines_per_file).cast("int")
+    rows = lines.select("target", part.alias("part"), "place", F.coalesce("line", F.lit("")).alias("value"))
+    rows = rows.repartition("target", "part").sortWithinPartitions("target", "part", "place")
+    rows.drop("place").write.partitionBy("target", "part").text(path)

@@ -64,32 +64,41 @@ def reuse_embeddings(spark, sf_dir):
 
 
 def _saved(spark, sf_dir):
+    """Three snapshots in two saves, and a third save that is killed before it is published."""
     path = scratch_folder(spark, "snapshots")
+    of = F.col("label") % 3
     rows = table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("digest"), F.col("label") % 3).alias("digest"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), (F.col("label") % 3).cast("long").alias("saved_at"))
-    snapshots.save_snapshot(rows, path)
+        F.concat(F.lit("digest"), of).alias("digest"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), of.cast("long").alias("saved_at"))
+    records = rows.select("digest", "chunk_id", F.concat(F.lit("fn_"), "chunk_id").alias("name"))
+    # one record of digest2 is missing
+    records = records.where((F.col("digest") != "digest2") | (F.col("chunk_id") != rows.where("digest = 'digest2'").agg(F.min("chunk_id")).first()[0]))
+    first = F.col("digest") == "digest0"
+    snapshots.save_snapshot(rows.where(first), records.where(first), path)
+    snapshots.save_snapshot(rows.where(~first), records.where(~first), path)
+    snapshots.write_aside(rows.withColumn("saved_at", F.lit(9).cast("long")), records, path)
     return path
 
 
-@query("SELECT 'digest' || (label % 3) AS digest, count(*) AS n FROM embeddings GROUP BY 1")
+@query("""SELECT 'digest' || (label % 3) AS digest, count(*) AS n, count(*) - (label % 3 = 2)::INT AS n_chunks, (label % 3)::BIGINT AS saved_at FROM embeddings GROUP BY label % 3""")
 def save_snapshot(spark, sf_dir):
-    return spark.read.parquet(_saved(spark, sf_dir)).groupBy("digest").agg(F.count("*").alias("n"))
+    return snapshots.manifest(spark, _saved(spark, sf_dir)).select("digest", "n", "n_chunks", "saved_at")
 
 
-@query("SELECT 'digest1' AS digest, vec_id AS chunk_id FROM embeddings WHERE label % 3 = 1")
+@query("SELECT 'digest1' AS digest, vec_id AS chunk_id, 'fn_' || vec_id AS name, len(embedding)::INT AS size FROM embeddings WHERE label % 3 = 1")
 def latest_snapshot(spark, sf_dir):
-    """The newest snapshot has one row too few, so the one before it counts."""
-    counted = table(spark, sf_dir, "embeddings").groupBy(F.concat(F.lit("digest"), F.col("label") % 3).alias("digest")).agg(F.count("*").alias("n"))
-    expected = counted.withColumn("n", F.when(F.col("digest") == "digest2", F.col("n") + 1).otherwise(F.col("n")))
-    return snapshots.latest_snapshot(spark, _saved(spark, sf_dir), expected).select("digest", "chunk_id")
+    """The newest published snapshot lacks a chunk record, so the one before it counts; the newest of all was never published."""
+    vectors, chunks = snapshots.latest_snapshot(spark, _saved(spark, sf_dir))
+    return vectors.join(chunks.select("chunk_id", "name"), "chunk_id").select("digest", "chunk_id", "name", F.size("vector").alias("size"))
 
 
-@query("""SELECT '# ' || source || ': ' || count(*) || ' files' AS value FROM documents GROUP BY source""")
+@query("""SELECT source AS target, (doc_id // 400)::INT AS part, string_agg('# ' || doc_id || ': ' || n_chars || ' characters' || chr(10), '' ORDER BY doc_id) AS report
+    FROM documents GROUP BY ALL""")
 def report_sink(spark, sf_dir):
+    """The files as they are read back, whole, so that the order of their lines shows."""
     path = scratch_folder(spark, "report")
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    answers.write_report(rows.select(F.concat(F.lit("# "), "source", F.lit(": "), F.col("n"), F.lit(" files")).alias("report")), path)
-    return spark.read.text(path)
+    line = F.concat(F.lit("# "), "doc_id", F.lit(": "), "n_chars", F.lit(" characters"))
+    answers.write_report(table(spark, sf_dir, "documents").select(F.col("source").alias("target"), F.col("doc_id").alias("place"), line.alias("line")), path, 400)
+    return spark.read.text(path, wholetext=True).select("target", "part", F.col("value").alias("report"))
 
 
 @query("""WITH p AS (SELECT p_partkey, (['f', 'A::f', 'a::b::f', 'X::~X'])[1 + p_partkey % 4] || '_' || p_size AS raw FROM part)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,19 +32,51 @@ def chunk_digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def save_snapshot(vectors: DataFrame, path: str) -> None:
-    """Append (digest, chunk_id, text_digest, vector, saved_at) rows, a folder for each digest."""
-    vectors.write.mode("append").partitionBy("digest").parquet(path)
+def write_aside(vectors: DataFrame, chunks: DataFrame, path: str) -> str:
+    """Write vectors (digest, chunk_id, vector, saved_at and others) and chunk records (digest, chunk_id and others) to a new folder below
+    path, each parted by digest. Nobody reads the folder before publish names it."""
+    folder = f"data-{uuid.uuid4().hex}"
+    vectors.write.partitionBy("digest").parquet(f"{path}/{folder}/vectors")
+    chunks.write.partitionBy("digest").parquet(f"{path}/{folder}/chunks")
+    return folder
+
+
+def publish(spark: SparkSession, path: str, folder: str) -> None:
+    """Add a folder's snapshots to the manifest: digest, saved_at, n (its vectors), n_chunks and folder, in one small file.
+
+    The file appears whole or not at all, when Spark commits it; a folder that was never published is as if it had not been written.
+    """
+    vectors = spark.read.parquet(f"{path}/{folder}/vectors").groupBy("digest").agg(F.max("saved_at").alias("saved_at"), F.count("*").alias("n"))
+    chunks = spark.read.parquet(f"{path}/{folder}/chunks").groupBy("digest").agg(F.count("*").alias("n_chunks"))
+    rows = vectors.join(chunks, "digest", "left").select(F.col("digest").cast("string").alias("digest"), "saved_at", "n", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.lit(folder).alias("folder"))
+    rows.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
 
+def save_snapshot(vectors: DataFrame, chunks: DataFrame, path: str) -> None:
+    """Write vectors and chunk records aside, then publish them. A save that is killed leaves the snapshots before it as they were."""
+    publish(vectors.sparkSession, path, write_aside(vectors, chunks, path))
 
-def latest_snapshot(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
-    """Rows of the newest snapshot; with expected (digest, n), of the newest that has n rows."""
-    saved = spark.read.parquet(path)
-    heads = saved.groupBy("digest").agg(F.max("saved_at").alias("saved_at"), F.count("*").alias("n"))
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """All published snapshots; of those of one digest all are listed, the newest counts."""
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def latest_snapshot(spark: SparkSession, path: str, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """Vectors and chunk records of the newest snapshot with as many of the one as of the other; with expected (digest, n), of the newest that has n
+    vectors. None if there is none.
+
+    Only the manifest is read to find it, and then only the folders of its digest.
+    """
+    heads = manifest(spark, path).where("n = n_chunks")
     if expected is not None:
         heads = heads.join(expected, ["digest", "n"], "left_semi")
-    newest = heads.agg(F.max_by("digest", F.struct("saved_at", "digest")).alias("digest"))
-    return saved.join(F.broadcast(newest), "digest")  # one row
+    newest = heads.orderBy(F.desc("saved_at"), F.desc("digest"), F.desc("folder")).first()
+    if newest is None:
+        return None
+    kinds = (spark.read.parquet(f"{path}/{newest.folder}/{kind}") for kind in ("vectors", "chunks"))
+    vectors, chunks = (df.where(F.col("digest") == newest.digest) for df in kinds)
+    return vectors, chunks
 
 
 def reuse_vectors(chunks: DataFrame, saved: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
