@@ -3,7 +3,7 @@
 A page becomes a tree. Every node gets its number of characters per tag, adjusted by how much of the text is
 link text. The node whose children have the greatest sum of densities is the core of the article. The least
 density on the path from the body to the core is the threshold that text beside the core must reach. An article or main
-element on that path, which reaches the threshold, stands for the core.
+element on that path stands for the core if its density reaches the body's; a sparser one is passed over.
 
 Parts that by element or class are no article (menus, footers, adverts, forms, comments) count and give nothing, unless
 they wrap the article: a part with the page's article, main or first heading in it, or with nearly all of its text, stays.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,9 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-_TAG = re.compile(
-    r"""<(?:(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+|[^>]*)>|(?P<note>!--)|[!?/][^>]*>)"""
-)
+_TAG = re.compile(r"<(?:(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)|(?P<note>!--)|[!?/][^>]*>)")
+_MARK = re.compile("[>\"']")
 _KIND = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -81,8 +81,32 @@ def marks(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SPACE = " "
+class _Closes:
+    """Where tags end: the first > outside of quotes after a place, or the first at all if quotes are not closed.
+
+    Marks are read once from the end of the page, so that a page of any quotes takes linear time.
+    """
+
+    def __init__(self, source: str):
+        self.places = [m.start() for m in _MARK.finditer(source)]
+        self.plain = [0] * len(self.places)
+        self.outside: list[int | None] = [None] * (len(self.places) + 1)
+        last, close = {}, -1  # the next place of each quote in self.places, and of any >
+        for k in range(len(self.places) - 1, -1, -1):
+            mark = source[self.places[k]]
+            if mark == ">":
+                close = self.outside[k] = self.places[k]
+            else:
+                if mark in last:
+                    self.outside[k] = self.outside[last[mark] + 1]
+                last[mark] = k
+            self.plain[k] = close
+
+    def after(self, place: int) -> int:
+        k = bisect_left(self.places, place)
+        if k == len(self.places):
+            return -1
+        return self.plain[k] if self.outside[k] is None else self.outside[k]
 
 
 class _Page:
@@ -114,6 +138,7 @@ class _Page:
     def _read(self, source: str) -> None:
         place, n = 0, len(source)
         last_end = source.rfind(">")
+        closes = None
         while place < n:
             at = source.find("<", place)
             if at < 0 or at > last_end:
@@ -132,10 +157,20 @@ class _Page:
                 place = n if stop < 0 else stop + 3
             elif found["name"]:
                 name = found["name"].lower()
+                stop = source.find(">", place)
+                quoted = stop < 0 or source.find('"', place, stop) >= 0 or source.find("'", place, stop) >= 0
+                if quoted and stop >= 0:
+                    closes = closes or _Closes(source)
+                    stop = closes.after(place)
+                if stop < 0:
+                    self._text("<")
+                    place = at + 1
+                    continue
+                attrs, place = source[place:stop], stop + 1
                 if found["end"]:
                     self._end(name)
                 else:
-                    self._start(name, found["attrs"])
+                    self._start(name, attrs)
                     if name in RAW:
                         stop = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(source, place)
                         place = stop.start() if stop else n
@@ -283,7 +318,8 @@ class _Page:
         while path[-1] != body and parents[path[-1]] >= 0:
             path.append(parents[path[-1]])
         threshold = min(density[k] for k in path)
-        whole = [k for k in path if names[k] in ("article", "main") and density[k] >= threshold]
+        # an article or main element stands for the core if its text is at least as dense as the body's
+        whole = [k for k in path if names[k] in ("article", "main") and density[k] >= density[body]]
         if whole or core == body:
             return self.text_of([whole[-1] if whole else body], dead)
         on_path, chosen = set(path), [core]

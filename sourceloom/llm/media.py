@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,13 +25,13 @@ UNIT = 576
 RATE = 8000
 
 
-def _png(data: bytes, at: int) -> int | None:
+def _png(data: bytes, at: int, known: dict) -> int | None:
     """Chunks from IHDR to IEND, with right checksums."""
     place, first = at + 8, True
     while place + 12 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, place)
         stop = place + 12 + size
-        if stop > len(data) or first != (kind == b"IHDR"):
+        if stop > len(data) or first != (kind == b"IHDR") or first and size != 13:
             return None
         if zlib.crc32(data[place + 4 : stop - 4]) != struct.unpack_from(">I", data, stop - 4)[0]:
             return None
@@ -40,33 +41,48 @@ def _png(data: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(data: bytes, at: int) -> int | None:
-    """Blocks up to the trailer."""
+def _gif(data: bytes, at: int, known: dict) -> int | None:
+    """Blocks up to the trailer.
+
+    known has, for places of blocks (and, negated, of sub-blocks) that were walked, where that walk ended (0: nowhere), so that heads
+    inside one another take linear time together.
+    """
     if at + 13 > len(data):
         return None
     flags, place = data[at + 10], at + 13
     place += 3 << (flags & 7) + 1 if flags & 0x80 else 0
 
     def sub_blocks(place: int) -> int:
-        while place < len(data) and data[place]:
+        passed = []
+        while place < len(data) and data[place] and -place not in known:
+            passed.append(-place)
             place += 1 + data[place]
-        return place + 1
+        stop = known.get(-place, place + 1)
+        known.update(dict.fromkeys(passed, stop))
+        return stop
 
+    passed, stop = [], 0
     while place < len(data):
+        if place in known:
+            stop = known[place]
+            break
+        passed.append(place)
         mark = data[place]
         if mark == 0x3B:
-            return place + 1 - at
+            stop = place + 1
+            break
         if mark == 0x21:
             place = sub_blocks(place + 2)
         elif mark == 0x2C and place + 10 <= len(data):
             own = data[place + 9]
             place = sub_blocks(place + 10 + (3 << (own & 7) + 1 if own & 0x80 else 0) + 1)
         else:
-            return None
-    return None
+            break
+    known.update(dict.fromkeys(passed, stop))
+    return stop - at if stop else None
 
 
-def _jpeg(data: bytes, at: int) -> int | None:
+def _jpeg(data: bytes, at: int, known: dict) -> int | None:
     """Segments up to the start of a scan, then up to the end marker."""
     place = at + 2
     while place + 2 <= len(data) and data[place] == 0xFF:
@@ -94,7 +110,7 @@ def _jpeg(data: bytes, at: int) -> int | None:
     return None
 
 
-def _riff(data: bytes, at: int) -> int | None:
+def _riff(data: bytes, at: int, known: dict) -> int | None:
     """Chunks that fill the declared size exactly."""
     if at + 12 > len(data):
         return None
@@ -108,7 +124,7 @@ def _riff(data: bytes, at: int) -> int | None:
     return stop - at if place == stop else None
 
 
-def _bmp(data: bytes, at: int) -> int | None:
+def _bmp(data: bytes, at: int, known: dict) -> int | None:
     if at + 26 > len(data):
         return None
     size, reserved, pixels, header = struct.unpack_from("<IIII", data, at + 2)
@@ -116,30 +132,65 @@ def _bmp(data: bytes, at: int) -> int | None:
     return size if fits and at + size <= len(data) else None
 
 
-def _ogg(data: bytes, at: int) -> int | None:
-    """Pages in a row until all streams (by serial number) that began have ended; streams that begin right after belong to the file."""
-    place, running, whole = at, set(), None
+def _ogg(data: bytes, at: int, known: dict) -> int | None:
+    """Pages in a row until all streams (by serial number) that began have ended; streams that begin right after belong to the file.
+
+    All starts in a row of pages are decided when the row's first one is met, and known keeps where each file ends (0: nowhere).
+    """
+    if at not in known:
+        known.update(_ogg_row(data, at))
+    return known[at] - at if known[at] else None
+
+
+def _ogg_row(data: bytes, at: int) -> dict[int, int]:
+    """The end of the file that starts at each page of a row of pages.
+
+    After page t the streams of a file that starts at page j have all ended if no stream's latest page up to t, from j on, leaves it
+    open: if the last page that does is before j. The file ends at the first such t whose next page begins no stream, else at the last such t.
+    """
+    starts, ends, begins, last_open = [], [], [], []  # last_open: the latest page so far that leaves its stream open
+    latest: dict[bytes, int] = {}
+    serials: dict[int, bytes] = {}
+    open_pages: list[int] = []  # rising; pages that are no longer open are dropped from the end
+    place = at
     while data[place : place + 4] == b"OggS" and place + 27 <= len(data) and not data[place + 4]:
         n, flags, serial = data[place + 26], data[place + 5], data[place + 14 : place + 18]
         table = data[place + 27 : place + 27 + n]
-        if whole is not None and not running and not flags & 2:
-            break
-        place += 27 + n + sum(table)
-        if len(table) < n or place > len(data):
+        stop = place + 27 + n + sum(table)
+        if len(table) < n or stop > len(data):
             break
-        running.add(serial)
-        if flags & 4:
-            running.discard(serial)
-        if not running:
-            whole = place - at
-    return whole
+        k = len(starts)
+        starts.append(place)
+        ends.append(stop)
+        begins.append(bool(flags & 2))
+        latest[serial] = -1 if flags & 4 else k
+        if not flags & 4:
+            open_pages.append(k)
+            serials[k] = serial
+        while open_pages and latest[serials[open_pages[-1]]] != open_pages[-1]:
+            del serials[open_pages.pop()]
+        last_open.append(open_pages[-1] if open_pages else -1)
+        place = stop
+    found = dict.fromkeys([*starts, at], 0)
+    waiting: list[int] = []
+    for t in range(len(starts)):
+        waiting.append(t)
+        if t + 1 == len(starts) or not begins[t + 1]:
+            while waiting and waiting[-1] > last_open[t]:
+                found[starts[waiting.pop()]] = ends[t]
+    for t in range(len(starts) - 1, -1, -1):  # what never met such an end takes the last one there was
+        low, high = bisect_right(waiting, last_open[t]), bisect_right(waiting, t)
+        for j in waiting[low:high]:
+            found[starts[j]] = ends[t]
+        del waiting[low:high]
+    return found
 
 
 #: Types of boxes that stand at the top of a file.
 BOXES = frozenset(b"ftyp moov mdat free skip wide meta moof mfra sidx ssix styp uuid pdin prft emsg udta".split())
 
 
-def _mp4(data: bytes, at: int) -> int | None:
+def _mp4(data: bytes, at: int, known: dict) -> int | None:
     """Boxes from ftyp on, of known types, with 32-bit, 64-bit or open-ended sizes; none may be cut off. The magic stands four bytes in."""
     at, place, n = at - 4, at - 4, 0
     while at >= 0 and place + 8 <= len(data):
@@ -187,11 +238,11 @@ def _automaton():
 
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
     """Offset, length and type of the valid files in a value, in order; what lies inside one of them is kept too."""
-    found = []
+    found, known = [], [{} for _ in FORMATS]
     for end, k in _automaton().iter(data.decode("latin-1")):
         magic, kind, validate, back = FORMATS[k]
         at = end - len(magic) + 1
-        length = validate(data, at)
+        length = validate(data, at, known[k])
         if length:
             if kind == "riff":
                 kind = RIFF_TYPES.get(data[at + 8 : at + 12], "application/riff")
