@@ -6,8 +6,9 @@ segments: each node enters under the segment as it is and under the ball around
 two nodes meet under a key if they differ there in up to two such bits.
 
 At a similarity of 0.8 a bit differs with probability 0.151, and differing bits are nearly always uncertain ones: of
-random sets of 45 to 400 shingles 0.989 to 0.995 meet in some segment, of 9 shingles 0.965, of 4 and 5 shingles 0.81;
-more similar ones nearly always. Whole balls of radius 1 would take 24 keys a segment instead of 5. Unrelated nodes meet
+random sets of 45 to 400 shingles 0.989 to 0.995 meet in some segment, of 9 shingles 0.965; more similar ones nearly always. Sets of up to 8
+shingles are linked exactly: one of n shingles reaches 0.8 only with sets that hold it and have at most n / 4 shingles more, so sets of 5 to 10
+shingles look up the digests of what is left of them without one or two. Whole balls of radius 1 would take 24 keys a segment instead of 5. Unrelated nodes meet
 in 7 of 100,000 pairs; for over ten million nodes take wider segments, and more of them (28 bits: 36).
 
 Rows of the table carry 64 bits from elsewhere in the fingerprint, whose distance leaves one in a hundred of unrelated nodes that
@@ -21,6 +22,8 @@ large groups of copies do not give all their pairs, but no candidate pair betwee
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,6 +41,10 @@ MOST_BITS = 189
 MORE_BITS = 320
 #: Bits of the 64 that rows carry in which they may differ: four standard deviations over the mean of 9.7.
 MOST_HINT_BITS = 22
+#: Smaller sets are linked by the digests of sets within sets, whatever their fingerprints are.
+SMALL = 9
+#: The least similarity that segments, bits and small sets are made for.
+LEAST_SIMILARITY = 0.8
 #: Rows of a key that are compared in one block.
 KEY_BLOCK = 2048
 
@@ -101,23 +108,34 @@ def segment_keys(prints: np.ndarray, unsure: np.ndarray) -> np.ndarray:
     return (ball + (np.arange(SEGMENTS)[None, :, None] << WIDTH)).reshape(len(prints), -1)
 
 
+def sets_within(own: np.ndarray) -> list[np.ndarray]:
+    """The sets of less than SMALL shingles inside a set that have four fifths of its shingles or more, but not all."""
+    n = len(own)
+    return [np.delete(own, gone) for k in (1, 2) if 0 < n - k < SMALL and 5 * (n - k) >= 4 * n for gone in map(list, combinations(range(n), k))]
+
+
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
+
+
 def _sketches(source: DataFrame, words: int) -> DataFrame:
-    """Adds s0 and s1 (digest of the shingle set), n (its size), the fingerprint and its uncertain bits."""
+    """Adds s0 and s1 (digest of the shingle set), n (its size), the fingerprint, its uncertain bits, and s0 of the sets_within."""
 
     def make():
         def work(texts):
             sets = [shingle_set(t, words) for t in texts]
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
+            digests = _digests(sets)
             prints, unsure = set_fingerprints(sets)
             return {
                 "s0": pa.array(digests[:, 0].copy()), "s1": pa.array(digests[:, 1].copy()), "n": pa.array([len(s) for s in sets], pa.int32()),
                 **{name: pa.array(prints[:, k].astype(np.int64)) for k, name in enumerate(_NAMES)},
                 "unsure": pa.array([u.tobytes() for u in unsure], pa.binary()),
+                "within": pa.array([_digests(inner)[:, 0].tolist() if (inner := sets_within(s)) else [] for s in sets], pa.list_(pa.int64())),
             }
 
         return work
 
-    return map_texts(source, make, ", ".join(["s0 long, s1 long, n int", *(f"{name} long" for name in _NAMES), "unsure binary"]))
+    return map_texts(source, make, ", ".join(["s0 long, s1 long, n int", *(f"{name} long" for name in _NAMES), "unsure binary", "within array<bigint>"]))
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
@@ -268,7 +286,7 @@ def _across(rows: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, sim
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Verified links a, b of nodes (node, n, fingerprint, unsure, _k0, _k1); texts has text, _k0 and _k1.
+    """Verified links a, b of nodes (node, n, fingerprint, unsure, within, _k0, _k1); texts has text, _k0 and _k1.
 
     Components of the links are those of all candidate pairs of that similarity; pairs within a component
     that are joined through others are not all listed.
@@ -278,7 +296,10 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: fl
     rows = cut_lineage(rows.where(F.col("count") > 1))
     tried = _candidates(_met(rows, "first"), nodes, similarity)
     ends = tried.select(F.explode(F.array("a", "b")).alias("node"))
-    links = _verified(tried, _shingles_of(ends, nodes, texts, words), similarity)
+    inner = nodes.where("n < %d" % SMALL).select(F.col("node").alias("a"), F.col("n").alias("a_n"))
+    outer = nodes.select(F.explode("within").alias("a"), F.col("node").alias("b"), F.col("n").alias("b_n"))
+    small = outer.join(inner, "a").where(F.col("a_n") >= similarity * F.col("b_n")).select("a", "b")
+    links = cut_lineage(_verified(tried, _shingles_of(ends, nodes, texts, words), similarity).unionByName(small))
     known = _for_nodes(rows.where(F.col("count") > 2), [], connected_components(links), "left")
     known = known.withColumn("root", F.coalesce("root", "node")).withColumns({"low": F.min("root").over(of_key), "high": F.max("root").over(of_key)})
     return links.unionByName(_across(known.where("low < high").select("key", "count", "node", "root"), nodes, texts, words, similarity))
@@ -287,19 +308,21 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: fl
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """df without near-duplicates: of each component the row with the smallest id stays, nulls last.
 
-    Rows are linked if the Jaccard similarity of their shingle sets reaches `similarity`, which the settings of
-    this module expect to be about 0.8 or more. All columns of df are kept as they are, whatever their names. Of rows
+    Rows are linked if the Jaccard similarity of their shingle sets reaches `similarity`; below 0.8, for which segments and bits are set, a
+    ValueError is raised. All columns of df are kept as they are, whatever their names. Of rows
     that are equal in id and text one stays. Null and empty texts are one group; an empty table gives no rows. Long
     texts count whole. Nodes are named by 64 bits of their sets' digests.
     """
+    if similarity < LEAST_SIMILARITY:
+        raise ValueError(f"similarity must be at least {LEAST_SIMILARITY}")
     doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     keys = [F.xxhash64(doc, text).alias("_k0"), F.xxhash64(text, F.lit("near"), doc).alias("_k1")]
     source = df.select(doc.alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), *keys)
     prints = cut_lineage(_sketches(source, words))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k0", "_k1")
-    carried = [F.first(name).alias(name) for name in ("n", *_NAMES, "unsure")]
+    carried = [F.first(name).alias(name) for name in ("n", *_NAMES, "unsure", "within")]
     nodes = prints.groupBy("s0", "s1").agg(F.min(rank).alias("least"), *carried)
-    nodes = cut_lineage(nodes.select(F.col("s0").alias("node"), "s1", "least", "n", *_NAMES, "unsure", "least._k0", "least._k1"))
+    nodes = cut_lineage(nodes.select(F.col("s0").alias("node"), "s1", "least", "n", *_NAMES, "unsure", "within", "least._k0", "least._k1"))
     roots = connected_components(similar_links(nodes, source.select("text", "_k0", "_k1"), words, similarity))
     linked = nodes.select("node", "least").join(roots, "node")
     of_root = linked.groupBy("root").agg(F.min("least").alias("_least"))

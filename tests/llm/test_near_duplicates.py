@@ -91,3 +91,24 @@ def test_similarity_decides(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in near_duplicates.drop_similar(rows).collect()) == expected
     far = [brute_prints(t, 5, (42, 43)) for t in texts[-2:]]  # fingerprints of repeated shingles are far apart
     assert sum((a ^ b).bit_count() for a, b in zip(*far)) > 22
+
+
+def test_small_sets_are_linked_exactly(spark):
+    """Texts of 8 to 18 words, one word added at an end: pairs at exactly 0.8 and above are linked, those below are not."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(300):
+        n = 8 + k % 11
+        words = [f"w{x}" for x in rng.integers(0, 10**9, n + 3)]
+        more = 1 + k % 3
+        rows += [(2 * k, " ".join(words[:n])), (2 * k + 1, " ".join(words[: n + more]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_duplicates.drop_similar(df)
+    expected, found = kept_by_all_pairs(df.collect()), sorted(r.doc_id for r in kept.collect())
+    small = {2 * k + 1 for k in range(300) if 8 + k % 11 - 4 < near_duplicates.SMALL}
+    assert [d for d in found if d in small] == [d for d in expected if d in small]
+    assert set(expected) <= set(found) and len(found) - len(expected) <= 0.1 * (600 - len(expected))
+
+
+def test_lower_similarities_are_refused(sample):
+    with pytest.raises(ValueError):
+        near_duplicates.drop_similar(sample, similarity=0.5)

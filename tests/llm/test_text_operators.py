@@ -441,3 +441,55 @@ def test_stored_texts_read_back(edge_docs, empty_docs, sample):
             assert r.media_bytes == len(payload) + 44 and r.feature.startswith("audio/wav;")
     assert media.media_digests(media.store_texts(edge_docs)).count() == edge_docs.count()
     assert media.media_digests(media.store_texts(empty_docs)).collect() == []
+
+
+@pytest.mark.parametrize("unit", ['<a ">"', '<a "', "<a '>", "<a '\">", "<p class=x ", "</a '"])
+def test_quotes_take_linear_time(unit):
+    began = time.time()
+    html_text.main_text(unit * (1_000_000 // len(unit)))
+    assert time.time() - began < 10
+
+
+@pytest.mark.parametrize("data", [
+    (b"OggS" + b"\0" * 23) * 40_000, b"".join(b"OggS\0\2" + b"\0" * 8 + k.to_bytes(4, "little") + b"\0" * 9 for k in range(40_000)),
+    (b"GIF89a" + b"\0" * 7 + b"!\0\x0f") * 60_000])
+def test_heads_in_a_row_take_linear_time(data):
+    began = time.time()
+    media.sniff(data)
+    assert time.time() - began < 5
+
+
+def brute_main_text(source):
+    """Densities, their sums and the core by the definitions, node by node, over the same tree."""
+    page = html_text._Page(source)
+    dead = page._dead()
+    live = [k for k in range(len(page.names)) if not dead[k]]
+    ancestors = lambda k: [] if page.parents[k] < 0 else [page.parents[k], *ancestors(page.parents[k])]
+    inside = {k: [j for j in range(len(page.names)) if j == k or k in ancestors(j)] for k in live}
+    body = next((k for k in live if page.names[k] == "body"), 0)
+    chars, links = ({k: sum(own[j] for j in inside[k]) for k in live} for own in (page.own_chars, page.own_links))
+    share = links[body] / max(chars[body], 1)
+    density = {k: page.density(k, share) for k in live}
+    for k in live:
+        assert (page.chars[k], page.link_chars[k]) == (chars[k], links[k]) and page.tags[k] >= len(inside[k]) - 1
+    sums = {k: sum(density[j] for j in live if page.parents[j] == k and page.names[j] in html_text.BLOCKS) for k in live}
+    within = [k for k in live if k in inside[body]]
+    core = max(within, key=lambda k: (sums[k], density[k], -k))
+    path = [core, *[a for a in ancestors(core) if a in inside[body] or a == body]] if core != body else [core]
+    whole = [k for k in path if page.names[k] in ("article", "main") and density[k] >= density[body]]
+    if whole:
+        return page.text_of([whole[-1]], dead)
+    if core == body:
+        return page.text_of([body], dead)
+    threshold = min(density[k] for k in path)
+    chosen = [k for k in within if k == core or page.parents[k] in path[1:] and k not in path and density[k] >= threshold and page.names[k] in html_text.BLOCKS]
+    return page.text_of(sorted(chosen), dead)
+
+
+def test_densities_by_brute_force(spark, sf_dir):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(40).collect()]
+    plain = [p.replace("<article", "<div").replace("</article", "</div").replace("<main", "<div").replace("</main", "</div") for p in pages]
+    sparse = "<body><div>" + "<p>words of the core, many of them, in a row</p>" * 5 + "</div><article><b>a</b><i>b</i><b>c</b></article></body>"
+    for source in [*pages, *plain, sparse]:
+        assert html_text.main_text(source) == brute_main_text(source)
+    assert "words of the core" in html_text.main_text(sparse)
