@@ -42,4 +42,4 @@ def test_stages_take_empty_and_odd_rows(spark, sf_dir, edge_docs, empty_docs):
 
 def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
-    assert names == {f"op{k}" for k in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{k}" for k in range(1, 14)} and "pipeline" in entry.queries()
