@@ -11,19 +11,11 @@ from ..functions.text import let
 
 #: Vectors in a block; a task holds one block of queries, one of vectors and their products.
 BLOCK = 4096
+FOUND = "query_id long, id long, score double"
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """query_id, id, score and place of the k vectors with the greatest inner product, ties by id.
-
-    Both tables have id and vector. Queries and vectors are dealt into blocks of bounded size by hashed id; every pair
-    of blocks is one small matrix product whose best k per query go on. Nothing is broadcast or collected.
-    """
-    n_q, n_v = (max(1, -(-df.count() // block)) for df in (queries, vectors))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"), part(n_q).alias("qb"), every(n_v).alias("vb"))
-    v = vectors.select(F.col("id").alias("key"), F.col("vector").alias("value"), every(n_q).alias("qb"), part(n_v).alias("vb"))
+def best_of_block(k: int):
+    """A function from a block of queries (query_id, query) and one of vectors (key, value) to the best k of each query."""
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -39,9 +31,29 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK)
             out.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), n), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()}))
         return pd.concat(out)
 
-    local = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(best, "query_id long, id long, score double")
+    return best
+
+
+def first_places(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query with their place; ties go to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return local.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """query_id, id, score and place of the k vectors with the greatest inner product, ties by id.
+
+    Both tables have id and vector. Queries and vectors are dealt into blocks of bounded size by hashed id; every pair
+    of blocks is one small matrix product whose best k per query go on. Nothing is broadcast or collected.
+    """
+    n_q, n_v = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"), part(n_q).alias("qb"), every(n_v).alias("vb"))
+    v = vectors.select(F.col("id").alias("key"), F.col("vector").alias("value"), every(n_q).alias("qb"), part(n_v).alias("vb"))
+
+    local = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(best_of_block(k), FOUND)
+    return first_places(local, k)
 
 
 def topk_search(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import answers, prompts, signals, totals, vectors
+from .operators import answers, prompts, signals, totals, vector_index, vectors
 from .plans.code_view import FACTS
 from .queries_code import KEYS, _HINTS, _scanned, anew
 from .queries_text import table
+from .scratch import scratch_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +43,22 @@ def topk_search(spark, sf_dir):
     return vectors.topk_search(rows.where("id % 20 = 0"), rows, 5, 0.3).select("query_id", "id", F.round("score", 6).alias("score"), "place")
 
 
+@query(f"WITH {_NEAR} SELECT query_id, id, round(score, 6) AS score, place FROM ranked WHERE place <= 5 AND score >= 0.3")
+def indexed_search(spark, sf_dir):
+    """The rows of topk_search by way of an index: the best cells first, then those whose bound reaches what was found."""
+    rows, path = _vectors(spark, sf_dir).select("id", "vector"), scratch_folder(spark, "index")
+    vector_index.build_index(rows, path, k=5)
+    return vector_index.indexed_search(rows.where("id % 20 = 0"), path, 5, threshold=0.3).select("query_id", "id", F.round("score", 6).alias("score"), "place")
+
+
+@query()
+def probed_search(spark, sf_dir):
+    """The best five of each query in the cells that the index takes for a recall of 0.97."""
+    rows, path = _vectors(spark, sf_dir).select("id", "vector"), scratch_folder(spark, "index")
+    vector_index.build_index(rows, path, k=5)
+    return vector_index.probed_search(rows.where("id % 20 = 0"), path, 5).select("query_id", "id", F.round("score", 6).alias("score"), "place")
+
+
 @query(f"""WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place)::INT AS rank FROM ranked
     WHERE place <= 33 AND score >= 0.4 AND id <> query_id AND NOT (q_label = label AND query_id <= id + 3 AND id <= query_id + 3))
     SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 8""")
