@@ -125,31 +125,31 @@ def read_cells(spark: SparkSession, path: str) -> Cells | None:
 
 
 def _chosen(queries: DataFrame, cells: Cells, choose: Callable[[np.ndarray, pd.DataFrame], np.ndarray]) -> DataFrame:
-    """query_id, query, cell and blocks for each cell that choose marks for a query (rows: queries, columns: cells)."""
+    """query_id, query and the list of cells that choose marks for a query (rows: queries, columns: cells)."""
     size = cells.centre.shape[1]
-    blocks = -(-cells.n // BLOCK)
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for start in range(0, len(rows), 512):
                 some = rows.iloc[start : start + 512]
-                at, cell = np.nonzero(choose(_matrix(some["query"], size), some))
-                yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[at], "query": some["query"].to_numpy()[at], "cell": cells.number[cell], "blocks": blocks[cell]})
+                marks = choose(_matrix(some["query"], size), some)
+                yield some[["query_id", "query"]].assign(cells=[cells.number[m] for m in marks])
 
     kind = dict(queries.dtypes)
-    return queries.mapInPandas(pick, f"query_id {kind['query_id']}, query {kind['query']}, cell int, blocks int")
+    return queries.mapInPandas(pick, f"query_id {kind['query_id']}, query {kind['query']}, cells array<int>")
 
 
 def _best_of_cells(chosen: DataFrame, cells: Cells, path: str, k: int, deals: int) -> DataFrame:
     """The best k of each query in each block of its cells; blocks of a cell and deals of the queries are bounded in size."""
     spark = chosen.sparkSession
     chosen = cut_lineage(chosen)
-    wanted = [r.cell for r in chosen.select("cell").distinct().collect()]  # at most MOST_CELLS numbers, for the folders to read
+    wanted = [r.cell for r in chosen.select(F.explode("cells").alias("cell")).distinct().collect()]  # at most MOST_CELLS numbers, for the folders to read
     if not wanted:
         return spark.createDataFrame([], FOUND)
     part = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
-    q = chosen.select("query_id", "query", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part("query_id", F.lit(deals)).alias("deal"))
     sizes = F.broadcast(spark.createDataFrame(list(zip(cells.number.tolist(), (-(-cells.n // BLOCK)).tolist())), "cell int, blocks int"))  # at most MOST_CELLS rows
+    q = chosen.select("query_id", "query", F.explode("cells").alias("cell"), part("query_id", F.lit(deals)).alias("deal")).join(sizes, "cell")
+    q = q.select("query_id", "query", "cell", "deal", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     rows = spark.read.parquet(f"{path}/rows").where(F.col("cell").isin(wanted)).join(sizes, "cell")
     v = rows.select(F.col("id").alias("key"), F.col("vector").alias("value"), "cell", part("id", F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
     keys = ["cell", "block", "deal"]
