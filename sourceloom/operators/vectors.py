@@ -26,8 +26,12 @@ def best_of_block(k: int):
         for start in range(0, len(a), 512):
             some = a.iloc[start : start + 512]
             scores = np.array(some["query"].to_list(), float) @ right.T
-            order = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
-            n = order.shape[1]
+            lost, n = np.nan_to_num(-np.round(scores, 12), nan=np.inf), min(k, len(ids))
+            # only what reaches the n-th best of its query is sorted, whole ties included
+            row, column = np.nonzero(lost <= np.partition(lost, n - 1, axis=1)[:, n - 1 : n])
+            by = np.lexsort((column, lost[row, column], row))
+            first = np.searchsorted(row, np.arange(len(lost)))
+            order = column[by][first[:, None] + np.arange(n)]
             out.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), n), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()}))
         return pd.concat(out)
 

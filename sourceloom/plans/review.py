@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import text as T
 from ..operators import facts, signals
-from ..operators.prompts import review_prompt
+from ..operators.prompts import review_prompt, reviewed_part
 from ..operators.ranking import numbered
 from ..scratch import cut_lineage
 
@@ -74,12 +74,26 @@ def _points(hints: Column) -> Column:
     return F.aggregate(best, F.lit(0), lambda s, x: s + x)
 
 
+def _listed(items: Column, field: str) -> Column:
+    return F.transform(items, lambda h: F.concat(F.lit("line "), h["line"], F.lit(": "), h[field]))
+
+
+def _shown(kept: Column) -> tuple[Column, Column, Column]:
+    """The heading, the numbered lines and the flagged lines of a unit: a window (first, last) of a chunk."""
+    shown = F.slice(T.lines_of(F.col("source")), F.col("first") - F.col("start_line") + 1, F.col("last") - F.col("first") + 1)
+    width = F.length(F.col("last").cast("string"))
+    code = F.array_join(F.transform(shown, lambda x, k: F.concat(F.lpad((F.col("first") + k).cast("string"), width, F.lit(" ")), F.lit(" | "), x)), "\n")
+    header = F.format_string("CODE UNDER REVIEW (%s '%s', lines %d-%d of %s)", F.col("symbol_type"), F.col("name"), F.col("first"), F.col("last"), F.element_at(F.split("path", "/", -1), -1))
+    return header, code, _listed(kept, "description")
+
+
 def review_plan(scanned: DataFrame, hot: DataFrame, instruction: str = "Review this code.", budget: int = rules.REVIEW_BUDGET) -> tuple[DataFrame, DataFrame]:
     """Review units in order, and the windows that cannot be reviewed.
 
     Functions and leaves with hints are reviewed: whole up to 1500 characters, else in windows; a longer container is
     left to what it holds. A window gives a security unit (hints and chunk context) and a performance unit (hints and
-    two points if hot); units whose prompt does not fit are dropped. place is the order within the repository.
+    two points if hot); units whose code and flagged lines do not fit are dropped. place is the order within the repository.
+    Prompts are not part of the plan: plan_prompts builds those of the units that are kept.
     """
     keys = ["repo", "path", "pos"]
     rows = facts.context_scores(scanned).where((F.col("symbol_type").isin("function", "method") | ~F.col("is_container")) & (F.size("hints") > 0))
@@ -98,22 +112,31 @@ def review_plan(scanned: DataFrame, hot: DataFrame, instruction: str = "Review t
     extra = F.when(F.col("kind") == "SECURITY", F.col("context_points")).when(F.col("is_hot"), 2).otherwise(0)
     context = context_lines(F.split("code", "\n", -1), lines, F.col("start_line"), F.col("first"), F.col("last"), F.transform("kept", lambda h: h["line"]), F.col("language"))
     units = units.withColumn("score", (_points(F.col("kept")) + extra).cast("int")).withColumn("context", context)
-    shown = F.slice(lines, F.col("first") - F.col("start_line") + 1, F.col("last") - F.col("first") + 1)
-    width = F.length(F.col("last").cast("string"))
-    code = F.array_join(F.transform(shown, lambda x, k: F.concat(F.lpad((F.col("first") + k).cast("string"), width, F.lit(" ")), F.lit(" | "), x)), "\n")
-    header = F.format_string("CODE UNDER REVIEW (%s '%s', lines %d-%d of %s)", F.col("symbol_type"), F.col("name"), F.col("first"), F.col("last"), F.element_at(F.split("path", "/", -1), -1))
-    listed = lambda c, field: F.transform(c, lambda h: F.concat(F.lit("line "), h["line"], F.lit(": "), h[field]))
-    prompt = review_prompt(F.lit(instruction), header, code, listed(F.col("kept"), "description"), listed(F.col("context"), "text"), F.array().cast("array<string>"), budget)
-    made = cut_lineage(units.select(*keys, "kind", "first", "last", "score", "kept", "context", prompt.alias("prompt")))
-    fits = made.where("prompt is not null")
-    # ranks are found of keys and scores alone; prompts come back by a join on the unit
+    base = reviewed_part(F.lit(instruction), *_shown(F.col("kept")))
+    made = cut_lineage(units.select(*keys, "kind", "first", "last", "score", "kept", "context", (F.length(base) <= budget).alias("fits")))
+    fits = made.where("fits")
+    # ranks are found of keys and scores alone; hints and lines beside come back by a join on the unit
     unit = [*keys, "kind", "first"]
     places = numbered(fits.select(*unit, "score"), ["repo"], [F.desc("score"), "path", "pos", "first", "kind"], "place").drop("score").withColumn("place", F.col("place").cast("int"))
-    plan = fits.join(places, unit).select(*keys, "kind", "first", "last", "score", "kept", "context", "prompt", "place")
-    unfit = made.groupBy(*keys, "first", "last").agg(F.bool_and(F.col("prompt").isNull()).alias("none")).where("none").drop("none")
+    plan = fits.join(places, unit).select(*keys, "kind", "first", "last", "score", "kept", "context", "place")
+    unfit = made.groupBy(*keys, "first", "last").agg(F.bool_and(~F.col("fits")).alias("none")).where("none").drop("none")
     return plan, skipped.unionByName(unfit)
 
 
+def plan_prompts(plan: DataFrame, chunks: DataFrame, related: DataFrame | None = None, instruction: str = "Review this code.", budget: int = rules.REVIEW_BUDGET) -> DataFrame:
+    """The plan with the prompt of each unit and n_related, how many related blocks it holds (at most three, each whole).
+
+    chunks has the keys, name, symbol_type, start_line and source; related has the keys and related, blocks in the order in which they are tried
+    (see related_code). A unit without related blocks, or without room for one, has none. Give the instruction and budget of the plan.
+    """
+    keys = ["repo", "path", "pos"]
+    none = F.array().cast("array<string>")
+    rows = plan.join(chunks.select(*keys, "name", "symbol_type", "start_line", "source"), keys)
+    rows = rows.withColumn("related", none) if related is None else rows.join(related.select(*keys, "related"), keys, "left")
+    made = review_prompt(F.lit(instruction), *_shown(F.col("kept")), _listed(F.col("context"), "text"), F.coalesce("related", none), budget)
+    return rows.withColumn("_made", made).select(*plan.columns, F.col("_made.prompt").alias("prompt"), F.col("_made.n_related").alias("n_related"))
+
+
 def file_document(found: DataFrame, important: DataFrame, callees: DataFrame, listed: DataFrame) -> DataFrame:
     """repo, path and report: a file's sentences, important functions, signatures and constants as markdown."""
     keys = ["repo", "path"]
