@@ -78,13 +78,19 @@ def _listed(items: Column, field: str) -> Column:
     return F.transform(items, lambda h: F.concat(F.lit("line "), h["line"], F.lit(": "), h[field]))
 
 
+def _with_enclosing(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Adds enclosing: a sentence on the chunk that a chunk is defined in, empty without one."""
+    around = chunks.select("repo", "path", F.col("pos").alias("parent"), F.format_string(rules.ENCLOSING, "symbol_type", "name").alias("enclosing"))
+    return rows.join(around, ["repo", "path", "parent"], "left").withColumn("enclosing", F.coalesce("enclosing", F.lit("")))
+
+
 def _shown(kept: Column) -> tuple[Column, Column, Column]:
     """The heading, the numbered lines and the flagged lines of a unit: a window (first, last) of a chunk."""
     shown = F.slice(T.lines_of(F.col("source")), F.col("first") - F.col("start_line") + 1, F.col("last") - F.col("first") + 1)
     width = F.length(F.col("last").cast("string"))
     code = F.array_join(F.transform(shown, lambda x, k: F.concat(F.lpad((F.col("first") + k).cast("string"), width, F.lit(" ")), F.lit(" | "), x)), "\n")
     header = F.format_string("CODE UNDER REVIEW (%s '%s', lines %d-%d of %s)", F.col("symbol_type"), F.col("name"), F.col("first"), F.col("last"), F.element_at(F.split("path", "/", -1), -1))
-    return header, code, _listed(kept, "description")
+    return F.concat(header, "enclosing"), code, _listed(kept, "description")
 
 
 def review_plan(scanned: DataFrame, hot: DataFrame, instruction: str = "Review this code.", budget: int = rules.REVIEW_BUDGET) -> tuple[DataFrame, DataFrame]:
@@ -97,7 +103,7 @@ def review_plan(scanned: DataFrame, hot: DataFrame, instruction: str = "Review t
     """
     keys = ["repo", "path", "pos"]
     rows = facts.context_scores(scanned).where((F.col("symbol_type").isin("function", "method") | ~F.col("is_container")) & (F.size("hints") > 0))
-    rows = rows.join(hot.select(*keys, F.lit(True).alias("is_hot")).distinct(), keys, "left")
+    rows = _with_enclosing(rows, scanned).join(hot.select(*keys, F.lit(True).alias("is_hot")).distinct(), keys, "left")
     lines = T.lines_of(F.col("source"))
     short = F.length("source") <= rules.WHOLE_CHUNK_CHARS
     last = F.col("start_line") + F.size(lines) - 1
@@ -126,12 +132,12 @@ def review_plan(scanned: DataFrame, hot: DataFrame, instruction: str = "Review t
 def plan_prompts(plan: DataFrame, chunks: DataFrame, related: DataFrame | None = None, instruction: str = "Review this code.", budget: int = rules.REVIEW_BUDGET) -> DataFrame:
     """The plan with the prompt of each unit and n_related, how many related blocks it holds (at most three, each whole).
 
-    chunks has the keys, name, symbol_type, start_line and source; related has the keys and related, blocks in the order in which they are tried
+    chunks has the keys, parent, name, symbol_type, start_line and source of all chunks, those that enclose others included; related has the keys and related, blocks in the order in which they are tried
     (see related_code). A unit without related blocks, or without room for one, has none. Give the instruction and budget of the plan.
     """
     keys = ["repo", "path", "pos"]
     none = F.array().cast("array<string>")
-    rows = plan.join(chunks.select(*keys, "name", "symbol_type", "start_line", "source"), keys)
+    rows = _with_enclosing(plan.join(chunks.select(*keys, "parent", "name", "symbol_type", "start_line", "source"), keys), chunks)
     rows = rows.withColumn("related", none) if related is None else rows.join(related.select(*keys, "related"), keys, "left")
     made = review_prompt(F.lit(instruction), *_shown(F.col("kept")), _listed(F.col("context"), "text"), F.coalesce("related", none), budget)
     return rows.withColumn("_made", made).select(*plan.columns, F.col("_made.prompt").alias("prompt"), F.col("_made.n_related").alias("n_related"))

@@ -2,9 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from sourceloom.operators import signals
 from sourceloom.operators.related import nearest_within, related_code
 from sourceloom.operators.vectors import best_of_block
+from sourceloom.plans.review import plan_prompts, review_plan
+from sourceloom.sources import extract
 
 VECTORS = "repo string, id long, vector array<double>"
 CHUNKS = "repo string, path string, pos int, name string, symbol_type string, start_line int, end_line int, source string, vector array<double>"
@@ -57,3 +61,18 @@ def test_related_code_stays_in_its_repository_and_outside_itself(spark):
             "[function 'other', lines 3-4]\ndef other(): ..."],
     }
     assert related_code(targets.limit(0), chunks.limit(0)).count() == 0
+
+
+def test_prompts_of_a_plan(spark):
+    text = "class Box:\n    def run(self, x):\n        eval(x)\n\ndef alone(x):\n    eval(x)"
+    files = spark.createDataFrame([("a", "x/m.py", text, "Python")], "repo string, path string, content string, language string")
+    chunks = extract.chunks_of(extract.extract(files))
+    scanned = signals.scan_chunks(chunks)
+    plan, skipped = review_plan(scanned, scanned.limit(0))
+    related = chunks.select("repo", "path", "pos", F.array(F.lit("[one]\n1"), F.repeat(F.lit("x"), F.lit(3000)), F.lit("[two]\n2")).alias("related")).where("name = 'run'")
+    made = {r.prompt.split("'")[1]: r for r in plan_prompts(plan, chunks, related).collect()}
+    assert set(made) == {"run", "alone"} and skipped.count() == 0
+    assert made["run"].prompt.split("\n")[1:5] == ["CODE UNDER REVIEW (method 'run', lines 2-3 of m.py)", "It is defined inside class 'Box'.", "2 | def run(self, x):", "3 |         eval(x)"]
+    assert made["run"].n_related == 2 and made["run"].prompt.endswith("\nRELATED CODE (background only, do not review):\n[one]\n1\n\n[two]\n2\n")
+    assert made["alone"].n_related == 0 and "RELATED" not in made["alone"].prompt and "defined inside" not in made["alone"].prompt
+    assert {r.n_related for r in plan_prompts(plan, chunks).collect()} == {0}
