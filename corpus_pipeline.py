@@ -10,6 +10,16 @@ from sourceloom.llm.quality_rules import drop_low_quality
 from sourceloom.llm.toxicity import drop_toxic, fit_toxicity
 from sourceloom.scratch import scratch_folder
 
+#: Bytes of a batch of rows on its way to a Python worker. Each running task holds some of them, in the worker and in the executor.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """From here on the session sends batches of bounded bytes to Python workers, unless a bound is set. Results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; null and empty texts fail them. Columns stay as they are."""
@@ -22,6 +32,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and texts without matches stay, and so do rows of null ids; equal texts fare alike, whatever their length; an
     empty table gives none.
     """
+    _small_batches(spark)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return drop_toxic(docs, model)
 
@@ -32,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Candidates come from SimHash segments, links are verified on the whole shingle sets. Null and empty texts are one group; null ids come
     last; of rows equal in id and text one stays; texts of any length count whole; an empty table gives none.
     """
+    _small_batches(spark)
     return drop_similar(docs)
 
 
@@ -41,6 +53,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have one piece, a null id stays null, repeated rows are packed each, long texts are cut into pieces; an empty table
     gives none. Other columns are not carried.
     """
+    _small_batches(spark)
     return pack_sequences(docs, with_ids=False)
 
 

@@ -69,9 +69,9 @@ def map_texts(
     return df.mapInArrow(run, schema)
 
 
-def text_blocks(column: pa.Array) -> Iterator[pa.Array]:
+def text_blocks(column: pa.Array, limit: int = BLOCK_CHARS) -> Iterator[pa.Array]:
     """Slices of a column of texts, each of bounded bytes or one text."""
-    for a, b in _byte_blocks(np.diff(np.asarray(_offsets(column)))):
+    for a, b in _byte_blocks(np.diff(np.asarray(_offsets(column))), limit):
         yield column.slice(a, b - a)
 
 
@@ -113,6 +113,10 @@ class WordMemory:
 
     def __init__(self, learn: Callable[[list[str]], list], limit: int):
         self.learn, self.limit = learn, limit
+        self.forget()
+
+    def forget(self) -> None:
+        """Both generations are given up: workers outlive their task, and other stages need the room."""
         self.young: dict = {}
         self.old: dict = {}
 

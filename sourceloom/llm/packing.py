@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemory, blocks, cut_lineage, id_and_text, tokenizer_path
+from .common import WordMemory, blocks, cut_lineage, id_and_text, text_blocks, tokenizer_path
 
 #: Words in each generation of a worker's memory. Results do not depend on it.
 MAX_WORDS = 500_000
@@ -140,9 +140,9 @@ def _pieces(docs: DataFrame, path: str, capacity: int, end_id: int, most_open: i
             return pa.RecordBatch.from_arrays(out, names=names)
 
         for batch in batches:
-            doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            for doc_id, ids in zip(doc_ids, tokenizer.encode(texts)):
+            doc_ids = iter(batch.column(batch.schema.get_field_index("doc_id")).to_pylist())
+            texts = text_blocks(batch.column(batch.schema.get_field_index("text")))
+            for ids, doc_id in zip((ids for part in texts for ids in tokenizer.encode(part.to_pylist())), doc_ids):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
@@ -153,6 +153,7 @@ def _pieces(docs: DataFrame, path: str, capacity: int, end_id: int, most_open: i
                         emit(gone, False)
                 if len(rows) >= 5_000:
                     yield flush()
+        tokenizer.memory.forget()
         for window in open_windows.windows:
             emit(window, True)
         yield flush()

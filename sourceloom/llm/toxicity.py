@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, id_and_text, map_texts, text_blocks
 
+#: Bytes of texts whose patterns are held together; a word has a pattern for itself and one for each length of a beginning.
+PATTERN_BYTES = 100_000
+
 #: Signs that stand for letters, and letters of other scripts that look like them.
 DIGITS = dict(zip("0134578", "oieastb"))
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "+": "t"}
@@ -191,7 +194,7 @@ def fit_toxicity(
 
     def with_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_blocks(batch.column("text")):
+            for part in text_blocks(batch.column("text"), PATTERN_BYTES):
                 pairs = set()
                 for text in part.to_pylist():
                     folded = fold(text)
@@ -320,7 +323,10 @@ def drop_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text", thre
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
         for batch in batches:
-            kept = [model.score(*matcher.sums(text or "")) < threshold for part in text_blocks(batch.column(at)) for text in part.to_pylist()]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            begin = 0
+            for part in text_blocks(batch.column(at)):
+                kept = [model.score(*matcher.sums(text or "")) < threshold for text in part.to_pylist()]
+                yield batch.slice(begin, len(kept)).filter(pa.array(kept, pa.bool_()))
+                begin += len(kept)
 
     return df.mapInArrow(run, df.schema)

@@ -1,9 +1,13 @@
 import __spark_entry__ as entry
 import corpus_pipeline
+import pyarrow as pa
+from pyspark.sql import functions as F
 from test_near_duplicates import kept_by_all_pairs
 from test_tokens import check_packing
 
 from sourceloom.llm import quality_rules, toxicity
+from sourceloom.llm.common import tokenizer_path
+from sourceloom.llm.packing import load_tokenizer
 
 
 def test_stages_take_effect(spark, sf_dir, tmp_path):
@@ -43,3 +47,28 @@ def test_stages_take_empty_and_odd_rows(spark, sf_dir, edge_docs, empty_docs):
 def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
     assert names == {f"op{k}" for k in range(1, 14)} and "pipeline" in entry.queries()
+
+
+def test_workers_give_up_words_after_packing(spark, sf_dir):
+    """Later stages use the same workers and need the room."""
+    path = tokenizer_path("word_bpe_49k.json")
+    corpus_pipeline.packing(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).count()
+
+    def kept(batches):
+        for _ in batches:
+            pass
+        memory = load_tokenizer(path).memory
+        yield pa.RecordBatch.from_arrays([pa.array([len(memory.young) + len(memory.old)])], names=["n"])
+
+    assert {r.n for r in spark.range(0, 8, 1, 4).mapInArrow(kept, "n long").collect()} == {0}
+
+
+def test_documents_reach_workers_in_bounded_batches(spark, sf_dir):
+    docs = spark.range(0, 24, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200_000).alias("text"))
+    corpus_pipeline.toxicity(spark, docs.limit(1), sf_dir)
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes for b in batches])], names=["n"])
+
+    found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) >= 24_000_000 and max(found) <= 2 * corpus_pipeline.BATCH_BYTES
