@@ -25,8 +25,12 @@ from .common import cut_lineage
 
 #: Words of one shard, about; only a single piece of text may make a shard larger.
 SHARD_WORDS = 3_000_000
-#: Shards of one task share this bit range of the shard's number.
-SHARD_BITS = 24
+#: Bits of a word's number: the task of its first shard and the place there make the shard's number, then comes the place in the shard.
+TASK_BITS, SHARD_BITS, WORD_BITS = 18, 18, 27
+#: Words of the table for each bucket that the counts of shards are summed in.
+BUCKET_WORDS = 2_000_000
+#: Last words whose numbers are equal but for so many bits share a bucket, so that they stand close in it.
+RUN_BITS = 6
 #: Copies of the table of counts, so that the parts of candidates with a frequent word are dealt to several tasks.
 SALTS = 8
 BREAK = 0xFF  # no byte of UTF-8
@@ -92,6 +96,8 @@ def _write_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def row(shard: _Shard) -> pa.RecordBatch:
         nonlocal written
+        if base >> (TASK_BITS + SHARD_BITS) or written >> SHARD_BITS or len(shard.ids) >> WORD_BITS:
+            raise ValueError("a word's number has too few bits for so many tasks, shards of a task or words of a shard")
         ids = np.concatenate(shard.parts)
         counts = np.bincount(ids, minlength=len(shard.ids))[1:]
         words = pa.array(list(shard.ids)[1:], pa.binary()).cast(pa.string())
@@ -222,39 +228,110 @@ def _list(column: pa.ChunkedArray | pa.Array, k: int) -> np.ndarray:
     return np.asarray(column[k].values.to_numpy(zero_copy_only=False), np.int64)
 
 
-def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            local, names = _list(batch["local"], k), _list(batch["word"], k)
-            order = np.argsort(local)
-            local, names = local[order], names[order]
-            ids = _kept_words(_unpack(batch["n_ids"][k].as_py(), batch["ids"][k].as_py()), local)
-            if not ids.any():
-                continue
-            a, b, n = _bigrams(ids)
-            shard = np.full(len(n), batch["shard"][k].as_py(), np.int64)
-            yield from _record(["shard", "w1", "w2", "n"], [shard, names[a - 1], names[b - 1], n])
-
-
-def _count_longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            local, names = _list(batch["local"], k), _list(batch["word"], k)
-            order = np.argsort(names)
-            local, names = local[order], names[order]
-            first, second = (1 + np.searchsorted(names, _list(batch[c], k)) for c in ("first", "second"))
-            ids = _kept_words(_unpack(batch["n_ids"][k].as_py(), batch["ids"][k].as_py()), local)
-            ids = _kept_bigrams(ids, first, second)
-            if not ids.any():
-                continue
-            phrases, n = _longer(ids)
-            named = np.concatenate(([-1], names))[phrases]
-            yield from _record(["w1", "w2", "w3", "w4", "n"], [*named.T, n])
-
-
-def _record(names: list[str], columns: list[np.ndarray], limit: int = 200_000) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(columns[0]), limit):
-        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + limit], pa.int64()) for c in columns], names=names)
+def _pack_rows(rows: np.ndarray) -> bytes:
+    """Sorted columns (the last: counts) as differences, whose bytes of one place stand together; about 3 bytes for a row of two words."""
+    steps = np.diff(rows, axis=1, prepend=0)
+    steps[-1] = rows[-1]
+    steps = (steps << 1) ^ (steps >> 63)  # small ones of either sign become small
+    places = np.ascontiguousarray(steps).view(np.uint8).reshape(*steps.shape, 8).transpose(0, 2, 1)
+    return pa.compress(np.ascontiguousarray(places).tobytes(), _ZSTD, asbytes=True)
+
+
+def _unpack_rows(n_columns: int, n_rows: int, data: bytes) -> np.ndarray:
+    places = np.frombuffer(pa.decompress(data, n_columns * n_rows * 8, _ZSTD, asbytes=True), np.uint8).reshape(n_columns, 8, n_rows)
+    steps = np.ascontiguousarray(places.transpose(0, 2, 1)).view(np.uint64)[:, :, 0]
+    rows = ((steps >> np.uint64(1)) ^ (np.uint64(0) - (steps & np.uint64(1)))).view(np.int64)
+    rows[:-1] = np.cumsum(rows[:-1], axis=1)
+    return rows
+
+
+_PACKED = "bucket int, shard long, n_rows int, data binary"
+
+
+def _packed(shard: int, columns: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
+    """The rows of a shard (columns of words' numbers, then counts) in a row for each bucket. Rows of the same words are in the same bucket."""
+    *keys, _ = columns
+    mixed = np.zeros(len(keys[0]), np.uint64)
+    for key in [*keys[:-1], keys[-1] >> RUN_BITS]:
+        mixed = (mixed ^ (mixed >> np.uint64(32)) ^ key.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    bucket = ((mixed >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64)
+    order = np.lexsort((*keys[::-1], bucket))
+    rows, ends = np.stack(columns)[:, order], np.cumsum(np.bincount(bucket, minlength=n_buckets))
+    sizes = np.diff(ends, prepend=0)
+    found = np.flatnonzero(sizes)
+    data = [_pack_rows(rows[:, ends[k] - sizes[k] : ends[k]]) for k in found]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(found, pa.int32()), pa.array(np.full(len(found), shard), pa.int64()), pa.array(sizes[found], pa.int32()), pa.array(data, pa.binary())],
+        names=["bucket", "shard", "n_rows", "data"])
+
+
+def _summed(bucket: pa.Table, n_keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of all shards in a bucket by words, then by shards: the rows, their shards, where other words begin, and sums of counts."""
+    sizes = bucket["n_rows"].to_pylist()
+    rows = np.concatenate([_unpack_rows(n_keys + 1, n, data) for n, data in zip(sizes, bucket["data"].to_pylist())], axis=1)
+    shard = np.repeat(bucket["shard"].to_numpy(), sizes)
+    order = np.lexsort((shard, *rows[:n_keys][::-1]))
+    rows, shard = rows[:, order], shard[order]
+    first = np.flatnonzero(np.concatenate(([True], (rows[:n_keys, 1:] != rows[:n_keys, :-1]).any(axis=0))))
+    return rows, shard, first, np.add.reduceat(rows[n_keys], first)
+
+
+def _table(names: list[str], columns: list[np.ndarray]) -> pa.Table:
+    return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(names, columns)})
+
+
+def _frequent_bigrams(least: int):
+    def run(bucket: pa.Table) -> pa.Table:
+        (w1, w2, _), shard, first, f = _summed(bucket, 2)
+        sizes = np.diff(np.append(first, len(shard)))
+        kept = np.repeat(f >= least, sizes)
+        return _table(["shard", "w1", "w2", "f", "in"], [x[kept] for x in (shard, w1, w2, np.repeat(f, sizes), np.repeat(shard[first], sizes))])
+
+    return run
+
+
+def _frequent_longer(least: int):
+    def run(bucket: pa.Table) -> pa.Table:
+        rows, _, first, f = _summed(bucket, 4)
+        kept = f >= least
+        return _table(["w1", "w2", "w3", "w4", "f"], [*rows[:4, first[kept]], f[kept]])
+
+    return run
+
+
+def _count_bigrams(n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                local, names = _list(batch["local"], k), _list(batch["word"], k)
+                order = np.argsort(local)
+                local, names = local[order], names[order]
+                ids = _kept_words(_unpack(batch["n_ids"][k].as_py(), batch["ids"][k].as_py()), local)
+                if not ids.any():
+                    continue
+                a, b, n = _bigrams(ids)
+                yield _packed(batch["shard"][k].as_py(), [names[a - 1], names[b - 1], n], n_buckets)
+
+    return run
+
+
+def _count_longer(n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                local, names = _list(batch["local"], k), _list(batch["word"], k)
+                order = np.argsort(names)
+                local, names = local[order], names[order]
+                first, second = (1 + np.searchsorted(names, _list(batch[c], k)) for c in ("first", "second"))
+                ids = _kept_words(_unpack(batch["n_ids"][k].as_py(), batch["ids"][k].as_py()), local)
+                ids = _kept_bigrams(ids, first, second)
+                if not ids.any():
+                    continue
+                phrases, n = _longer(ids)
+                named = np.concatenate(([-1], names))[phrases]
+                yield _packed(batch["shard"][k].as_py(), [*named.T, n], n_buckets)
+
+    return run
 
 
 def mine_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -265,7 +342,8 @@ def mine_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """
     texts = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     shards = cut_lineage(texts.mapInArrow(_write_shards, _SHARD_SCHEMA))
-    used = shards.select(F.shiftleft("shard", 32).alias("own"), "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("k", "w")).select(
+    n_buckets = 1 + (shards.agg(F.sum("n_ids")).first()[0] or 0) // BUCKET_WORDS
+    used = shards.select(F.shiftleft("shard", WORD_BITS).alias("own"), "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("k", "w")).select(
         (F.col("own") + F.col("k") + 1).alias("own"), F.concat_ws("\n", "lang", "w.words").alias("text"), F.col("w.counts").alias("n"))
     totals = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     # a word has a row in each shard that holds it; it is numbered by the first of them
@@ -275,20 +353,18 @@ def mine_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     words = known.where("own = word").select(
         "word", F.regexp_extract("text", r"(?s)^(.*)\n", 1).alias("lang"), F.substring_index("text", "\n", -1).alias("text"), "f")
 
-    local = F.col("own").bitwiseAND((1 << 32) - 1).cast("int")
-    lists = known.select(F.shiftright("own", 32).alias("shard"), local.alias("local"), "word").groupBy("shard").agg(F.collect_list(F.struct("local", "word")).alias("w"))
+    local = F.col("own").bitwiseAND((1 << WORD_BITS) - 1).cast("int")
+    lists = known.select(F.shiftright("own", WORD_BITS).alias("shard"), local.alias("local"), "word").groupBy("shard").agg(F.collect_list(F.struct("local", "word")).alias("w"))
     lists = lists.select("shard", F.col("w.local").alias("local"), F.col("w.word").alias("word"))
     listed = shards.select("shard", "n_ids", "ids").join(lists.hint("merge"), "shard")  # lists grow with the table: never broadcast
-    counted = listed.mapInArrow(_count_bigrams, "shard long, w1 long, w2 long, n long")
-    pair = Window.partitionBy("w1", "w2")
-    own_pair = F.min("shard").over(pair)
-    pairs = counted.select("*", F.sum("n").over(pair).alias("f"), own_pair.alias("in")).where(F.col("f") >= least)
-    pairs = cut_lineage(pairs.select("shard", "w1", "w2", "f", "in"))
+    # a bigram has a row in each shard that holds it; rows travel packed, a bucket of each shard together
+    counted = listed.mapInArrow(_count_bigrams(n_buckets), _PACKED)
+    pairs = cut_lineage(counted.groupBy("bucket").applyInArrow(_frequent_bigrams(least), "shard long, w1 long, w2 long, f long, in long"))
     two = pairs.where("shard = in").select(F.array("w1", "w2").alias("words"), "f")
 
     frequent = pairs.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("p")).select("shard", F.col("p.w1").alias("first"), F.col("p.w2").alias("second"))
-    more = listed.join(frequent.hint("merge"), "shard").mapInArrow(_count_longer, "w1 long, w2 long, w3 long, w4 long, n long")
-    more = more.groupBy("w1", "w2", "w3", "w4").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    more = listed.join(frequent.hint("merge"), "shard").mapInArrow(_count_longer(n_buckets), _PACKED)
+    more = more.groupBy("bucket").applyInArrow(_frequent_longer(least), "w1 long, w2 long, w3 long, w4 long, f long")
     longer = more.select(F.filter(F.array("w1", "w2", "w3", "w4"), lambda w: w >= 0).alias("words"), "f")
     return words, cut_lineage(two.unionByName(longer)), totals
 

@@ -4,6 +4,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,6 +145,30 @@ def test_collocation_edges(spark, edge_docs, empty_docs):
     assert sorted(map(tuple, co.collocations(df, least=2).collect())) == brute_phrases(odd, 2, 80, 2000)
 
 
+def test_collocations_of_hundreds_of_tasks(spark):
+    """Numbers of words have room for the numbers of all tasks."""
+    df = spark.range(0, 300, 1, 300).selectExpr("'en' as lang", "concat('a b c', id % 7, ' d e', id % 3) as text")
+    assert sorted(map(tuple, co.collocations(df, least=3).collect())) == brute_phrases([(r.lang, r.text) for r in df.collect()], 3, 80, 2000)
+
+
+def test_packed_rows_are_summed_whole():
+    """Rows of shards meet in their buckets, negative numbers and sums included, in few bytes each."""
+    rng, total, tables, size = np.random.default_rng(1), Counter(), [], 0
+    for shard in (5, 9, 1 << 40):
+        words = np.minimum(rng.zipf(1.3, (60_000, 2)), 1 << 15) + (7 << 27)
+        pairs, n = np.unique(words, axis=0, return_counts=True)
+        total.update(dict(zip(map(tuple, pairs.tolist()), n.tolist())))
+        tables.append(co._packed(shard, [*pairs.T, n], 3))
+        size += sum(map(len, tables[-1]["data"].to_pylist()))
+    packed, found = pa.Table.from_batches(tables), {}
+    for k in range(3):
+        rows, _, first, f = co._summed(packed.filter(pc.equal(packed["bucket"], k)), 2)
+        found |= dict(zip(map(tuple, rows[:2, first].T.tolist()), f.tolist()))
+    assert found == total and size < 5 * sum(packed["n_rows"].to_pylist())
+    odd = np.array([[-(1 << 63), -1, 0, (1 << 63) - 1], [3, -1, 7, -(1 << 62)], [1, 2, 3, 1 << 40]], np.int64)
+    assert (co._unpack_rows(3, 4, co._pack_rows(odd)) == odd).all()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=120))
 def test_index_counts_all_phrases(ids):
