@@ -280,16 +280,36 @@ def _table(names: list[str], columns: list[np.ndarray]) -> pa.Table:
     return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(names, columns)})
 
 
+_FREQUENT = "shard long, n_rows int, data binary"
+
+
 def _frequent_bigrams(least: int):
+    """A bucket's bigrams that reach the least count: packed with their counts in a row without a shard, and in a row for each shard that holds some of them."""
+
     def run(bucket: pa.Table) -> pa.Table:
-        (w1, w2, _), shard, first, f = _summed(bucket, 2)
-        sizes = np.diff(np.append(first, len(shard)))
-        kept = np.repeat(f >= least, sizes)
-        return _table(["shard", "w1", "w2", "f", "in"], [x[kept] for x in (shard, w1, w2, np.repeat(f, sizes), np.repeat(shard[first], sizes))])
+        rows, shard, first, f = _summed(bucket, 2)
+        kept = np.flatnonzero(np.repeat(f >= least, np.diff(np.append(first, len(shard)))))
+        kept = kept[np.argsort(shard[kept], kind="stable")]
+        once = first[f >= least]
+        parts = [np.stack([*rows[:2, once], f[f >= least]])] if len(once) else []
+        shards = [None] * len(parts)
+        ends = np.flatnonzero(np.diff(shard[kept], append=-1))
+        for own in np.split(kept, ends[:-1] + 1) if len(kept) else []:
+            shards.append(int(shard[own[0]]))
+            parts.append(np.stack([*rows[:2, own], np.zeros(len(own), np.int64)]))  # the shard's own counts are not asked for again
+        return pa.table({
+            "shard": pa.array(shards, pa.int64()), "n_rows": pa.array([x.shape[1] for x in parts], pa.int32()), "data": pa.array([_pack_rows(x) for x in parts], pa.binary())})
 
     return run
 
 
+def _bigram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed bigrams with counts to rows w1, w2 and f."""
+    for batch in batches:
+        for n, data in zip(batch["n_rows"].to_pylist(), batch["data"].to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpack_rows(3, n, data)], names=["w1", "w2", "f"])
+
+
 def _frequent_longer(least: int):
     def run(bucket: pa.Table) -> pa.Table:
         rows, _, first, f = _summed(bucket, 4)
@@ -322,7 +342,9 @@ def _count_longer(n_buckets: int):
                 local, names = _list(batch["local"], k), _list(batch["word"], k)
                 order = np.argsort(names)
                 local, names = local[order], names[order]
-                first, second = (1 + np.searchsorted(names, _list(batch[c], k)) for c in ("first", "second"))
+                packed = zip(batch["sizes"][k].as_py(), batch["packed"][k].as_py())
+                bigrams = np.concatenate([_unpack_rows(3, n, data)[:2] for n, data in packed], axis=1)
+                first, second = 1 + np.searchsorted(names, bigrams)
                 ids = _kept_words(_unpack(batch["n_ids"][k].as_py(), batch["ids"][k].as_py()), local)
                 ids = _kept_bigrams(ids, first, second)
                 if not ids.any():
@@ -359,10 +381,12 @@ def mine_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     listed = shards.select("shard", "n_ids", "ids").join(lists.hint("merge"), "shard")  # lists grow with the table: never broadcast
     # a bigram has a row in each shard that holds it; rows travel packed, a bucket of each shard together
     counted = listed.mapInArrow(_count_bigrams(n_buckets), _PACKED)
-    pairs = cut_lineage(counted.groupBy("bucket").applyInArrow(_frequent_bigrams(least), "shard long, w1 long, w2 long, f long, in long"))
-    two = pairs.where("shard = in").select(F.array("w1", "w2").alias("words"), "f")
+    pairs = cut_lineage(counted.groupBy("bucket").applyInArrow(_frequent_bigrams(least), _FREQUENT))
+    two = pairs.where("shard is null").mapInArrow(_bigram_rows, "w1 long, w2 long, f long").select(F.array("w1", "w2").alias("words"), "f")
 
-    frequent = pairs.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("p")).select("shard", F.col("p.w1").alias("first"), F.col("p.w2").alias("second"))
+    # what a shard gets back stays packed too: a frequent bigram is in nearly every shard of its language
+    frequent = pairs.where("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("n_rows", "data")).alias("p"))
+    frequent = frequent.select("shard", F.col("p.n_rows").alias("sizes"), F.col("p.data").alias("packed"))
     more = listed.join(frequent.hint("merge"), "shard").mapInArrow(_count_longer(n_buckets), _PACKED)
     more = more.groupBy("bucket").applyInArrow(_frequent_longer(least), "w1 long, w2 long, w3 long, w4 long, f long")
     longer = more.select(F.filter(F.array("w1", "w2", "w3", "w4"), lambda w: w >= 0).alias("words"), "f")

@@ -169,6 +169,32 @@ def test_packed_rows_are_summed_whole():
     assert (co._unpack_rows(3, 4, co._pack_rows(odd)) == odd).all()
 
 
+def test_frequent_bigrams_go_back_packed():
+    """A bucket has a row for its frequent bigrams and one for each shard that holds some, however many they are."""
+    rng, total, own, tables = np.random.default_rng(2), Counter(), {}, []
+    for shard in (0, 3, 1 << 40):
+        words = np.minimum(rng.zipf(1.2, (60_000, 2)), 3000 if shard else 1 << 15)
+        pairs, n = np.unique(words, axis=0, return_counts=True)
+        own[shard] = set(map(tuple, pairs.tolist()))
+        total.update(dict(zip(map(tuple, pairs.tolist()), n.tolist())))
+        tables.append(co._packed(shard, [*pairs.T, n], 3))
+    tables.append(co._packed(7, [np.array([5]), np.array([1 << 30]), np.array([1])], 3))  # a shard of no frequent one
+    packed, counts, found, n_rows = pa.Table.from_batches(tables), {}, {shard: set() for shard in own}, 0
+    for k in range(3):
+        out = co._frequent_bigrams(4)(packed.filter(pc.equal(packed["bucket"], k)))
+        n_rows += out.num_rows
+        for shard, n, data in zip(*(out[c].to_pylist() for c in ("shard", "n_rows", "data"))):
+            rows = co._unpack_rows(3, n, data)
+            if shard is None:
+                counts |= dict(zip(map(tuple, rows[:2].T.tolist()), rows[2].tolist()))
+            else:
+                found[shard] |= set(map(tuple, rows[:2].T.tolist()))
+    frequent = {pair: f for pair, f in total.items() if f >= 4}
+    assert counts == frequent and found == {shard: pairs & frequent.keys() for shard, pairs in own.items()}
+    assert n_rows == 3 * 4 and len(frequent) > 1000
+    assert co._frequent_bigrams(1 << 40)(packed.filter(pc.equal(packed["bucket"], 0))).num_rows == 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=120))
 def test_index_counts_all_phrases(ids):
