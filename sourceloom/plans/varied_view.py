@@ -53,7 +53,10 @@ def varied_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(c % 10 == 4, F.replace(text, F.lit("\n"), F.lit("\r"))).otherwise(text)
     raw = F.concat(F.encode(text, "UTF-8"), F.when(c % 30 == 6, F.unhex(F.lit("c328"))).otherwise(F.unhex(F.lit(""))))
     path = F.concat(F.lit("src/c"), c, F.when(c % 2 == 0, ".py").otherwise(".cpp"))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("r"), F.col("c_nationkey") % 7).alias("repo"), path.alias("path"), raw.alias("raw"))
+    # dealt by number, as what is read out of the files is much more work than the bytes of these rows suggest
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey").repartition(parts, "c_custkey")
+    return customers.select(F.concat(F.lit("r"), F.col("c_nationkey") % 7).alias("repo"), path.alias("path"), raw.alias("raw"))
 
 
 #: The same corpus for DuckDB: files, definitions and calls.

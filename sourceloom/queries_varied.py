@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import facts, graph
 from .plans.varied_view import VARIED_FACTS, varied_raw
-from .scratch import cut_lineage
+from .scratch import stored
 from .sources import extract as X
 from .sources import files
 
@@ -54,7 +54,7 @@ def varied_rejects(spark, sf_dir):
     count(*) FILTER (language = 'Python') AS n_entry_points, array_to_string(list_sort(list(DISTINCT CASE WHEN language = 'Python' THEN 'os' ELSE 'map' END)), ',') AS external FROM file WHERE good GROUP BY repo""")
 def varied_overview(spark, sf_dir):
     """Every repository has its own counts, entry points and dependencies."""
-    extracted = cut_lineage(_extracted(spark, sf_dir))
+    extracted = stored(_extracted(spark, sf_dir), "varied")
     chunks = X.chunks_of(extracted)
     resolved = graph.resolve_includes(X.includes_of(extracted), extracted.select("repo", "path"))
     no_effects = extracted.select("repo", "path", F.array().cast("array<string>").alias("effects"))
@@ -66,4 +66,4 @@ def varied_overview(spark, sf_dir):
     WHERE length(b.name) >= 4 AND (SELECT count(*) FROM def s WHERE s.repo = b.repo AND s.name = b.name AND s.symbol_type IN ('function', 'method')) <= 3""")
 def varied_edges(spark, sf_dir):
     """Names that are common in one repository may be trusted in another; edges stay inside a repository."""
-    return graph.call_edges(X.chunks_of(cut_lineage(_extracted(spark, sf_dir)))).select("repo", "path", "pos", "callee_path", "callee_pos", "callee")
+    return graph.call_edges(X.chunks_of(stored(_extracted(spark, sf_dir), "varied"))).select("repo", "path", "pos", "callee_path", "callee_pos", "callee")

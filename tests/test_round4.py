@@ -17,3 +17,16 @@ def test_a_sentence_begins_with_one_capital_letter(spark):
     con.executemany("insert into documents values (?, ?)", rows)
     found = docs.select("doc_id", T.strip_subject(F.concat(F.when(F.col("doc_id") % 4 == 0, "The function `f` ").when(F.col("doc_id") % 4 == 1, "method `g` method ").otherwise(""), "text")).alias("rest"))
     assert sorted(map(tuple, found.collect())) == sorted(con.execute(ORACLES["strip_subject"]).fetchall())
+
+
+def test_edges_never_broadcast_tables_of_names(spark, tmp_path):
+    from sourceloom.operators import graph
+
+    rows = [("r", f"p{k}.py", 0, "Python", f"call_{k}", f"call_{k}", "function", f"def call_{k}()", [f"call_{k + 1}"]) for k in range(9)]
+    columns = "repo string, path string, pos int, language string, name string, short_name string, symbol_type string, signature string, called_names array<string>"
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    calls = chunks.select("repo", "path", "pos", F.col("name").alias("caller"), F.lit(1).alias("line"), F.lit(0).alias("ord"), F.element_at("called_names", 1).alias("called"))
+    for found in (graph.call_edges(chunks), graph.hot_callees(calls, chunks)):
+        assert found.count() == 8
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
