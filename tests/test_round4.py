@@ -30,3 +30,45 @@ def test_edges_never_broadcast_tables_of_names(spark, tmp_path):
     for found in (graph.call_edges(chunks), graph.hot_callees(calls, chunks)):
         assert found.count() == 8
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_within_a_group_shuffles_no_row_for_each_pair_of_blocks(spark):
+    """Vectors are repeated for blocks of queries alone, and a query brings home its best of few slices, however many blocks of vectors there are."""
+    from sourceloom.operators.related import nearest_within
+
+    rows = spark.range(640).select(F.lit("r").alias("repo"), "id", F.array(F.cos("id"), F.sin("id")).alias("vector"))
+    found = nearest_within(rows.where("id < 4"), rows, "repo", 3, 4)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 12 and "FlatMapCoGroups" not in text and "MapInArrow" in text
+
+
+def test_best_of_many_equal_and_odd_vectors():
+    import numpy as np
+
+    from sourceloom.operators.related import _Best
+
+    random = np.random.default_rng(3)
+    vectors = random.integers(0, 3, (5000, 4)).astype(float)
+    vectors[::7] = [1.0, 2.0, 0.0, 1.0]
+    vectors[4999] = [np.nan, 1.0, 1.0, 1.0]
+    ids, queries = random.permutation(5000), random.integers(0, 3, (300, 4)).astype(float)
+    best = _Best(np.arange(300), queries, 9)
+    for start in range(0, 5000, 700):
+        best.meet(ids[start : start + 700], vectors[start : start + 700])
+    with np.errstate(invalid="ignore"):
+        scores = np.nan_to_num(queries @ vectors.T, nan=-np.inf)
+    for q in range(300):
+        assert best.id[q].tolist() == [i for _, i in sorted(zip(-scores[q], ids))[:9]]
+    few = _Best(np.arange(2), queries[:2], 9)
+    few.meet(np.array([5, 3]), np.array([[1.0, 1.0, 1.0, 1.0], [np.nan, 0.0, 0.0, 0.0]]))
+    assert few.id[0].tolist()[:2] == [5, 3]
+
+
+def test_near_ties_go_by_id_across_blocks(spark):
+    """Scores that agree in nine places are ties wherever they are found: the smaller id comes first, as in the SQL."""
+    from sourceloom.operators.related import nearest_within
+
+    kind = "repo string, id long, vector array<double>"
+    rows = [("r", k, [1.0 + (40 - k) * -1e-11]) for k in range(40)]
+    found = nearest_within(spark.createDataFrame([("r", 0, [1.0])], kind), spark.createDataFrame(rows, kind), "repo", 3)
+    assert [r.id for r in found.orderBy("place").collect()] == [0, 1, 2]
