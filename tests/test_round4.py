@@ -72,3 +72,45 @@ def test_near_ties_go_by_id_across_blocks(spark):
     rows = [("r", k, [1.0 + (40 - k) * -1e-11]) for k in range(40)]
     found = nearest_within(spark.createDataFrame([("r", 0, [1.0])], kind), spark.createDataFrame(rows, kind), "repo", 3)
     assert [r.id for r in found.orderBy("place").collect()] == [0, 1, 2]
+
+
+def _bytes_below(folder):
+    import os
+
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def test_the_graph_of_files_stores_no_sources(spark, sf_dir):
+    from sourceloom import queries
+    from sourceloom.plans.code_view import code_files
+    from sourceloom.scratch import shared_folder
+
+    size = code_files(spark, sf_dir).agg(F.sum(F.length("content"))).first()[0]
+    before = _bytes_below(shared_folder(spark))
+    queries.QUERIES["core_files"](spark, sf_dir).collect()
+    assert _bytes_below(shared_folder(spark)) - before < size / 5
+
+
+def test_calls_of_odd_line_items(spark, tmp_path):
+    """Repeated calls count once, in a loop if any is; parts that do not exist call nothing and are not called."""
+    from sourceloom.plans.code_view import code_files
+
+    spark.createDataFrame([(0,), (1,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(0, 3), (1, 3), (2, 3), (20, 3)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    items = [(1, 0, "N"), (1, 20, "N"), (2, 0, "R"), (2, 20, "N"), (3, 0, None), (3, 2, "N"), (4, 0, "N"), (4, 99, "N"), (5, 99, "N"), (5, 2, "N"), (6, None, "N"), (6, 1, "N"), (7, 0, "N"), (7, 0, "N")]
+    rows = [(order, place, part, 0, 0.0, 0.0, flag) for place, (order, part, flag) in enumerate(items)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    text = {r.path: r.content for r in code_files(spark, str(tmp_path)).collect()}["repo/d0/m0.py"]
+    assert text.split("def fn_0_1(a, x):\n")[1].split("\n\n")[0].split("\n")[:5] == ["    pass", "    fn_0_1(x)", "    fn_2_1(x)", "    for i in a:", "        fn_18_3(i)"]
+
+
+def test_files_reach_extraction_in_bounded_batches(spark):
+    from sourceloom.sources import extract
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    text = "def f(x):\n    return g(x)\n\n" * 20_000
+    files = spark.range(0, 6, 1, 1).select(F.lit("r").alias("repo"), F.concat("id", F.lit(".py")).alias("path"), F.lit(text).alias("content"), F.lit("Python").alias("language"))
+    found = extract.extract(files)
+    assert int(spark.conf.get(name)) <= 4 << 20
+    assert [r.n for r in found.select(F.size("chunks").alias("n")).collect()] == [20_000] * 6
