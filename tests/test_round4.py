@@ -114,3 +114,11 @@ def test_files_reach_extraction_in_bounded_batches(spark):
     found = extract.extract(files)
     assert int(spark.conf.get(name)) <= 4 << 20
     assert [r.n for r in found.select(F.size("chunks").alias("n")).collect()] == [20_000] * 6
+
+
+def test_facts_of_files_are_joined_by_sorting(spark, sf_dir):
+    from sourceloom import queries_code
+
+    queries_code._BUILT.clear()
+    found = queries_code._facts(spark, sf_dir)
+    assert found.count() > 0 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
